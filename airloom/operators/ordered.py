@@ -65,6 +65,19 @@ def same_key(left: DataFrame, right: DataFrame, names: Mapping[str, str]) -> Col
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in names.items()])
 
 
+def join_back(df: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Add the columns of ``table``, one row per key, to every row; null keys meet each other.
+
+    No broadcast hint: adaptive execution measures the table and broadcasts it when small, and
+    splits hot keys when it has to shuffle. Without key the table is a single row.
+    """
+    if not key:
+        return df.join(F.broadcast(table), F.lit(True), "left")
+    names = {k: f"_j{i}" for i, k in enumerate(key)}
+    right = table.withColumnsRenamed(names)
+    return df.join(right, same_key(df, right, names), "left").drop(*names.values())
+
+
 def _position(df: DataFrame, name: str, shift: Column | None = None) -> Column:
     value = F.col(name) if shift is None else F.col(name) + shift
     if isinstance(df.schema[name].dataType, T.TimestampType):
