@@ -105,13 +105,13 @@ def clamp_round(prediction):
 
 
 def number_text(value, decimals: int = 1):
-    """Whole numbers without decimals, others with ``decimals``, null as ``N/A``."""
+    """Whole numbers without decimals, others with ``decimals`` (half to even), null as ``N/A``."""
     c = number(value)
     whole = F.abs(c - F.rint(c)) < 1e-9
     return (
         F.when(c.isNull(), F.lit("N/A"))
         .when(whole, F.rint(c).cast("long").cast("string"))
-        .otherwise(F.format_string(f"%.{decimals}f", c))
+        .otherwise(F.format_string(f"%.{decimals}f", F.bround(c, decimals)))
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airloom.config import ALIASES, METADATA
-from airloom.functions.scalars import bounded, default_text, fresh_time, number  # noqa: F401
+from airloom.functions.scalars import default_text, fresh_time, number
 
 
 def json_path(dotted: str) -> str:
@@ -76,7 +76,8 @@ WEATHER = {
 def json_hourly_explode(df: DataFrame, payload: str, keep: Sequence[str], schema: str = HOURLY, names=WEATHER) -> DataFrame:
     """Parallel hourly arrays to one row per hour; arrays that are too short give nulls."""
     hourly = F.from_json(payload, schema)["hourly"]
-    zipped = F.arrays_zip(hourly["time"].alias("time"), *[hourly[f].alias(f) for f in names.values()])
+    none = F.array().cast("array<double>")
+    zipped = F.arrays_zip(hourly["time"].alias("time"), *[F.coalesce(hourly[f], none).alias(f) for f in names.values()])
     out = df.select(*keep, F.posexplode(zipped).alias("place", "_one"))
     return out.select(
         *keep, "place", F.col("_one.time").try_cast("timestamp").alias("timestamp"), *[F.col(f"_one.{f}").alias(c) for c, f in names.items()]
