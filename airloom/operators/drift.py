@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airloom.config import HIGH_DRIFT, KS_LIMIT, LOG_ROWS, MIN_DRIFT_ROWS
-from airloom.operators.ordered import CHUNK_ROWS, Series, first_rows, join_back, with_ordinal, with_totals
+from airloom.operators.ordered import CHUNK_ROWS, Layout, Series, first_rows, join_back, with_ordinal, with_totals
 from airloom.operators.quantiles import long_form
+from airloom.session import settled
 
 
 def split_tail(df: DataFrame, series: Series, share: float, round_up_tail: bool) -> DataFrame:
@@ -49,6 +50,12 @@ def ks_stat(
 
     both = side(reference, "n_ref").unionByName(side(current, "n_cur"))
     counted = both.groupBy(*keys, "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    largest = both.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    layout = None
+    if largest <= chunk_rows:  # not more values than rows: nothing to cut
+        layout = Layout(Series(tuple(keys), "value"), None)
+    else:  # the cuts are looked for in the counts, so those are made once
+        counted = settled(counted, "counts")
     sizes = counted.groupBy(*keys).agg(
         F.sum("n_ref").alias("size_ref"),
         F.sum("n_cur").alias("size_cur"),
@@ -56,9 +63,8 @@ def ks_stat(
         (F.sum(F.col("value") * F.col("n_cur")) / F.nullif(F.sum("n_cur"), F.lit(0))).alias("mean_cur"),
     )
     sizes = sizes.where((F.col("size_ref") > 0) & (F.col("size_cur") > 0))
-    totals = with_totals(
-        counted, Series(tuple(keys), "value", chunk_rows=chunk_rows), {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")}
-    )
+    series = Series(tuple(keys), "value", chunk_rows=chunk_rows)
+    totals = with_totals(counted, series, {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")}, layout)
     apart = F.abs(F.col("upto_ref") / F.col("size_ref") - F.col("upto_cur") / F.col("size_cur"))
     rest = [c for c in sizes.columns if c not in keys]
     joined = join_back(totals, sizes, keys).where(F.col("size_ref").isNotNull())

@@ -56,6 +56,9 @@ class Series:
     def window(self, *extra: str) -> WindowSpec:
         return Window.partitionBy(*self.key, *extra).orderBy(*self.ascending())
 
+    def backwards(self, *extra: str) -> WindowSpec:
+        return Window.partitionBy(*self.key, *extra).orderBy(*self.descending())
+
     def cut_at(self, rows: int) -> Series:
         return replace(self, chunk_rows=rows)
 
@@ -332,21 +335,21 @@ def with_nearest(
     """Add ``{new: old}``: the last non-null ``old`` at or before each row, or the first at or after."""
     layout = layout or measure(df, series)
 
-    def seek(w: WindowSpec) -> dict[str, Column]:
-        if later:
-            frame = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-            return {n: F.first(F.col(c), True).over(frame) for n, c in columns.items()}
+    def seek(*chunk: str) -> dict[str, Column]:
+        # Looking ahead is looking back in reverse order: a frame that starts at the current row
+        # and ends with the partition would be read again for every row.
+        w = series.backwards(*chunk) if later else series.window(*chunk)
         frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return {n: F.last(F.col(c), True).over(frame) for n, c in columns.items()}
 
     if layout.plain:
-        return df.withColumns(seek(series.window()))
+        return df.withColumns(seek())
     rows = layout.assign(df)
     order = F.struct(*[F.col(c) for c in series.order])
     pick = F.min_by if later else F.max_by
     edge = [pick(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(n) for n, c in columns.items()]
     carry = _carried(rows, series, edge, list(columns), lambda c: F.last(c, True), later)
-    found = {f"_in_{n}": c for n, c in seek(series.window("_chunk")).items()}
+    found = {f"_in_{n}": c for n, c in seek("_chunk").items()}
     out = _with_carry(rows, carry, series).withColumns(found)
     out = out.withColumns({n: F.coalesce(f"_in_{n}", f"_from_{n}") for n in columns})
     return out.drop(*_MARKS, *found, *[f"_from_{n}" for n in columns])

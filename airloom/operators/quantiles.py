@@ -1,18 +1,20 @@
 """Exact quantiles per group, also for groups too large for one task.
 
 ``percentile`` keeps the distinct values of a group in one buffer. That is fine while groups are
-below ``chunk_rows`` rows, which one count decides. Larger groups are collapsed to (value, count),
-ranked with running totals over value chunks, and only the rows that hold the wanted ranks are kept.
+below ``buffer_rows`` rows, which one count decides. For larger groups a sketch first brackets
+each quantile between two values whose ranks are surely below and above it. A second pass counts
+what lies below the bracket and keeps only the values inside it, a tiny share of the group, among
+which the exact rank is picked. Both passes combine on the map side; the values are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airloom.operators.ordered import Series, join_back, with_totals
+from airloom.operators.ordered import join_back
 
 BUFFER_ROWS = 200_000
 
@@ -40,27 +42,62 @@ def quantiles(
         wide = df.groupBy(*group).agg(*[F.percentile(F.col(c), shares).alias(c) for c in cols])
         return wide.unpivot(list(group), list(cols), "feature", "q").where(F.col("q").isNotNull())
 
-    keys = [*group, "feature"]
-    counted = long_form(df, group, cols).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    series = Series(tuple(keys), "value", chunk_rows=buffer_rows)
-    ranked = with_totals(counted, series, {"upto": F.col("n")})
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
-    placed = join_back(ranked, totals, keys)
+    accuracy = int(min(1_000_000, max(10_000, 8 * largest // 1_000_000)))
+    around = _brackets(df, group, cols, shares, accuracy)
+    inside = _inside(join_back(df.select(*group, *cols), around, group), group, cols, shares)
+    keys = [*group, "feature", "share"]
+    counted = inside.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    # Null stands for everything below the bracket and sorts first. What is in the bracket is
+    # about 8 / accuracy of the group, so one window per quantile is small.
+    w = Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first())
+    placed = counted.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    wide = around.select(*group, *[F.col(f"n_{c}").alias(c) for c in cols])
+    totals = wide.unpivot(list(group), list(cols), "feature", "total")
+    placed = join_back(placed, totals, [*group, "feature"])
+    placed = placed.withColumn("rank", F.col("share") * (F.col("total") - 1))
 
     def held(rank: Column) -> Column:
-        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("value")))
-
-    made = []
-    for i, share in enumerate(shares):
-        rank = F.lit(share) * (F.col("total") - 1)
-        made += [held(F.floor(rank)).alias(f"_a{i}"), held(F.ceil(rank)).alias(f"_b{i}")]
-    found = placed.groupBy(*keys).agg(*made, F.first("total").alias("total"))
-    points = []
-    for i, share in enumerate(shares):
-        rank = F.lit(share) * (F.col("total") - 1)
-        low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
-        points.append(low * (1 - (rank - F.floor(rank))) + high * (rank - F.floor(rank)))
-    return found.select(*keys, F.array(*points).alias("q"))
+        at = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+        return F.max(F.when(at, F.col("value")))
+
+    found = placed.groupBy(*keys).agg(
+        held(F.floor("rank")).alias("low"), held(F.ceil("rank")).alias("high"), F.first("rank").alias("rank")
+    )
+    part = F.col("rank") - F.floor("rank")
+    point = F.col("low") * (1 - part) + F.col("high") * part
+    point = F.coalesce(point, F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double"))
+    points = found.withColumn("point", point).groupBy(*group, "feature")
+    return points.agg(F.array(*[F.max(F.when(F.col("share") == s, F.col("point"))) for s in shares]).alias("q"))
+
+
+def _brackets(df: DataFrame, group: Sequence[str], cols: Sequence[str], shares: Sequence[float], accuracy: int) -> DataFrame:
+    """Per group ``n_{c}``, and ``lo_{c}`` and ``hi_{c}``: arrays with a bracket around each share.
+
+    The sketch is off by at most one part in ``accuracy``; the brackets leave four. Groups with
+    fewer rows than that resolves are bracketed by their extremes.
+    """
+    room = 4.0 / accuracy
+    made = [F.count(c).alias(f"n_{c}") for c in cols]
+    for c in cols:
+        value, few = F.col(c).cast("double"), F.count(c) <= accuracy
+        for name, edge, move in (("lo", F.min, -room), ("hi", F.max, room)):
+            wanted = [min(1.0, max(0.0, s + move)) for s in shares]
+            near = F.percentile_approx(value, wanted, accuracy)
+            made.append(F.when(few, F.array_repeat(edge(value), len(shares))).otherwise(near).alias(f"{name}_{c}"))
+    return df.groupBy(*group).agg(*made)
+
+
+def _inside(df: DataFrame, group: Sequence[str], cols: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Per row, column and share: the value if it lies in the bracket, null if below, nothing if above."""
+    cells = []
+    for c in cols:
+        value = F.col(c).cast("double")
+        for i, share in enumerate(shares):
+            low, high = F.get(f"lo_{c}", F.lit(i)), F.get(f"hi_{c}", F.lit(i))
+            cell = F.struct(F.lit(c).alias("feature"), F.lit(share).alias("share"), F.when(value >= low, value).alias("value"))
+            cells.append(F.when(value <= high, cell))
+    kept = df.select(*group, F.explode(F.array_compact(F.array(*cells))).alias("_cell"))
+    return kept.select(*group, "_cell.*")
 
 
 def widened(long: DataFrame, group: Sequence[str], cols: Sequence[str], names: Sequence[str]) -> DataFrame:
