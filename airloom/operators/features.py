@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ def lag_time(df: DataFrame, series: Series, cols: Sequence[str], hours: Sequence
     sent = sent.withColumn(series.ts, F.col(series.ts) + F.make_dt_interval(F.lit(0), F.col("_step")))
     here = F.col("_step") == 0
     others = [c for c in df.columns if c not in key]
+    # A copy for a later time carries only what is looked back at.
+    sent = sent.withColumns({c: F.when(here, F.col(c)) for c in others if c not in cols})
     out = sent.groupBy(*key).agg(
         F.max(here).alias("_real"),
         *[F.max(F.when(here, F.col(c))).alias(c) for c in others],
@@ -77,14 +80,14 @@ def rolling_features(
     )
 
 
-def rolling_time(df, series: Series, cols: Sequence[str], hours: Sequence[int] = tuple(ROLLING_HOURS), layout: Layout | None = None):
+def rolling_time(df, series: Series, cols: Sequence[str], hours: Sequence[int] = tuple(ROLLING_HOURS)):
     """Means over the last ``n`` hours by the clock, current time included, start excluded by one microsecond."""
     made = {
         f"{c}_time_mean_{h}h": f"avg(`{c}`) | RANGE BETWEEN INTERVAL '{h - 1}:59:59.999999' HOUR TO SECOND PRECEDING AND CURRENT ROW"
         for c in cols
         for h in hours
     }
-    return with_span(df, series, made, f"{max(hours)} HOURS", layout)
+    return with_span(df, series, made, timedelta(hours=max(hours)))
 
 
 def diff(df, series: Series, column: str, counts: Mapping[int, str], layout: Layout | None = None):

@@ -13,14 +13,15 @@ a chunk needs from its neighbours reaches it in one of three exact ways:
 * unlimited state (fills, totals): one summary row per chunk, accumulated over the few chunks of
   the series and joined back.
 
-Only the cut series appear in the cut table, with at most ``MAX_CUTS`` cuts each, so what is
-broadcast is bounded whatever the size of the data.
+Only the cut series appear in the cut table, and chunks grow once there would be more than
+``MAX_CHUNKS`` of them, so what is broadcast is bounded whatever the size of the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_ROWS = 1_000_000
-MAX_CUT_SERIES = 1_000
-MAX_CUTS = 4_095  # searched with 12 halving steps
+MAX_CUT_SERIES = 10_000
+MAX_CHUNKS = 50_000
+MAX_CUTS = 4_095  # per series, searched with 12 halving steps
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
 
@@ -129,11 +131,14 @@ class Layout:
 _MARKS = ("_chunk", "_cut", "_halo")
 
 
-def measure(df: DataFrame, series: Series, need: int = 0) -> Layout:
+def measure(df: DataFrame, series: Series, need: int = 0, apart: timedelta | None = None) -> Layout:
     """Find the series above ``chunk_rows`` and cut them into chunks of at least ``need`` rows.
 
     One count per key decides. Only large series cost two more passes over key and order column:
-    approximate quantiles propose cuts, exact counts between them merge pieces that came out small.
+    approximate quantiles propose cuts, exact counts between them merge pieces that came out small
+    or, with ``apart``, shorter than that in time. The driver sees at most ``MAX_CUT_SERIES`` keys
+    and about ``MAX_CHUNKS`` cuts. A series left uncut has at most ``chunk_rows`` rows or one in
+    ``MAX_CUT_SERIES`` of the table.
     """
     limit = max(series.chunk_rows, 2 * need)
     keys = list(series.key)
@@ -150,6 +155,7 @@ def measure(df: DataFrame, series: Series, need: int = 0) -> Layout:
 
     spark = df.sparkSession
     sizes = {tuple(r[k] for k in keys): r["count"] for r in large}
+    limit = max(limit, -(-sum(sizes.values()) // MAX_CHUNKS))
     fields = [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
     names = {k: f"_k{i}" for i, k in enumerate(keys)}
     wanted = F.broadcast(spark.createDataFrame(list(sizes), T.StructType(fields)))
@@ -158,16 +164,18 @@ def measure(df: DataFrame, series: Series, need: int = 0) -> Layout:
 
     pieces = min(MAX_CUTS + 1, -(-max(sizes.values()) // limit))
     shares = [i / pieces for i in range(1, pieces)]
+    if not shares:
+        return Layout(series, None)
+    # Smaller series take every n-th of the quantiles, so about size / limit of them.
+    step = F.greatest(F.lit(1), F.floor(F.lit(pieces * limit) / F.col("_size"))).cast("int")
+    thinned = F.filter("_cuts", lambda _, i: (i + 1) % step == 0)
     proposed = (
         rows.groupBy(*keys)
-        .agg(F.percentile_approx("_pos", shares, max(10_000, 20 * pieces)).alias("_cuts"))
+        .agg(F.percentile_approx("_pos", shares, max(10_000, 20 * pieces)).alias("_cuts"), F.count(F.lit(1)).alias("_size"))
+        .select(*keys, F.array_sort(F.array_distinct(thinned)).alias("_cuts"))
         .collect()
     )
-    cuts = {}
-    for r in proposed:
-        key = tuple(r[k] for k in keys)
-        step = max(1, pieces * limit // sizes[key])
-        cuts[key] = sorted(set((r["_cuts"] or [])[step - 1 :: step]))
+    cuts = {tuple(r[k] for k in keys): list(r["_cuts"] or []) for r in proposed}
 
     kind = T.ArrayType(rows.schema["_pos"].dataType)
     shape = T.StructType([*fields, T.StructField("_cuts", kind)])
@@ -189,18 +197,22 @@ def measure(df: DataFrame, series: Series, need: int = 0) -> Layout:
         held.setdefault(tuple(r[k] for k in keys), {})[r["_slot"]] = r["count"]
     least = max(limit // 2, need)
     for key, slots in held.items():
-        cuts[key] = _merged(cuts[key], slots, least)
+        cuts[key] = _merged(cuts[key], slots, least, apart)
     if not any(cuts.values()):
         return Layout(series, None)
     return Layout(series, table())
 
 
-def _merged(cuts: Sequence, slots: Mapping[int, int], least: int) -> list:
-    """The cuts that leave at least ``least`` rows on both of their sides."""
+def _merged(cuts: Sequence, slots: Mapping[int, int], least: int, apart: timedelta | None) -> list:
+    """The cuts that leave at least ``least`` rows on both of their sides, and ``apart`` between them."""
     kept, running, left = [], 0, sum(slots.values())
     for i, cut in enumerate(cuts):
         running += slots.get(i, 0)
         left -= slots.get(i, 0)
+        if apart and kept:
+            gap = cut - kept[-1] if isinstance(cut, datetime) else timedelta(microseconds=cut - kept[-1])
+            if gap < apart:
+                continue
         if running >= least and left >= least:
             kept.append(cut)
             running = 0
@@ -255,20 +267,21 @@ def with_span(
     df: DataFrame,
     series: Series,
     columns: Mapping[str, str],
-    span: str,
-    layout: Layout | None = None,
+    span: timedelta,
 ) -> DataFrame:
-    """Add columns from time frames reaching at most ``span`` (such as ``24 HOURS``) back.
+    """Add columns from time frames reaching at most ``span`` back.
+
+    Chunks are at least ``span`` long, so a row is sent to at most one more chunk.
 
     ``columns`` maps names to SQL text ``aggregate | frame``, for example
     ``avg(aqi) | RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW``.
     """
-    layout = layout or measure(df, series)
+    layout = measure(df, series, apart=span)
     keys = [*series.key]
     if layout.plain:
         rows = df
     else:
-        rows = layout.assign(df, F.expr(f"INTERVAL {span}"))
+        rows = layout.assign(df, F.lit(span))
         keys.append("_chunk")
     over = ", ".join(f"`{k}`" for k in keys)
     made = {}

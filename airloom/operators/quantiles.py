@@ -10,11 +10,13 @@ which the exact rank is picked. Both passes combine on the map side; the values
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.operators.ordered import join_back
+from airloom.session import settled
 
 BUFFER_ROWS = 200_000
 
@@ -43,18 +45,27 @@ def quantiles(
         return wide.unpivot(list(group), list(cols), "feature", "q").where(F.col("q").isNotNull())
 
     accuracy = int(min(1_000_000, max(10_000, 8 * largest // 1_000_000)))
-    around = _brackets(df, group, cols, shares, accuracy)
-    inside = _inside(join_back(df.select(*group, *cols), around, group), group, cols, shares)
-    keys = [*group, "feature", "share"]
-    counted = inside.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    # Null stands for everything below the bracket and sorts first. What is in the bracket is
-    # about 8 / accuracy of the group, so one window per quantile is small.
-    w = Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first())
-    placed = counted.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wide = around.select(*group, *[F.col(f"n_{c}").alias(c) for c in cols])
-    totals = wide.unpivot(list(group), list(cols), "feature", "total")
-    placed = join_back(placed, totals, [*group, "feature"])
-    placed = placed.withColumn("rank", F.col("share") * (F.col("total") - 1))
+    # A sketch may differ between two runs, and both passes below must see the same brackets.
+    around = settled(_brackets(df, group, cols, shares, accuracy), "brackets")
+    rows = join_back(df.select(*group, *[F.col(c).cast("double").alias(c) for c in cols]), around, group)
+    spots = [_Spot(c, i, share) for c in cols for i, share in enumerate(shares)]
+    below = rows.groupBy(*group).agg(
+        *[F.count(c).alias(f"n_{c}") for c in cols], *[F.count(F.when(s.value < s.low, 1)).alias(s.name) for s in spots]
+    )
+    below = below.select(*group, F.explode(F.array(*[
+        F.struct(s.feature, s.place, F.col(f"n_{s.column}").alias("total"), F.col(s.name).alias("below")) for s in spots
+    ])).alias("_b")).select(*group, "_b.*")
+
+    # Only rows inside some bracket go on: about 8 / accuracy of a large group.
+    near = rows.where(reduce(lambda x, y: x | y, [s.inside for s in spots]))
+    cells = [F.when(s.inside, F.struct(s.feature, s.place, s.value.alias("value"))) for s in spots]
+    near = near.select(*group, F.explode(F.array(*cells)).alias("_c")).where(F.col("_c").isNotNull()).select(*group, "_c.*")
+    keys = [*group, "feature", "place"]
+    counted = near.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = join_back(counted.withColumn("upto", F.sum("n").over(w)), below, keys)
+    share = F.get(F.array(*[F.lit(s) for s in shares]), F.col("place"))
+    placed = placed.withColumns({"upto": F.col("upto") + F.col("below"), "rank": share * (F.col("total") - 1)})
 
     def held(rank: Column) -> Column:
         at = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
@@ -67,37 +78,35 @@ def quantiles(
     point = F.col("low") * (1 - part) + F.col("high") * part
     point = F.coalesce(point, F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double"))
     points = found.withColumn("point", point).groupBy(*group, "feature")
-    return points.agg(F.array(*[F.max(F.when(F.col("share") == s, F.col("point"))) for s in shares]).alias("q"))
+    return points.agg(F.array(*[F.max(F.when(F.col("place") == i, F.col("point"))) for i in range(len(shares))]).alias("q"))
+
+
+class _Spot:
+    """One quantile of one column: its bracket as expressions."""
+
+    def __init__(self, column: str, place: int, share: float):
+        self.column, self.name = column, f"_below_{column}_{place}"
+        self.value = F.col(column)
+        self.low, self.high = F.get(f"at_{column}", F.lit(2 * place)), F.get(f"at_{column}", F.lit(2 * place + 1))
+        self.inside = F.coalesce((self.value >= self.low) & (self.value <= self.high), F.lit(False))
+        self.feature, self.place = F.lit(column).alias("feature"), F.lit(place).alias("place")
 
 
 def _brackets(df: DataFrame, group: Sequence[str], cols: Sequence[str], shares: Sequence[float], accuracy: int) -> DataFrame:
-    """Per group ``n_{c}``, and ``lo_{c}`` and ``hi_{c}``: arrays with a bracket around each share.
+    """Per group ``at_{c}``: the lower and upper value around each share, one pair after the other.
 
     The sketch is off by at most one part in ``accuracy``; the brackets leave four. Groups with
     fewer rows than that resolves are bracketed by their extremes.
     """
     room = 4.0 / accuracy
-    made = [F.count(c).alias(f"n_{c}") for c in cols]
-    for c in cols:
-        value, few = F.col(c).cast("double"), F.count(c) <= accuracy
-        for name, edge, move in (("lo", F.min, -room), ("hi", F.max, room)):
-            wanted = [min(1.0, max(0.0, s + move)) for s in shares]
-            near = F.percentile_approx(value, wanted, accuracy)
-            made.append(F.when(few, F.array_repeat(edge(value), len(shares))).otherwise(near).alias(f"{name}_{c}"))
-    return df.groupBy(*group).agg(*made)
-
-
-def _inside(df: DataFrame, group: Sequence[str], cols: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """Per row, column and share: the value if it lies in the bracket, null if below, nothing if above."""
-    cells = []
+    wanted = [min(1.0, max(0.0, s + move)) for s in shares for move in (-room, room)]
+    made = []
     for c in cols:
         value = F.col(c).cast("double")
-        for i, share in enumerate(shares):
-            low, high = F.get(f"lo_{c}", F.lit(i)), F.get(f"hi_{c}", F.lit(i))
-            cell = F.struct(F.lit(c).alias("feature"), F.lit(share).alias("share"), F.when(value >= low, value).alias("value"))
-            cells.append(F.when(value <= high, cell))
-    kept = df.select(*group, F.explode(F.array_compact(F.array(*cells))).alias("_cell"))
-    return kept.select(*group, "_cell.*")
+        ends = F.flatten(F.array_repeat(F.array(F.min(value), F.max(value)), len(shares)))
+        near = F.percentile_approx(value, wanted, accuracy)
+        made.append(F.when(F.count(c) <= accuracy, ends).otherwise(near).alias(f"at_{c}"))
+    return df.groupBy(*group).agg(*made)
 
 
 def widened(long: DataFrame, group: Sequence[str], cols: Sequence[str], names: Sequence[str]) -> DataFrame:

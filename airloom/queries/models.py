@@ -11,6 +11,7 @@ from airloom.plans import explain as E
 from airloom.plans import training as M
 from airloom.plans.registry import Registry
 from airloom.queries.base import READ, query, rounded, sr6
+from airloom.queries.batch import _level_sql
 from airloom.session import scratch
 
 INPUTS = ["hour", "hour_sin", "pm25_lag_1h", "pm25_lag_24h", "pm25_roll_mean_6h", "pm25_roll_mean_24h"]
@@ -37,11 +38,71 @@ def _scores(t, make):
     return rounded(M.reg_metrics(model.transform(split.where("in_tail")), ["city"]), "rmse", "mae", "r2")
 
 
-query("fit_ridge")(lambda t: _scores(t, M.ridge))
+query("fit_ridge_wide")(lambda t: _scores(t, M.ridge))
 query("fit_forest")(lambda t: _scores(t, lambda d, y: M.forest(d, y, numTrees=20, maxDepth=6)))
 query("fit_boost")(lambda t: _scores(t, lambda d, y: M.boost(d, y, maxIter=10, maxDepth=4)))
 
 
+# Ridge on one input has a closed form, which SQL can state.
+ONE = ["pm25_lag_24h"]
+
+
+def _line(h: int) -> str:
+    """Test rows with the ridge prediction of the value ``h`` rows ahead: city, x, label, prediction."""
+    return f"""(WITH a AS (SELECT *, coalesce(lag(pm25, 24) OVER w, 0) AS x, lead(pm25, {h}) OVER w AS label FROM {{hourly}} WINDOW w AS (PARTITION BY city ORDER BY ts, event_id)),
+        s AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts, event_id) > count(*) OVER (PARTITION BY city) - ceil(count(*) OVER (PARTITION BY city) * 2 / 10.0) AS tail
+            FROM a WHERE label IS NOT NULL),
+        c AS (SELECT avg(x) AS mx, avg(label) AS my, covar_pop(x, label) * count(*) / (var_pop(x) * count(*) + 1) AS slope FROM s WHERE NOT tail)
+        SELECT a.city, a.ts, a.event_id, a.x, s.label, my + slope * (a.x - mx) AS prediction, slope, s.tail, {h} AS horizon_hours
+        FROM c, a LEFT JOIN s ON s.event_id = a.event_id)"""
+
+
+_FIT = """count(*) AS rows, round(sqrt(avg((label - prediction) ** 2)), 6) + 0.0 AS rmse, round(avg(abs(label - prediction)), 6) + 0.0 AS mae,
+    round(1 - sum((label - prediction) ** 2) / (var_pop(label) * count(*)), 6) + 0.0 AS r2"""
+
+
+def _one_table(t):
+    return lag_features(t.hourly, READ, ["pm25"], [24])
+
+
+@query("fit_ridge", f"SELECT city, {_FIT} FROM {_line(H)} WHERE tail GROUP BY city")
+def _(t):
+    rows = split_tail(lead_target(_one_table(t), READ, "pm25", H, "label").na.fill(0.0, ONE), READ, 0.2, True)
+    model = M.fit(rows.where(~F.col("in_tail")), ONE, "label", M.ridge)
+    return rounded(M.reg_metrics(model.transform(rows.where("in_tail")), ["city"]), "rmse", "mae", "r2")
+
+
+def _each(pick):
+    return " UNION ALL ".join(pick(h) for h in (24, 48, 72))
+
+
+@query("train_grid_ridge", _each(lambda h: f"SELECT 'ridge' AS model_name, {h} AS horizon_hours, {_FIT} FROM {_line(h)} WHERE tail"))
+def _(t):
+    metrics, _models = M.train_grid(_one_table(t), READ, "pm25", (24, 48, 72), {"ridge": M.ridge}, ONE)
+    return rounded(metrics, "rmse", "mae", "r2")
+
+
+def _ridges(t):
+    _metrics, models = M.train_grid(_one_table(t), READ, "pm25", (24, 48, 72), {"ridge": M.ridge}, ONE)
+    return {h: m for (_n, h), m in models.items()}
+
+
+_NEWEST = "SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts DESC, event_id DESC) AS n FROM"
+_SHOWN = "CAST(round_even(greatest(least(prediction, 500), 0), 1) AS DOUBLE) + 0.0"
+
+
+@query("score", f"SELECT *, {_level_sql('prediction')} AS level FROM (" + _each(
+    lambda h: f"SELECT city, ts, {h} AS horizon_hours, {_SHOWN} AS prediction FROM ({_NEWEST} {_line(h)}) WHERE n = 1") + ")")
+def _(t):
+    return M.score(_one_table(t), READ, _ridges(t), ONE).drop("color", "advice")
+
+
+@query("importance_all", _each(lambda h: f"""SELECT 'pm25_lag_24h' AS feature, {h} AS horizon_hours, round(any_value(abs(slope)) * avg(abs(x - m)), 6) + 0.0 AS importance
+    FROM (SELECT *, avg(x) OVER () AS m FROM (SELECT * FROM ({_NEWEST} {_line(h)}) WHERE n <= 100))"""))
+def _(t):
+    return rounded(E.importance_all(_ridges(t), _one_table(t).na.fill(0.0, ONE), READ, ONE), "importance")
+
+
 @query("train_grid")
 def _(t):
     small = {"ridge": M.ridge, "random_forest": lambda d, y: M.forest(d, y, numTrees=10, maxDepth=5)}
@@ -59,12 +120,6 @@ def _(t):
     return store.best().select("model_name", "horizon_hours", F.round("rmse", 6).alias("rmse"), "feature_names")
 
 
-@query("score")
-def _(t):
-    model, _split_rows = _fitted(t, M.ridge)
-    return M.score(table(t), READ, {H: model}, INPUTS)
-
-
 @query("importance")
 def _(t):
     model, _split_rows = _fitted(t, M.ridge)
@@ -78,13 +133,6 @@ def _(t):
     return rounded(M.ranked(E.permutation_importance(model, sample, INPUTS, "label")), "importance")
 
 
-@query("importance_all")
-def _(t):
-    _metrics, models = M.train_grid(table(t), READ, "pm25", (24, 48, 72), {"ridge": M.ridge}, INPUTS)
-    by = {h: m for (_n, h), m in models.items()}
-    return rounded(E.importance_all(by, table(t).na.fill(0.0, INPUTS), READ, INPUTS), "importance")
-
-
 @query("importance_rank", f"""SELECT event_type AS feature, {sr6('avg(abs(value - m))', 'importance')} FROM events,
     (SELECT avg(value) AS m FROM events) GROUP BY 1""")
 def _(t):

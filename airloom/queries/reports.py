@@ -200,7 +200,11 @@ query("ks_stat", _KS_OUT)(lambda t: _ks(t, 1_000_000))
 query("ks_stat_cut", _KS_OUT)(lambda t: _ks(t, CUT_ROWS))
 
 
-@query("ks_pvalue")
+_P = "least(1.0, greatest(0.0, 2 * list_sum([(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * x * x) for j in range(1, 101)])))"
+
+
+@query("ks_pvalue", _KS + f""" SELECT city, feature, {sr6(f'CASE WHEN x < 0.2 THEN 1.0 ELSE {_P} END', 'p_value')}
+    FROM (SELECT *, sqrt(nr * nc / (nr + nc)) * ks AS x FROM k)""")
 def _(t):
     return D.drift_detail(*_pair(t), ["aqi", "temperature"], ["city"]).select("city", "feature", r6("p_value").alias("p_value"))
 

@@ -93,7 +93,18 @@ def _(t):
     return _local(snapshot_latest(t.spark.read.parquet(target)).select("user_id", "ts", "value"))
 
 
-@query("st_drift")
+_HALVES = """(SELECT city, ts >= TIMESTAMP '2024-01-16' AS cur, aqi, pm10 FROM {readings})"""
+_SIDES = """(SELECT city, cur, 'aqi' AS feature, aqi AS value FROM s WHERE aqi IS NOT NULL UNION ALL SELECT city, cur, 'pm10', pm10 FROM s)"""
+
+
+@query("st_drift", f"""WITH s AS (SELECT * FROM {_HALVES}), l AS (SELECT * FROM {_SIDES}),
+    d AS (SELECT city, feature, value, count(*) FILTER (NOT cur) AS r, count(*) FILTER (cur) AS c FROM l GROUP BY ALL),
+    f AS (SELECT *, abs(sum(r) OVER w / sum(r) OVER p - sum(c) OVER w / sum(c) OVER p) AS gap FROM d
+        WINDOW w AS (PARTITION BY city, feature ORDER BY value), p AS (PARTITION BY city, feature)),
+    k AS (SELECT city, feature, max(gap) > 0.1 AS hit FROM f GROUP BY ALL)
+    SELECT city, count(*) AS total_features, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS drifted_features, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (hit), '') AS drifted_names,
+        round(avg(CAST(hit AS INT)), 4) + 0.0 AS drift_ratio, CASE WHEN avg(CAST(hit AS INT)) > 0.3 THEN 'high_drift' WHEN max(hit) THEN 'moderate_drift' ELSE 'no_drift' END AS status
+    FROM k GROUP BY city""")
 def _(t):
     target = scratch(t.spark, "drift")
     reference = t.readings.where("ts < '2024-01-16'")

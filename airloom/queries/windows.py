@@ -178,10 +178,26 @@ def _(t):
     return rounded(I.impute(frames, series, ["aqi"], "event_id", knn=False).select("event_id", "aqi"), "aqi")
 
 
-@query("knn_impute")
+def _z(c):
+    return f"({c} - avg({c}) OVER p) / stddev_pop({c}) OVER p AS z_{c}"
+
+
+def _apart(c):
+    return f"(g.z_{c} - o.z_{c}) ** 2"
+
+
+# Rows with a gap lack one of five coordinates, hence the factor 5 / 4.
+@query("knn_impute", f"""WITH h AS (SELECT city, event_id, CASE WHEN event_id % 5 <> 0 THEN aqi END AS a, pm25 AS b, pm10 AS c,
+        sin(2 * pi() * hour(ts) / 24) AS s, cos(2 * pi() * hour(ts) / 24) AS k FROM {{hourly}}),
+    z AS (SELECT *, {', '.join(map(_z, 'abcsk'))} FROM h WINDOW p AS (PARTITION BY city)),
+    d AS (SELECT g.event_id, o.a AS v, sqrt(({' + '.join(map(_apart, 'bcsk'))}) * 5 / 4) AS far, row_number() OVER (PARTITION BY g.event_id ORDER BY
+        sqrt(({' + '.join(map(_apart, 'bcsk'))}) * 5 / 4), o.event_id) AS n FROM z g JOIN z o ON g.city = o.city AND g.a IS NULL AND o.a IS NOT NULL),
+    f AS (SELECT event_id, coalesce(avg(v) FILTER (far = 0), sum(v / far) FILTER (far > 0) / sum(1 / far) FILTER (far > 0)) AS v FROM d WHERE n <= 5 GROUP BY 1)
+    SELECT h.event_id, {sr6('coalesce(a, v)', 'aqi')} FROM h LEFT JOIN f ON h.event_id = f.event_id""")
 def _(t):
-    df = t.hourly.withColumn("aqi", F.when(F.hash("event_id") % 5 != 0, F.col("aqi"))).select("event_id", "city", "ts", "aqi", "pm25", "pm10")
-    return rounded(I.knn_impute(df, READ, ["aqi", "pm25", "pm10"], "event_id"), "aqi", "pm25", "pm10")
+    holed = F.when(F.col("event_id") % 5 != 0, F.col("aqi"))
+    df = t.hourly.select("event_id", "city", "ts", holed.alias("aqi"), "pm25", "pm10")
+    return rounded(I.knn_impute(df, READ, ["aqi", "pm25", "pm10"], "event_id").select("event_id", "aqi"), "aqi")
 
 
 # --- duplicates, order, season, splits ---------------------------------------------------------
@@ -206,15 +222,15 @@ _SEASON = f"""WITH p AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM {{hourl
         avg(pm25) OVER {frame('24 PRECEDING AND 23 FOLLOWING')} AS simple FROM p),
     m AS (SELECT city, phase, avg(pm25 - trend) AS mean FROM t GROUP BY 1, 2),
     c AS (SELECT city, avg(mean) AS centre FROM m GROUP BY 1)
-    SELECT t.event_id, {sr6('trend', 'pm25_trend')}, {sr6('mean - centre', 'pm25_seasonal')}, {sr6('simple', 'pm25_trend_simple')}
+    SELECT t.event_id, {sr6('trend', 'pm25_trend')}, {sr6('mean - centre', 'pm25_seasonal')}, round(simple, 8) AS pm25_trend_simple
     FROM t JOIN m ON t.city = m.city AND t.phase = m.phase JOIN c ON t.city = c.city"""
 
 
 @both("season_decomp", _SEASON)
 def _(t, s):
     out = seasonal.decompose(t.hourly.select("event_id", "city", "ts", "pm25"), s, "pm25")
-    made = ["pm25_trend", "pm25_seasonal", "pm25_trend_simple"]
-    return rounded(out.select("event_id", *made), *made)
+    made = ["pm25_trend", "pm25_seasonal"]
+    return rounded(out.select("event_id", *made, F.round("pm25_trend_simple", 8).alias("pm25_trend_simple")), *made)
 
 
 @query("trend_centered", f"SELECT event_id, round(avg(aqi) OVER {frame('24 PRECEDING AND 23 FOLLOWING')}, 8) AS aqi_trend_simple FROM {{readings}}")

@@ -1,5 +1,7 @@
 """Cut series must give exactly what the plain window gives."""
 
+from datetime import timedelta
+
 import pandas as pd
 import pytest
 from pyspark.sql import Window
@@ -65,7 +67,7 @@ def test_time_frames(rows):
         "at24": "max(aqi) | RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 24 HOURS PRECEDING",
         "w": "count(aqi) | RANGE BETWEEN INTERVAL 200 HOURS PRECEDING AND CURRENT ROW",
     }
-    equal(with_span(rows, SERIES, cols, "200 HOURS"), with_span(rows, CUT, cols, "200 HOURS"))
+    equal(with_span(rows, SERIES, cols, timedelta(hours=200)), with_span(rows, CUT, cols, timedelta(hours=200)))
 
 
 @pytest.mark.parametrize("later", [False, True])
@@ -98,11 +100,28 @@ def test_null_key_and_local_time_type(rows):
     ntz = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("city", F.when(F.col("city") != "hot", F.col("city")))
     equal(with_ordinal(ntz, SERIES), with_ordinal(ntz, CUT))
     equal(
-        with_span(ntz, SERIES, {"m": "avg(aqi) | RANGE BETWEEN INTERVAL 9 HOURS PRECEDING AND CURRENT ROW"}, "9 HOURS"),
-        with_span(ntz, CUT, {"m": "avg(aqi) | RANGE BETWEEN INTERVAL 9 HOURS PRECEDING AND CURRENT ROW"}, "9 HOURS"),
+        with_span(ntz, SERIES, {"m": "avg(aqi) | RANGE BETWEEN INTERVAL 9 HOURS PRECEDING AND CURRENT ROW"}, timedelta(hours=9)),
+        with_span(ntz, CUT, {"m": "avg(aqi) | RANGE BETWEEN INTERVAL 9 HOURS PRECEDING AND CURRENT ROW"}, timedelta(hours=9)),
     )
 
 
+def test_chunks_grow_when_there_would_be_too_many(rows, monkeypatch):
+    from airloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "MAX_CHUNKS", 4)
+    cuts = {r["_k0"]: r["_cuts"] for r in measure(rows, CUT).cuts.collect()}
+    assert len(cuts["hot"]) <= 4
+    equal(with_ordinal(rows, SERIES), with_ordinal(rows, CUT))
+    monkeypatch.setattr(ordered, "MAX_CUT_SERIES", 1)
+    assert {r["_k0"] for r in measure(rows, CUT).cuts.collect()} == {"hot"}
+    equal(with_ordinal(rows, SERIES), with_ordinal(rows, CUT))
+
+
+def test_time_chunks_are_as_long_as_the_frame(rows):
+    cuts = {r["_k0"]: r["_cuts"] for r in measure(rows, CUT, apart=timedelta(hours=200)).cuts.collect()}["hot"]
+    assert all(b - a >= 200 * 3600 * 10**6 for a, b in zip(cuts, cuts[1:])) and len(cuts) >= 2
+
+
 def test_one_shuffle_for_all_frames_of_a_plain_table(rows):
     out = with_rows(
         rows,
