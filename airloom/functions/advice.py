@@ -11,7 +11,7 @@ from airloom.functions.scalars import col
 
 def level_table(spark, levels=LEVELS) -> DataFrame:
     """The advisory levels as a table: level, low, high, color, advice."""
-    return spark.createDataFrame(levels, "level string, low double, high double, color string, advice string")
+    return spark.createDataFrame(levels, "level string, low int, high int, color string, advice string")
 
 
 def advisory(aqi, levels=LEVELS) -> Column:

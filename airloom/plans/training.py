@@ -14,11 +14,11 @@ from airloom.config import HORIZONS, MIN_TRAIN_ROWS, TEST_SHARE
 from airloom.functions.advice import advisory
 from airloom.functions.scalars import clamp_round
 from airloom.operators.drift import split_tail
-from airloom.operators.features import lead_target
 from airloom.operators.latest import latest_row
-from airloom.operators.ordered import Layout, Series
+from airloom.operators.ordered import Layout, Series, with_rows
 from airloom.operators.predicates import min_rows_guard
 from airloom.operators.schema import select_features
+from airloom.session import settled
 
 # Model settings.
 RIDGE_ALPHA = 1.0
@@ -100,15 +100,20 @@ def train_grid(
     """Every model for every horizon: metrics table, and the fitted models.
 
     The last fifth of each series tests what the first four fifths train, all series pooled. The
-    driver loops over a handful of configured models; each fit is distributed.
+    features and the targets of all horizons are made in one pass and written to the shared folder
+    once; the driver then loops over a handful of configured models, and each fit is distributed.
     """
     enough = min_rows_guard(table, series.key, least)
     features = list(features or select_features(enough.drop(*series.key, *series.ties), target))
+    labels = {h: f"{target}_target_{h}h" for h in horizons}
+    ahead = with_rows(
+        enough, series, lambda w: {n: F.lead(target, h).over(w) for h, n in labels.items()}, after=max(horizons), layout=layout
+    )
+    kept = dict.fromkeys([*series.key, *series.order, *features, *labels.values()])
+    ahead = settled(ahead.select(*kept), "training")
     fitted, scores = {}, []
-    for h in horizons:
-        label = f"{target}_target_{h}h"
-        rows = lead_target(enough, series, target, h, label, layout)
-        split = split_tail(rows, series, TEST_SHARE, True).persist()
+    for h, label in labels.items():
+        split = split_tail(ahead.where(F.col(label).isNotNull()), series, TEST_SHARE, True).persist()
         try:
             train, test = split.where(~F.col("in_tail")), split.where("in_tail")
             for name, make in models.items():

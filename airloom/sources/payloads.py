@@ -74,11 +74,12 @@ WEATHER = {
 
 
 def json_hourly_explode(df: DataFrame, payload: str, keep: Sequence[str], schema: str = HOURLY, names=WEATHER) -> DataFrame:
-    """Parallel hourly arrays to one row per hour; arrays that are too short give nulls."""
+    """Parallel hourly arrays to one row per listed hour; arrays that are too short give nulls."""
     hourly = F.from_json(payload, schema)["hourly"]
     none = F.array().cast("array<double>")
     zipped = F.arrays_zip(hourly["time"].alias("time"), *[F.coalesce(hourly[f], none).alias(f) for f in names.values()])
     out = df.select(*keep, F.posexplode(zipped).alias("place", "_one"))
+    out = out.where(F.col("_one.time").isNotNull())
     return out.select(
         *keep, "place", F.col("_one.time").try_cast("timestamp").alias("timestamp"), *[F.col(f"_one.{f}").alias(c) for c, f in names.items()]
     )
