@@ -186,8 +186,9 @@ def _apart(c):
     return f"(g.z_{c} - o.z_{c}) ** 2"
 
 
-# Rows with a gap lack one of five coordinates, hence the factor 5 / 4.
-@query("knn_impute", f"""WITH h AS (SELECT city, event_id, CASE WHEN event_id % 5 <> 0 THEN aqi END AS a, pm25 AS b, pm10 AS c,
+# Rows with a gap lack one of five coordinates, hence the factor 5 / 4. The root keeps two donors
+# from lying equally far on either side of a gap, where rounding noise would choose.
+@query("knn_impute", f"""WITH h AS (SELECT city, event_id, CASE WHEN event_id % 5 <> 0 THEN aqi END AS a, pm25 AS b, sqrt(event_id) AS c,
         sin(2 * pi() * hour(ts) / 24) AS s, cos(2 * pi() * hour(ts) / 24) AS k FROM {{hourly}}),
     z AS (SELECT *, {', '.join(map(_z, 'abcsk'))} FROM h WINDOW p AS (PARTITION BY city)),
     d AS (SELECT g.event_id, o.a AS v, sqrt(({' + '.join(map(_apart, 'bcsk'))}) * 5 / 4) AS far, row_number() OVER (PARTITION BY g.event_id ORDER BY
@@ -196,7 +197,7 @@ def _apart(c):
     SELECT h.event_id, {sr6('coalesce(a, v)', 'aqi')} FROM h LEFT JOIN f ON h.event_id = f.event_id""")
 def _(t):
     holed = F.when(F.col("event_id") % 5 != 0, F.col("aqi"))
-    df = t.hourly.select("event_id", "city", "ts", holed.alias("aqi"), "pm25", "pm10")
+    df = t.hourly.select("event_id", "city", "ts", holed.alias("aqi"), "pm25", F.sqrt("event_id").alias("pm10"))
     return rounded(I.knn_impute(df, READ, ["aqi", "pm25", "pm10"], "event_id").select("event_id", "aqi"), "aqi")
 
 
