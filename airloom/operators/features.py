@@ -101,7 +101,7 @@ def pct_change(df: DataFrame, series: Series, column: str, name: str | None = No
     """Relative change of the forward-filled values; null where the value before is 0."""
     name = name or f"{column}_pct_change"
     layout = layout or measure(df, series, 1)
-    filled = with_nearest(df, series, {"_filled": column}, False, layout)
+    filled = layout.rest(with_nearest(df, series, {"_filled": column}, False, layout))
 
     def stage(w):
         return {name: F.try_divide(F.col("_filled"), F.lag("_filled").over(w)) - 1}
@@ -175,7 +175,7 @@ def short_features(
     far = max(*settings.rolling, *settings.lags) + 1
     layout = layout or measure(df, series, far)
     if with_aqi:
-        df = with_nearest(df, series, {"_filled": "aqi"}, False, layout)
+        df = layout.rest(with_nearest(df, series, {"_filled": "aqi"}, False, layout))
 
     def stage(w):
         made = _all(rolling(w, c, settings.rolling, ("mean", "std")) for c in cols)
@@ -231,10 +231,10 @@ def long_features(
     })
     out = standardize(out, series.key, {"temperature": "temp_normalized", "humidity": "humidity_normalized"})
     if settings.seasonal:
-        out = decompose(out, series, "aqi", settings.season_rows, layout=layout)
+        out = decompose(layout.rest(out), series, "aqi", settings.season_rows, layout=layout)
     if settings.backfill:
         fill = [c for c in out.columns if c not in (*series.key, *series.order)]
-        out = ffill(bfill(out, series, fill, layout), series, fill, layout)
+        out = ffill(layout.rest(bfill(layout.rest(out), series, fill, layout)), series, fill, layout)
         numeric = [c for c, kind in out.dtypes if c in fill and kind in ("double", "float")]
         out = mean_fill(out, series.key, numeric)
     return out.select(*first, *[c for c in out.columns if c not in first])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom.config import FILL_LIMIT, NEIGHBOURS
-from airloom.operators.ordered import Layout, Series, join_back, measure, with_nearest, with_ordinal, with_rows
+from airloom.operators.ordered import Layout, Series, join_back, with_nearest, with_rows, with_state
+from airloom.session import settled
 
 
 def _replace(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
@@ -49,19 +50,15 @@ def bfill_limit(df, series: Series, cols, limit: int = FILL_LIMIT, layout: Layou
 
 def interpolate(df: DataFrame, series: Series, cols: Sequence[str], layout: Layout | None = None) -> DataFrame:
     """Straight line between the neighbours by row position; the last value is held, the head stays null."""
-    layout = layout or measure(df, series)
-    out = with_ordinal(df, series, "_at", layout)
-    known = {f"_p_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_at").alias("at"))) for c in cols}
-    out = out.withColumns(known)
-    out = with_nearest(out, series, {f"_a_{c}": f"_p_{c}" for c in cols}, False, layout)
-    out = with_nearest(out, series, {f"_b_{c}": f"_p_{c}" for c in cols}, True, layout)
+    ends = {f"_a_{c}": c for c in cols}, {f"_b_{c}": c for c in cols}
+    out = with_state(df, series, before=ends[0], after=ends[1], ordinal="_n", layout=layout)
     lines = {}
     for c in cols:
-        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
-        share = F.try_divide(F.col("_at") - a["at"], b["at"] - a["at"])
-        lines[c] = F.coalesce(F.col(c), a["v"] + (b["v"] - a["v"]) * share, a["v"])
-    helpers = [f"_{x}_{c}" for c in cols for x in "pab"]
-    return out.withColumns(lines).drop("_at", *helpers)
+        a, b, at = F.col(f"_a_{c}"), F.col(f"_b_{c}"), F.col(f"_a_{c}_at")
+        share = F.try_divide(F.col("_n") - at, F.col(f"_b_{c}_at") - at)
+        lines[c] = F.coalesce(F.col(c), a + (b - a) * share, a)
+    helpers = [f"_{x}_{c}{y}" for c in cols for x in "ab" for y in ("", "_at")]
+    return out.withColumns(lines).drop("_n", *helpers)
 
 
 def mean_fill(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -73,12 +70,13 @@ def mean_fill(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFra
 
 
 def handle_missing(df: DataFrame, series: Series, cols: Sequence[str], layout: Layout | None = None) -> DataFrame:
-    """What cleaning does: forward fill, then backward fill for the head of the series.
+    """What cleaning does: forward fill, then backward fill for the head of the series, in one pass.
 
     Interpolation between the two has nothing left to do after an unlimited forward fill.
     """
-    layout = layout or measure(df, series)
-    return bfill(ffill(df, series, cols, layout), series, cols, layout)
+    ends = {f"_a_{c}": c for c in cols}, {f"_b_{c}": c for c in cols}
+    out = with_state(df, series, before=ends[0], after=ends[1], layout=layout)
+    return out.withColumns({c: F.coalesce(f"_a_{c}", f"_b_{c}") for c in cols}).drop(*ends[0], *ends[1])
 
 
 _BLOCK_ROWS = 4_000
@@ -102,6 +100,7 @@ def knn_impute(
     """
     space = [*cols, "_hs", "_hc"]
     angle = F.hour(series.ts) * (2 * np.pi) / 24
+    df = settled(df, "gaps")  # read as gaps, as donors, for the statistics and for the result
     base = df.withColumns({"_hs": F.sin(angle), "_hc": F.cos(angle)})
     stats = base.groupBy(*series.key).agg(
         *[a for c in space for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]
@@ -198,15 +197,26 @@ def impute(df: DataFrame, series: Series, cols: Sequence[str], row_id: str, knn:
 
     Notes are columns ``{c}_filled_by`` with ``forward``, ``backward``, ``knn``, ``mean`` or null.
     """
-    layout = measure(df, series, FILL_LIMIT)
-    out = df.withColumns({f"{c}_filled_by": F.when(F.col(c).isNull(), F.lit("")) for c in cols})
+    def forward(w):
+        return {f"_f_{c}": F.coalesce(F.col(c), F.last(F.col(c), True).over(w.rowsBetween(-FILL_LIMIT, -1))) for c in cols}
+
+    def backward(w):
+        return {f"_b_{c}": F.coalesce(F.col(f"_f_{c}"), F.first(F.col(f"_f_{c}"), True).over(w.rowsBetween(1, FILL_LIMIT))) for c in cols}
+
+    out = with_rows(df, series, forward, backward, before=FILL_LIMIT, after=FILL_LIMIT)
+    notes = {}
+    for c in cols:
+        by = F.when(F.col(c).isNotNull(), F.lit(None)).when(F.col(f"_f_{c}").isNotNull(), "forward")
+        notes[f"{c}_filled_by"] = by.when(F.col(f"_b_{c}").isNotNull(), "backward").otherwise("")
+    out = out.withColumns(notes).withColumns({c: F.col(f"_b_{c}") for c in cols})
+    out = out.drop(*[f"_{x}_{c}" for c in cols for x in "fb"])
 
     def noted(frame: DataFrame, stage: str) -> DataFrame:
-        now = {f"{c}_filled_by": F.when((F.col(f"{c}_filled_by") == "") & F.col(c).isNotNull(), F.lit(stage)).otherwise(F.col(f"{c}_filled_by")) for c in cols}
-        return frame.withColumns(now)
+        note = {c: F.col(f"{c}_filled_by") for c in cols}
+        return frame.withColumns({
+            f"{c}_filled_by": F.when((note[c] == "") & F.col(c).isNotNull(), F.lit(stage)).otherwise(note[c]) for c in cols
+        })
 
-    out = noted(ffill_limit(out, series, cols, layout=layout), "forward")
-    out = noted(bfill_limit(out, series, cols, layout=layout), "backward")
     if knn:
         out = noted(knn_impute(out, series, cols, row_id), "knn")
     return noted(mean_fill(out, series.key, cols), "mean")

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airloom.session import settled
+
 CHUNK_ROWS = 1_000_000
 MAX_CUT_SERIES = 10_000
 MAX_CHUNKS = 50_000
@@ -112,6 +114,11 @@ class Layout:
     def plain(self) -> bool:
         return self.cuts is None
 
+    def rest(self, df: DataFrame) -> DataFrame:
+        """``df`` between two ordered steps. Steps on cut series read their input two or three
+        times, so it is written once there instead of being made again by each reader."""
+        return df if self.plain else settled(df, "step")
+
     def assign(self, df: DataFrame, span: Column | None = None) -> DataFrame:
         """Add ``_chunk``, ``_cut`` (series is cut) and ``_halo`` (row is a copy for a later chunk)."""
         series = self.series
@@ -292,80 +299,114 @@ def with_span(
     return rows if layout.plain else rows.where(~F.col("_halo")).drop(*_MARKS)
 
 
-def _carried(rows: DataFrame, series: Series, totals: list[Column], names: Sequence[str], fold, later: bool):
-    """Per chunk of a cut series, the fold of ``totals`` over all earlier (or later) chunks."""
-    per = rows.where("_cut").groupBy(*series.key, "_chunk").agg(*totals)
-    towards = F.col("_chunk").desc() if later else F.col("_chunk").asc()
-    w = Window.partitionBy(*series.key).orderBy(towards).rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(series.key)],
-        F.col("_chunk").alias("_kc"),
-        *[fold(F.col(n)).over(w).alias(f"_from_{n}") for n in names],
-    )
-
-
-def _with_carry(rows: DataFrame, carry: DataFrame, series: Series) -> DataFrame:
-    names = {k: f"_k{i}" for i, k in enumerate(series.key)} | {"_chunk": "_kc"}
-    small = F.broadcast(carry)  # one row per chunk of the cut series, see MAX_CUTS
-    return rows.join(small, same_key(rows, small, names), "left").drop(*names.values())
-
-
-def with_totals(
+def with_state(
     df: DataFrame,
     series: Series,
-    measures: Mapping[str, Column],
+    sums: Mapping[str, Column] | None = None,
+    before: Mapping[str, str] | None = None,
+    after: Mapping[str, str] | None = None,
+    ordinal: str | None = None,
     layout: Layout | None = None,
 ) -> DataFrame:
-    """Running sums per series, current row included. The order must be total."""
+    """Add columns whose frames reach to the start or the end of the series, all in one pass.
+
+    ``sums``: ``{new: measure}``, running sums, current row included. ``before`` and ``after``:
+    ``{new: old}``, the last non-null ``old`` at or before each row, the first at or after it.
+    ``ordinal`` names a column for the row number in the series, from 1, and adds ``{new}_at``,
+    the row number each ``before`` and ``after`` value comes from. The order must be total.
+
+    For cut series one summary row per chunk is accumulated over the chunks and joined back.
+    """
+    sums, before, after = dict(sums or {}), dict(before or {}), dict(after or {})
     layout = layout or measure(df, series)
+    rows, chunk = (df, ()) if layout.plain else (layout.assign(df), ("_chunk",))
+    ahead, back = series.window(*chunk), series.backwards(*chunk)
+    # Looking ahead is looking back in reverse order: a frame that starts at the current row and
+    # ends with the partition would be read again for every row.
+    ahead_frame, back_frame = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (ahead, back))
+
+    if ordinal:
+        rows = rows.withColumn(ordinal, F.row_number().over(ahead).cast("long"))
+    values = {}
+    for n, old in [*before.items(), *after.items()]:
+        parts = [F.col(old).alias("v"), *([F.col(ordinal).alias("at")] if ordinal else [])]
+        values[n] = F.when(F.col(old).isNotNull(), F.struct(*parts))
+
+    found = {n: F.sum(c).over(ahead_frame) for n, c in sums.items()}
+    found |= {f"_s_{n}": F.last(values[n], True).over(ahead_frame) for n in before}
+    found |= {f"_s_{n}": F.last(values[n], True).over(back_frame) for n in after}
+
+    if not layout.plain:
+        carry = _carry(rows, series, sums, values, before, after, ordinal)
+        names = {k: f"_k{i}" for i, k in enumerate(series.key)} | {"_chunk": "_kc"}
+        small = F.broadcast(carry)  # one row per chunk of the cut series, see MAX_CHUNKS
+        rows = rows.join(small, same_key(rows, small, names), "left").drop(*names.values())
+    out = rows.withColumns(found)
+
+    spare = [f"_s_{n}" for n in values]
+    if not layout.plain:
+        shift = F.coalesce(F.col("_from_rows"), F.lit(0)) if ordinal else F.lit(0)
+        moved = {n: F.col(n) + F.coalesce(F.col(f"_from_{n}"), F.lit(0)) for n in sums}
+        for n in values:
+            here = F.col(f"_s_{n}")
+            if ordinal:
+                here = F.when(here.isNotNull(), F.struct(here["v"].alias("v"), (here["at"] + shift).alias("at")))
+            moved[f"_s_{n}"] = F.coalesce(here, F.col(f"_from_{n}"))
+        if ordinal:
+            moved[ordinal] = F.col(ordinal) + shift
+            spare.append("_from_rows")
+        out = out.withColumns(moved)
+        spare += [*_MARKS, *[f"_from_{n}" for n in (*sums, *values)]]
+    picked = {n: F.col(f"_s_{n}.v") for n in values}
+    if ordinal:
+        picked |= {f"{n}_at": F.col(f"_s_{n}.at") for n in values}
+    return out.withColumns(picked).drop(*spare)
+
+
+def _carry(rows: DataFrame, series: Series, sums, values, before, after, ordinal) -> DataFrame:
+    """Per chunk of a cut series, what all earlier (for ``after``: later) chunks hand over to it."""
+    order = F.struct(*[F.col(c) for c in series.order])
+    aggs = [F.sum(c).alias(n) for n, c in sums.items()]
+    for n, value in values.items():
+        pick = F.max_by if n in before else F.min_by
+        aggs.append(pick(value, F.when(value.isNotNull(), order)).alias(n))
+    per = rows.where("_cut").groupBy(*series.key, "_chunk").agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+
+    def over(later: bool) -> WindowSpec:
+        towards = F.col("_chunk").desc() if later else F.col("_chunk").asc()
+        return Window.partitionBy(*series.key).orderBy(towards).rowsBetween(Window.unboundedPreceding, -1)
+
+    first = F.coalesce(F.sum("_rows").over(over(False)), F.lit(0))
+    per = per.withColumn("_from_rows", first)
+    if ordinal:
+        per = per.withColumns({
+            n: F.when(F.col(n).isNotNull(), F.struct(F.col(n)["v"].alias("v"), (F.col(n)["at"] + F.col("_from_rows")).alias("at")))
+            for n in values
+        })
+    return per.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(series.key)],
+        F.col("_chunk").alias("_kc"),
+        *(["_from_rows"] if ordinal else []),
+        *[F.sum(n).over(over(False)).alias(f"_from_{n}") for n in sums],
+        *[F.last(n, True).over(over(n in after)).alias(f"_from_{n}") for n in values],
+    )
 
-    def running(w: WindowSpec) -> dict[str, Column]:
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return {n: F.sum(c).over(frame) for n, c in measures.items()}
 
-    if layout.plain:
-        return df.withColumns(running(series.window()))
-    rows = layout.assign(df)
-    sums = [F.sum(c).alias(n) for n, c in measures.items()]
-    carry = _carried(rows, series, sums, list(measures), F.sum, later=False)
-    out = _with_carry(rows, carry, series).withColumns(running(series.window("_chunk")))
-    out = out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_from_{n}"), F.lit(0)) for n in measures})
-    return out.drop(*_MARKS, *[f"_from_{n}" for n in measures])
+def with_totals(df: DataFrame, series: Series, measures: Mapping[str, Column], layout: Layout | None = None) -> DataFrame:
+    """Running sums per series, current row included."""
+    return with_state(df, series, sums=measures, layout=layout)
 
 
 def with_ordinal(df: DataFrame, series: Series, name: str = "ordinal", layout: Layout | None = None) -> DataFrame:
     """Row number within the series, from 1."""
-    return with_totals(df, series, {name: F.lit(1).cast("long")}, layout)
+    return with_state(df, series, ordinal=name, layout=layout)
 
 
 def with_nearest(
-    df: DataFrame,
-    series: Series,
-    columns: Mapping[str, str],
-    later: bool = False,
-    layout: Layout | None = None,
+    df: DataFrame, series: Series, columns: Mapping[str, str], later: bool = False, layout: Layout | None = None
 ) -> DataFrame:
     """Add ``{new: old}``: the last non-null ``old`` at or before each row, or the first at or after."""
-    layout = layout or measure(df, series)
-
-    def seek(*chunk: str) -> dict[str, Column]:
-        # Looking ahead is looking back in reverse order: a frame that starts at the current row
-        # and ends with the partition would be read again for every row.
-        w = series.backwards(*chunk) if later else series.window(*chunk)
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return {n: F.last(F.col(c), True).over(frame) for n, c in columns.items()}
-
-    if layout.plain:
-        return df.withColumns(seek())
-    rows = layout.assign(df)
-    order = F.struct(*[F.col(c) for c in series.order])
-    pick = F.min_by if later else F.max_by
-    edge = [pick(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(n) for n, c in columns.items()]
-    carry = _carried(rows, series, edge, list(columns), lambda c: F.last(c, True), later)
-    found = {f"_in_{n}": c for n, c in seek("_chunk").items()}
-    out = _with_carry(rows, carry, series).withColumns(found)
-    out = out.withColumns({n: F.coalesce(f"_in_{n}", f"_from_{n}") for n in columns})
-    return out.drop(*_MARKS, *found, *[f"_from_{n}" for n in columns])
+    return with_state(df, series, layout=layout, **{"after" if later else "before": columns})
 
 
 def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

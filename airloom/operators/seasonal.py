@@ -45,10 +45,11 @@ def decompose(
         around = w.rowsBetween(-period, period - 1)
         return {"_trend": F.when(whole, value), "_simple": F.avg(column).over(around)}
 
-    out = with_ordinal(df, series, "_at", layout)
+    out = layout.rest(with_ordinal(df, series, "_at", layout))
     out = with_rows(out, series, smooth, before=period, after=period, layout=layout)
     out = out.withColumn("_phase", (F.col("_at") - 1) % period)
 
+    out = layout.rest(out)
     phases = out.groupBy(*series.key, "_phase").agg(
         F.avg(F.col(column) - F.col("_trend")).alias("_mean"),
         F.count(F.lit(1)).alias("_rows"),
