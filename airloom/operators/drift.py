@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.config import HIGH_DRIFT, KS_LIMIT, LOG_ROWS, MIN_DRIFT_ROWS
-from airloom.operators.ordered import CHUNK_ROWS, Layout, Series, first_rows, join_back, with_ordinal, with_totals
+from airloom.operators.ordered import CHUNK_ROWS, Series, first_rows, join_back, measure, with_ordinal, with_totals
 from airloom.operators.quantiles import long_form
 from airloom.session import settled
 
@@ -19,13 +19,17 @@ def split_tail(df: DataFrame, series: Series, share: float, round_up_tail: bool)
     The tail has ceil(share * n) rows, or n - floor((1 - share) * n) with ``round_up_tail`` off.
     Counts are exact integers scaled by 1e9, so 0.2 * 50 is 10 and not a hair more.
     """
-    placed = with_ordinal(df, series, "_ordinal")
+    layout = measure(df, series)
+    placed = with_ordinal(df, series, "_ordinal", layout)
     sizes = df.groupBy(*series.key).agg(F.count(F.lit(1)).alias("_size"))
     scale = 1_000_000_000
     part = round((share if round_up_tail else 1 - share) * scale)
     portion = F.col("_size") * part / scale
     head = F.col("_size") - F.ceil(portion) if round_up_tail else F.floor(portion)
-    joined = join_back(placed, sizes, series.key)
+    if layout.plain:
+        joined = placed.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*series.key)))
+    else:
+        joined = join_back(placed, sizes, series.key)
     return joined.withColumn("in_tail", F.col("_ordinal") > head).drop("_ordinal", "_size")
 
 
@@ -50,12 +54,7 @@ def ks_stat(
 
     both = side(reference, "n_ref").unionByName(side(current, "n_cur"))
     counted = both.groupBy(*keys, "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-    largest = both.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    layout = None
-    if largest <= chunk_rows:  # not more values than rows: nothing to cut
-        layout = Layout(Series(tuple(keys), "value"), None)
-    else:  # the cuts are looked for in the counts, so those are made once
-        counted = settled(counted, "counts")
+    counted = settled(counted, "counts")  # read three times below, so both samples are read once
     sizes = counted.groupBy(*keys).agg(
         F.sum("n_ref").alias("size_ref"),
         F.sum("n_cur").alias("size_cur"),
@@ -64,7 +63,7 @@ def ks_stat(
     )
     sizes = sizes.where((F.col("size_ref") > 0) & (F.col("size_cur") > 0))
     series = Series(tuple(keys), "value", chunk_rows=chunk_rows)
-    totals = with_totals(counted, series, {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")}, layout)
+    totals = with_totals(counted, series, {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")})
     apart = F.abs(F.col("upto_ref") / F.col("size_ref") - F.col("upto_cur") / F.col("size_cur"))
     rest = [c for c in sizes.columns if c not in keys]
     joined = join_back(totals, sizes, keys).where(F.col("size_ref").isNotNull())

@@ -100,7 +100,7 @@ def knn_impute(
     """
     space = [*cols, "_hs", "_hc"]
     angle = F.hour(series.ts) * (2 * np.pi) / 24
-    df = settled(df, "gaps")  # read as gaps, as donors, for the statistics and for the result
+    df = settled(df, "gaps")  # read for the statistics, the distances and the result
     base = df.withColumns({"_hs": F.sin(angle), "_hc": F.cos(angle)})
     stats = base.groupBy(*series.key).agg(
         *[a for c in space for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]
@@ -113,23 +113,24 @@ def knn_impute(
         ]).alias("z"),
         F.array(*[F.col(c).cast("double") for c in cols]).alias("v"),
     )
-    gaps = scaled.where(F.exists("v", lambda x: x.isNull()))
-
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(*series.key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    scaled = settled(scaled.withColumn("gap", F.exists("v", lambda x: x.isNull())), "scaled")
+    sizes = scaled.groupBy(*series.key).agg(
+        F.ceil(F.count_if("gap") / block_rows).cast("int").alias("_gaps"),
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_donors"),
+    )
+    placed = join_back(scaled, sizes, series.key).where(F.col("_gaps") > 0)
 
-    sizes = join_back(blocks(gaps, "_gb"), blocks(scaled, "_db"), series.key)
-    deal = F.xxhash64(row_id)
+    def block(count: str) -> Column:
+        return F.pmod(F.xxhash64(row_id), F.col(count)).cast("int")
 
-    def dealt(side: DataFrame, mine: str, other: str, as_gap: bool) -> DataFrame:
-        placed = join_back(side, sizes, series.key).where(F.col("_gb").isNotNull())
-        placed = placed.withColumn(mine + "_i", F.pmod(deal, F.col(mine)).cast("int"))
-        placed = placed.withColumn(other + "_i", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return placed.select(
-            *series.key, F.col("_gb_i").alias("gb"), F.col("_db_i").alias("db"), F.lit(as_gap).alias("gap"), row_id, "z", "v"
-        )
+    def meet(gap_block: Column, donor_block: Column, asks: bool) -> Column:
+        return F.struct(gap_block.alias("gb"), donor_block.alias("db"), F.lit(asks).alias("asks"))
 
-    work = dealt(gaps, "_gb", "_db", True).unionByName(dealt(scaled, "_db", "_gb", False))
+    # Every row gives to each block of gaps of its series; a row with gaps also asks each block of donors.
+    gives = F.transform(F.sequence(F.lit(0), F.col("_gaps") - 1), lambda g: meet(g, block("_donors"), False))
+    asks = F.transform(F.sequence(F.lit(0), F.col("_donors") - 1), lambda d: meet(block("_gaps"), d, True))
+    pairs = F.when(F.col("gap"), F.concat(gives, asks)).otherwise(gives)
+    work = placed.select(*series.key, F.explode(pairs).alias("_p"), row_id, "z", "v").select(*series.key, "_p.*", row_id, "z", "v")
     shape = T.StructType([
         *[df.schema[c] for c in series.key],
         df.schema[row_id],
@@ -141,7 +142,7 @@ def knn_impute(
     key, width = list(series.key), len(cols)
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, donors = pdf[pdf["gap"]], pdf[~pdf["gap"]]
+        asks, donors = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         return pd.concat([_best(asks.iloc[i : i + 256], donors, key, row_id, width, k) for i in range(0, len(asks), 256)] or [
             pd.DataFrame(columns=[f.name for f in shape])
         ])
@@ -159,7 +160,7 @@ def knn_impute(
     )
     out = join_back(df, filled, [*series.key, row_id])
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_f_{c}")) for c in cols})
-    return mean_fill(out.drop(*[f"_f_{c}" for c in cols]), series.key, cols)
+    return out.drop(*[f"_f_{c}" for c in cols])
 
 
 def _best(asks: pd.DataFrame, donors: pd.DataFrame, key: list[str], row_id: str, width: int, k: int) -> pd.DataFrame:

@@ -92,6 +92,10 @@ def gap_report(
     The first row of a series has no row before it and is no gap; ``count_first`` counts it anyway,
     as tools do that compare a missing difference with the step.
     """
+    return _spacing(df, series, step_hours, count_first, layout).drop("duplicates")
+
+
+def _spacing(df: DataFrame, series: Series, step_hours: float, count_first: bool, layout: Layout | None) -> DataFrame:
     placed = with_rows(
         df.select(*series.key, *series.order), series, lambda w: {"_before": F.lag(series.ts).over(w)}, before=1, layout=layout
     )
@@ -103,6 +107,7 @@ def gap_report(
         F.sum(F.when(hours > step_hours, 1).otherwise(0)).alias("long_gaps"),
         F.sum(F.when(gap, hours)).alias("gap_hours"),
         F.max(F.when(gap, hours)).alias("max_gap_hours"),
+        F.sum(F.when(hours == 0, 1).otherwise(0)).alias("duplicates"),
     )
     share = 100.0 * F.col("gaps") / F.col("rows")
     severity = F.when(share > GAP_LIMIT, "error").when(F.col("gaps") > 0, "warning").otherwise("ok")
@@ -209,24 +214,24 @@ def quality_score(
     usable = all(c in kinds for c in needed) and all(isinstance(df.schema[c].dataType, T.NumericType) for c in cols)
     if naive_time is None:
         naive_time = kinds.get(series.ts) == "timestamp_ntz"
-    sizes = df.groupBy(*series.key).agg(F.count(F.lit(1)).alias("rows"))
     small = F.col("rows") < min_rows
     if not usable:
+        sizes = df.groupBy(*series.key).agg(F.count(F.lit(1)).alias("rows"))
         return sizes.select(
             *series.key, "rows", F.lit(1).alias("errors"), F.lit(0).alias("warnings"), F.lit(False).alias("is_valid"),
             F.when(small, F.round(100.0 * F.col("rows") / min_rows, 2)).otherwise(50.0).alias("quality_score"),
         )
 
-    gaps = gap_report(df, series, count_first=count_first).select(*series.key, F.col("severity").alias("_gaps"))
-    dups = dup_count(df, series)
+    spacing = _spacing(df, series, 1.0, count_first, None)
+    spacing = spacing.select(*series.key, "rows", "duplicates", F.col("severity").alias("_gaps"))
     missing = missing_report(df, cols, series.key).groupBy(*series.key).agg(
         F.sum(F.when(F.col("severity") == "error", 1).otherwise(0)).alias("_mis_err"),
         F.sum(F.when(F.col("severity") == "warning", 1).otherwise(0)).alias("_mis_warn"),
     )
     outliers = outlier_report(df, outlier_cols or cols, series.key, buffer_rows=buffer_rows)
     outliers = outliers.groupBy(*series.key).agg(F.sum(F.when(F.col("severity") != "ok", 1).otherwise(0)).alias("_out_warn"))
-    out = sizes
-    for part in (gaps, dups, missing, outliers):
+    out = spacing
+    for part in (missing, outliers):
         out = join_back(out, part, series.key)
     if arrival:
         order = sorted_check(df, series, arrival).select(*series.key, (~F.col("is_sorted")).cast("int").alias("_unsorted"))
