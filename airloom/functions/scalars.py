@@ -88,8 +88,7 @@ def standard_score(value, mean, deviation):
 
 def number(value):
     """Text or number to DOUBLE; anything unreadable, and NaN, becomes null."""
-    read = col(value).try_cast("double")
-    return F.when(~F.isnan(read), read)
+    return F.nanvl(col(value).try_cast("double"), F.lit(None).cast("double"))
 
 
 def bounded(value, low, high):

@@ -87,8 +87,13 @@ def filled(sql: str) -> str:
     return sql.replace("{readings}", f"(SELECT {RAW} FROM events)").replace("{hourly}", f"({HOURLY_SQL})")
 
 
+# Means of two-digit values often end in a 5 just behind the rounded digits, where the last bit of
+# a sum would choose the side. Both engines move such halves up by this much first.
+NUDGE = 1e-10
+
+
 def r6(value: Column | str) -> Column:
-    return F.round(F.col(value) if isinstance(value, str) else value, 6)
+    return F.round((F.col(value) if isinstance(value, str) else value) + NUDGE, 6)
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -97,7 +102,7 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 def sr6(expr: str, name: str) -> str:
     """The same rounding in SQL; adding 0 turns a negative zero into zero."""
-    return f"round({expr}, 6) + 0.0 AS {name}"
+    return f"round({expr} + {NUDGE}, 6) + 0.0 AS {name}"
 
 
 def ntz(text: str) -> Column:

@@ -10,7 +10,7 @@ from airloom.operators.drift import split_tail
 from airloom.plans import explain as E
 from airloom.plans import training as M
 from airloom.plans.registry import Registry
-from airloom.queries.base import READ, query, rounded, sr6
+from airloom.queries.base import READ, query, r6, rounded, sr6
 from airloom.queries.batch import _level_sql
 from airloom.session import scratch
 
@@ -57,8 +57,8 @@ def _line(h: int) -> str:
         FROM c, a LEFT JOIN s ON s.event_id = a.event_id)"""
 
 
-_FIT = """count(*) AS rows, round(sqrt(avg((label - prediction) ** 2)), 6) + 0.0 AS rmse, round(avg(abs(label - prediction)), 6) + 0.0 AS mae,
-    round(1 - sum((label - prediction) ** 2) / (var_pop(label) * count(*)), 6) + 0.0 AS r2"""
+_FIT = f"""count(*) AS rows, {sr6('sqrt(avg((label - prediction) ** 2))', 'rmse')}, {sr6('avg(abs(label - prediction))', 'mae')},
+    {sr6('1 - sum((label - prediction) ** 2) / (var_pop(label) * count(*))', 'r2')}"""
 
 
 def _one_table(t):
@@ -97,7 +97,7 @@ def _(t):
     return M.score(_one_table(t), READ, _ridges(t), ONE).drop("color", "advice")
 
 
-@query("importance_all", _each(lambda h: f"""SELECT 'pm25_lag_24h' AS feature, {h} AS horizon_hours, round(any_value(abs(slope)) * avg(abs(x - m)), 6) + 0.0 AS importance
+@query("importance_all", _each(lambda h: f"""SELECT 'pm25_lag_24h' AS feature, {h} AS horizon_hours, {sr6('any_value(abs(slope)) * avg(abs(x - m))', 'importance')}
     FROM (SELECT *, avg(x) OVER () AS m FROM (SELECT * FROM ({_NEWEST} {_line(h)}) WHERE n <= 100))"""))
 def _(t):
     return rounded(E.importance_all(_ridges(t), _one_table(t).na.fill(0.0, ONE), READ, ONE), "importance")
@@ -117,7 +117,7 @@ def _(t):
     for row in metrics.collect():  # one row per trained model
         scores = {"rmse": row.rmse, "mae": row.mae, "r2": row.r2}
         store.save(models[row.model_name, row.horizon_hours], row.model_name, row.horizon_hours, scores, INPUTS, datetime(2024, 1, 31))
-    return store.best().select("model_name", "horizon_hours", F.round("rmse", 6).alias("rmse"), "feature_names")
+    return store.best().select("model_name", "horizon_hours", r6("rmse").alias("rmse"), "feature_names")
 
 
 @query("importance")

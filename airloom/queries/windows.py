@@ -73,13 +73,12 @@ query("roll_std", _roll(["std"]))(lambda t: _rolled(t, READ, ["std"]))
 query("roll_minmax", _roll(["min", "max"]))(lambda t: _rolled(t, READ, ["min", "max"]))
 
 
-@both("roll_time", "SELECT event_id, " + ", ".join("round({0}, 8) AS {1}".format(
+@both("roll_time", "SELECT event_id, " + ", ".join(sr6(
     f"avg(aqi) OVER (PARTITION BY city ORDER BY ts RANGE BETWEEN INTERVAL '{h - 1} hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)",
     f"aqi_time_mean_{h}h") for h in (6, 24)) + " FROM {readings}")
 def _(t, s):
     out = X.rolling_time(t.readings, s, ["aqi"], [6, 24])
-    # 8 digits: means of 32 or 64 two-digit values end in a 5 at the seventh or eighth
-    return out.select("event_id", *[F.round(c, 8).alias(c) for c in ("aqi_time_mean_6h", "aqi_time_mean_24h")])
+    return rounded(out.select("event_id", "aqi_time_mean_6h", "aqi_time_mean_24h"), "aqi_time_mean_6h", "aqi_time_mean_24h")
 
 
 @query("diff", f"""SELECT event_id, {sr6(f'aqi - lag(aqi, 1) OVER {W}', 'aqi_change_1h')}, {sr6(f'aqi - lag(aqi, 6) OVER {W}', 'aqi_change_6h')}
@@ -223,21 +222,20 @@ _SEASON = f"""WITH p AS (SELECT *, row_number() OVER {W} - 1 AS pos FROM {{hourl
         avg(pm25) OVER {frame('24 PRECEDING AND 23 FOLLOWING')} AS simple FROM p),
     m AS (SELECT city, phase, avg(pm25 - trend) AS mean FROM t GROUP BY 1, 2),
     c AS (SELECT city, avg(mean) AS centre FROM m GROUP BY 1)
-    SELECT t.event_id, {sr6('trend', 'pm25_trend')}, {sr6('mean - centre', 'pm25_seasonal')}, round(simple, 8) AS pm25_trend_simple
+    SELECT t.event_id, {sr6('trend', 'pm25_trend')}, {sr6('mean - centre', 'pm25_seasonal')}, {sr6('simple', 'pm25_trend_simple')}
     FROM t JOIN m ON t.city = m.city AND t.phase = m.phase JOIN c ON t.city = c.city"""
 
 
 @both("season_decomp", _SEASON)
 def _(t, s):
     out = seasonal.decompose(t.hourly.select("event_id", "city", "ts", "pm25"), s, "pm25")
-    made = ["pm25_trend", "pm25_seasonal"]
-    return rounded(out.select("event_id", *made, F.round("pm25_trend_simple", 8).alias("pm25_trend_simple")), *made)
+    made = ["pm25_trend", "pm25_seasonal", "pm25_trend_simple"]
+    return rounded(out.select("event_id", *made), *made)
 
 
-@query("trend_centered", f"SELECT event_id, round(avg(aqi) OVER {frame('24 PRECEDING AND 23 FOLLOWING')}, 8) AS aqi_trend_simple FROM {{readings}}")
+@query("trend_centered", f"SELECT event_id, {sr6(f"avg(aqi) OVER {frame('24 PRECEDING AND 23 FOLLOWING')}", 'aqi_trend_simple')} FROM {{readings}}")
 def _(t):
-    # 8 digits: means of 32 two-digit values end in a 5 at the seventh
-    return seasonal.trend_centered(t.readings, READ, "aqi").select("event_id", F.round("aqi_trend_simple", 8).alias("aqi_trend_simple"))
+    return rounded(seasonal.trend_centered(t.readings, READ, "aqi").select("event_id", "aqi_trend_simple"), "aqi_trend_simple")
 
 
 @query("standardize", f"""SELECT event_id, {', '.join(sr6(f'({c} - avg({c}) OVER (PARTITION BY city)) / (stddev_samp({c}) OVER (PARTITION BY city) + 1e-8)', n)
@@ -351,8 +349,8 @@ def _(t):
         ("aqi_change_6h", f"aqi - lag(aqi, 6) OVER {W}"),
         ("dispersion_factor", "temperature * (100 - humidity) / 1000"),
         ("humidity_normalized", "(humidity - avg(humidity) OVER (PARTITION BY city)) / (stddev_samp(humidity) OVER (PARTITION BY city) + 1e-8)"),
-        )) + ", round(avg(aqi) OVER " + frame("24 PRECEDING AND 23 FOLLOWING") + ", 8) AS aqi_trend_simple FROM {readings}")
+        ("aqi_trend_simple", "avg(aqi) OVER " + frame("24 PRECEDING AND 23 FOLLOWING")))) + " FROM {readings}")
 def _(t):
     out = X.long_features(t.readings, READ, LongFeatureSettings())
-    made = ["pm25_lag_168h", "aqi_rolling_max_24h", "pm25_rolling_std_6h", "aqi_change_6h", "dispersion_factor", "humidity_normalized"]
-    return rounded(out.select("event_id", F.round("aqi_trend_simple", 8).alias("aqi_trend_simple"), *made), *made)
+    made = ["pm25_lag_168h", "aqi_rolling_max_24h", "pm25_rolling_std_6h", "aqi_change_6h", "dispersion_factor", "humidity_normalized", "aqi_trend_simple"]
+    return rounded(out.select("event_id", *made), *made)
