@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,27 +30,48 @@ def session(app: str = "airloom", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+_RUN: ContextVar[str | None] = ContextVar("airloom_run", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+    """The folder named in ``spark.checkpoint.dir``, which all executors share.
 
-    Where it is unset, a local session (as in tests) gets a temporary folder; a cluster session
-    is refused, because a machine-local folder would be lost with its executor.
+    Where the setting is absent, as in tests, it becomes a folder in the session's warehouse: the
+    other place that Spark itself expects every executor to reach. Never a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="airloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    context.setCheckpointDir(made)
-    return made
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_airloom"
+        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession):
+    """Intermediate tables made inside the block share one folder, removed when the block ends.
+
+    Put the sink of a chain inside the block: frames that read intermediate tables are of no use
+    afterwards. The folder also goes when the block fails.
+    """
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex[:12]}"
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        remove(spark, path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path that no other call gets, below the run folder if one is open, else the shared folder."""
+    return f"{_RUN.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def settled(df: DataFrame, name: str = "settled") -> DataFrame:
