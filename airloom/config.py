@@ -47,6 +47,11 @@ LEVELS = [
 UNKNOWN_LEVEL = ("Unknown", "gray", "AQI data unavailable. Exercise caution.")
 BEYOND_LEVEL = ("Hazardous", "maroon", "Extreme hazard: Stay indoors with air filtration.")
 
+# place, rounded value, level
+ALERT_SUBJECT = "⚠️ AQI ALERT — %s AQI: %d (%s)"
+# rounded value, level, advice, time
+ALERT_BODY = "Current AQI: %d\nRisk Level: %s\nAdvisory: %s\nTimestamp: %s"
+
 ROLLING_HOURS = [6, 12, 24]
 LAG_HOURS = [1, 3, 6, 12, 24]
 LONG_ROLLING_HOURS = [3, 6, 24]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airloom.config import BEYOND_LEVEL, LEVELS, UNKNOWN_LEVEL, AlertSettings
+from airloom.config import ALERT_BODY, ALERT_SUBJECT, BEYOND_LEVEL, LEVELS, UNKNOWN_LEVEL, AlertSettings
 from airloom.functions.scalars import col
 
 
@@ -37,24 +37,31 @@ def advisory(aqi, levels=LEVELS) -> Column:
     )
 
 
-def alert_subject(aqi, level, place: str) -> Column:
+def alert_subject(aqi, level, place: Column) -> Column:
     """Subject line; the value is shown without decimals, half to even."""
     shown = F.bround(col(aqi), 0).cast("long")
-    return F.format_string(f"⚠️ AQI ALERT — {place} AQI: %d (%s)", shown, col(level))
+    return F.format_string(ALERT_SUBJECT, place, shown, col(level))
 
 
 def alert_body(aqi, level, advice, ts) -> Column:
     shown = F.bround(col(aqi), 0).cast("long")
     when = F.date_format(col(ts), "yyyy-MM-dd HH:mm")
-    return F.format_string("Current AQI: %d\nRisk Level: %s\nAdvisory: %s\nTimestamp: %s", shown, col(level), col(advice), when)
+    return F.format_string(ALERT_BODY, shown, col(level), col(advice), when)
 
 
-def alerts(df: DataFrame, aqi: str, ts: str, settings: AlertSettings = AlertSettings()) -> DataFrame:
-    """The rows at or above the threshold, with rendered subject and body. Works on streams too."""
+def alerts(
+    df: DataFrame, aqi: str, ts: str, settings: AlertSettings = AlertSettings(), place: str | None = None
+) -> DataFrame:
+    """The rows at or above the threshold, with rendered subject and body. Works on streams too.
+
+    ``place`` is a column with each row's place; rows without one, and all rows if there is no such
+    column, get the place of the settings.
+    """
+    where = F.lit(settings.place) if place is None else F.coalesce(F.col(place), F.lit(settings.place))
     found = advisory(aqi)
     keep = df.where(F.lit(settings.enabled) & (F.col(aqi) >= settings.threshold))
     return keep.withColumns({
         "level": found["level"],
-        "subject": alert_subject(aqi, found["level"], settings.place),
+        "subject": alert_subject(aqi, found["level"], where),
         "body": alert_body(aqi, found["level"], found["advice"], ts),
     })

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from airloom.config import LAG_HOURS, ROLLING_HOURS, FeatureSettings, LongFeatureSettings
 from airloom.functions import scalars as S
 from airloom.operators.impute import bfill, ffill, mean_fill
-from airloom.operators.ordered import Layout, Series, join_back, measure, with_nearest, with_rows, with_span
+from airloom.operators.ordered import Layout, Series, join_back, measure, with_nearest, with_rows, with_span_means
 from airloom.operators.seasonal import decompose
 
 # --- window columns, for use inside one ``with_rows`` call -------------------------------------
@@ -46,23 +46,19 @@ def lag_features(df, series: Series, cols: Sequence[str], counts: Sequence[int]
 def lag_time(df: DataFrame, series: Series, cols: Sequence[str], hours: Sequence[int] = tuple(LAG_HOURS)) -> DataFrame:
     """Values exactly ``n`` hours earlier, null when that hour is missing.
 
-    Each row sends its values to the times that look back at it; one grouping by (key, time) then
-    joins them, so neither row order nor a large series matters. Expects one row per key and time.
+    Every row stays, also rows that share a key and time; such rows are looked back at by their last
+    one in tie order. Each (key, time) sends the looked-at columns, and only those, to the times that
+    look back at it, so neither row order nor a large series matters. A row without time has no lags.
     """
-    steps = F.array(F.lit(0), *[F.lit(h) for h in hours])
     key = [*series.key, series.ts]
-    sent = df.select("*", F.explode(steps).alias("_step"))
+    order = F.struct(*[F.col(c) for c in (series.ties or cols)])
+    held = df.where(F.col(series.ts).isNotNull()).groupBy(*key).agg(F.max_by(F.struct(*cols), order).alias("_held"))
+    sent = held.select("*", F.explode(F.array(*[F.lit(h) for h in hours])).alias("_step"))
     sent = sent.withColumn(series.ts, F.col(series.ts) + F.make_dt_interval(F.lit(0), F.col("_step")))
-    here = F.col("_step") == 0
-    others = [c for c in df.columns if c not in key]
-    # A copy for a later time carries only what is looked back at.
-    sent = sent.withColumns({c: F.when(here, F.col(c)) for c in others if c not in cols})
-    out = sent.groupBy(*key).agg(
-        F.max(here).alias("_real"),
-        *[F.max(F.when(here, F.col(c))).alias(c) for c in others],
-        *[F.max(F.when(F.col("_step") == h, F.col(c))).alias(f"{c}_at_{h}h") for c in cols for h in hours],
-    )
-    return out.where("_real").drop("_real")
+    found = sent.groupBy(*key).agg(*[
+        F.max(F.when(F.col("_step") == h, F.col(f"_held.{c}"))).alias(f"{c}_at_{h}h") for c in cols for h in hours
+    ])
+    return join_back(df, found, key)
 
 
 def lead_target(df, series: Series, column: str, horizon: int, name: str | None = None, layout: Layout | None = None):
@@ -82,12 +78,7 @@ def rolling_features(
 
 def rolling_time(df, series: Series, cols: Sequence[str], hours: Sequence[int] = tuple(ROLLING_HOURS)):
     """Means over the last ``n`` hours by the clock, current time included, start excluded by one microsecond."""
-    made = {
-        f"{c}_time_mean_{h}h": f"avg(`{c}`) | RANGE BETWEEN INTERVAL '{h - 1}:59:59.999999' HOUR TO SECOND PRECEDING AND CURRENT ROW"
-        for c in cols
-        for h in hours
-    }
-    return with_span(df, series, made, timedelta(hours=max(hours)))
+    return with_span_means(df, series, {f"{c}_time_mean_{h}h": (c, timedelta(hours=h)) for c in cols for h in hours})
 
 
 def diff(df, series: Series, column: str, counts: Mapping[int, str], layout: Layout | None = None):
@@ -189,6 +180,11 @@ def short_features(
     return ratios(time_parts(out, series.ts))
 
 
+#: Columns of the long set with lags, and with which rolling statistics.
+LAGGED = ("aqi", "pm25", "pm10")
+ROLLED = {"aqi": ("mean", "std", "min", "max"), "pm25": ("mean", "std")}
+
+
 def long_features(
     df: DataFrame, series: Series, settings: LongFeatureSettings = LongFeatureSettings(), layout: Layout | None = None
 ) -> DataFrame:
@@ -206,9 +202,8 @@ def long_features(
     name = "{c}_rolling_{s}_{n}h"
 
     def stage(w):
-        made = _all(lags(w, c, settings.lags) for c in ("aqi", "pm25", "pm10"))
-        made |= rolling(w, "aqi", settings.rolling, ("mean", "std", "min", "max"), name)
-        made |= rolling(w, "pm25", settings.rolling, ("mean", "std"), name)
+        made = _all(lags(w, c, settings.lags) for c in LAGGED)
+        made |= _all(rolling(w, c, settings.rolling, stats, name) for c, stats in ROLLED.items())
         made |= {"aqi_change_1h": change(w, "aqi", 1), "aqi_change_6h": change(w, "aqi", 6)}
         made["pm25_accumulation"] = F.avg("pm25").over(w.rowsBetween(-2, 0))
         return made

@@ -29,9 +29,11 @@ def pit_join(
 
     Both sides go into one ordered stream per key, features before requests at equal times, and
     each request takes the last feature seen: one shuffle of each side, no pairs, never a look
-    ahead. ``ties`` order feature rows with equal times, the last one counts. Keys with very many
-    rows are cut by time like every ordered operator.
+    ahead. ``ties`` order feature rows with equal times, the last one counts; without them the values
+    decide. A request with a null in its key finds nothing. Keys with very many rows are cut by time
+    like every ordered operator.
     """
+    ties = list(ties) or list(cols)
     held = F.struct(F.col(feature_ts).alias("_at"), *[F.col(c) for c in cols])
     own = list(requests.columns)
     ask = requests.select(
@@ -51,6 +53,8 @@ def pit_join(
     series = Series(tuple(key), "_ts", ("_side", *[f"_t{i}" for i in range(len(ties))]), chunk_rows)
     found = with_nearest(both, series, {"_last": "_feature"}, layout=layout).where(F.col("_side") == 1)
     fresh = F.col("_last._at") >= F.col("_ts") - F.make_dt_interval(secs=F.lit(ttl_hours * 3600.0))
+    for k in key:
+        fresh = fresh & F.col(f"_request.{quoted(k)}").isNotNull()
     return found.select(
         *[F.col(f"_request.{quoted(c)}") for c in own],
         F.when(fresh, F.col("_last._at")).alias("feature_ts"),

@@ -4,24 +4,25 @@ Lags, rolling frames, fills, ordinals and running totals all need the rows of a
 ``Window.partitionBy(key)`` puts a whole series into one task, which fails once one station holds
 a third of the table. So every operator here first measures the series. A table whose series all
 fit in ``chunk_rows`` gets the plain window. Otherwise the large series are cut at positions of
-the order column into chunks of about ``chunk_rows`` rows, windows run per (key, chunk), and what
-a chunk needs from its neighbours reaches it in one of three exact ways:
+the order columns, ties included, into chunks of about ``chunk_rows`` rows, windows run per (key,
+chunk), and what a chunk needs from its neighbours reaches it in one of three exact ways:
 
 * row frames: the last ``before`` rows of the chunk before it and the first ``after`` rows of the
   chunk after it are added and dropped again;
-* time frames: a row is also sent to each later chunk that starts within ``span`` of it;
+* time frames: rows are summed per time first, and a time is also sent to each later chunk that
+  starts within ``span`` of it, however many those are;
 * unlimited state (fills, totals): one summary row per chunk, accumulated over the few chunks of
   the series and joined back.
 
-Only the cut series appear in the cut table, and chunks grow once there would be more than
-``MAX_CHUNKS`` of them, so what is broadcast is bounded whatever the size of the data.
+The cut table is a written table with a row for each cut series. It is joined by key without a
+hint and never collected, so neither the number of series nor that of chunks has a limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -31,9 +32,11 @@ from pyspark.sql import types as T
 from airloom.session import settled
 
 CHUNK_ROWS = 1_000_000
-MAX_CUT_SERIES = 10_000
-MAX_CHUNKS = 50_000
-MAX_CUTS = 4_095  # per series, searched with 12 halving steps
+
+#: A table that is joined back by key is broadcast up to so many values, beyond that shuffled.
+BROADCAST_VALUES = 1_000_000
+
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
 
@@ -75,13 +78,18 @@ def same_key(left: DataFrame, right: DataFrame, names: Mapping[str, str]) -> Col
 def join_back(df: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFrame:
     """Add the columns of ``table``, one row per key, to every row; null keys meet each other.
 
-    No broadcast hint: adaptive execution measures the table and broadcasts it when small, and
-    splits hot keys when it has to shuffle. Without key the table is a single row.
+    The table is written and counted first: up to ``BROADCAST_VALUES`` it is broadcast and ``df``
+    stays where it is; beyond that both sides are shuffled, and adaptive execution splits hot keys.
+    Without key the table is a single row. Streams are joined without a look at the table.
     """
     if not key:
         return df.join(F.broadcast(table), F.lit(True), "left")
     names = {k: f"_j{i}" for i, k in enumerate(key)}
     right = table.withColumnsRenamed(names)
+    if not df.isStreaming and not table.isStreaming:
+        right = settled(right, "by_key")
+        if right.count() * len(right.columns) <= BROADCAST_VALUES:
+            right = F.broadcast(right)
     return df.join(right, same_key(df, right, names), "left").drop(*names.values())
 
 
@@ -92,23 +100,33 @@ def _position(df: DataFrame, name: str, shift: Column | None = None) -> Column:
     return value
 
 
-def _slot(cuts: Column, position: Column) -> Column:
-    """How many of the sorted ``cuts`` are at or below ``position`` (binary search)."""
-    steps = F.array(*[F.lit(1 << b) for b in range(11, -1, -1)])
+def _place(df: DataFrame, series: Series) -> Column:
+    """Where a row stands in its series: time and ties as one comparable value."""
+    return F.struct(_position(df, series.ts).alias("p0"), *[F.col(t).alias(f"p{i}") for i, t in enumerate(series.ties, 1)])
+
+
+def _slot(cuts: Column, place: Column) -> Column:
+    """How many of the sorted ``cuts`` are at or below ``place`` (binary search)."""
+    top = F.floor(F.log2(F.greatest(F.size(cuts), F.lit(1)) + F.lit(0.5))).cast("int")
+    steps = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
     found = F.aggregate(
         steps,
         F.lit(0),
-        lambda at, step: F.when(F.get(cuts, at + step - 1) <= position, at + step).otherwise(at),
+        lambda at, step: F.when(F.get(cuts, at + step - 1) <= place, at + step).otherwise(at),
     )
     return F.coalesce(found, F.lit(0))
 
 
 @dataclass(frozen=True)
 class Layout:
-    """The cuts of the series that are too large for one task; ``None`` when there are none."""
+    """The cuts of the series that are too large for one task; ``None`` when there are none.
+
+    No chunk has fewer than ``least`` rows of the table that was measured.
+    """
 
     series: Series
     cuts: DataFrame | None
+    least: int = 0
 
     @property
     def plain(self) -> bool:
@@ -123,107 +141,60 @@ class Layout:
         """Add ``_chunk``, ``_cut`` (series is cut) and ``_halo`` (row is a copy for a later chunk)."""
         series = self.series
         names = {k: f"_k{i}" for i, k in enumerate(series.key)}
-        small = F.broadcast(self.cuts)
-        joined = df.join(small, same_key(df, small, names), "left").drop(*names.values())
-        own = _slot(F.col("_cuts"), _position(df, series.ts))
+        joined = df.join(self.cuts, same_key(df, self.cuts, names), "left").drop(*names.values())
+        own = _slot(F.col("_cuts"), _place(df, series))
         out = joined.withColumn("_cut", F.col("_cuts").isNotNull()).withColumn("_own", own)
         if span is None:
             out = out.withColumn("_chunk", F.col("_own"))
         else:
-            last = _slot(F.col("_cuts"), _position(df, series.ts, span))
+            last = _slot(F.col("_times"), _position(df, series.ts, span))
             out = out.withColumn("_chunk", F.explode(F.sequence("_own", F.greatest("_own", last))))
-        return out.withColumn("_halo", F.col("_chunk") != F.col("_own")).drop("_cuts", "_own")
+        return out.withColumn("_halo", F.col("_chunk") != F.col("_own")).drop("_cuts", "_times", "_own")
 
 
 _MARKS = ("_chunk", "_cut", "_halo")
 
 
-def measure(df: DataFrame, series: Series, need: int = 0, apart: timedelta | None = None) -> Layout:
+def measure(df: DataFrame, series: Series, need: int = 0) -> Layout:
     """Find the series above ``chunk_rows`` and cut them into chunks of at least ``need`` rows.
 
-    One count per key decides. Only large series cost two more passes over key and order column:
-    approximate quantiles propose cuts, exact counts between them merge pieces that came out small
-    or, with ``apart``, shorter than that in time. The driver sees at most ``MAX_CUT_SERIES`` keys
-    and about ``MAX_CHUNKS`` cuts. A series left uncut has at most ``chunk_rows`` rows or one in
-    ``MAX_CUT_SERIES`` of the table.
+    One count per key decides. The rows of large series, key and order columns only, are then sorted
+    by range; every quarter of a chunk is a piece, and its first row is where a chunk may begin. Pieces are put together until a chunk is full, with exact counts. Rows that are
+    equal in all order columns stay together.
     """
     limit = max(series.chunk_rows, 2 * need)
-    keys = list(series.key)
-    large = (
-        df.groupBy(*keys)
-        .count()
-        .where(F.col("count") > limit)
-        .orderBy(F.desc("count"))
-        .limit(MAX_CUT_SERIES)
-        .collect()
-    )
-    if not large:
+    least = max(limit // 2, need)
+    keys = {k: f"_k{i}" for i, k in enumerate(series.key)}
+    sizes = df.groupBy(*series.key).count().where(F.col("count") > limit)
+    large = settled(sizes.withColumnsRenamed(keys).withColumnRenamed("count", "_size"), "large")
+    total = large.agg(F.sum("_size")).first()[0]
+    if not total:
         return Layout(series, None)
 
-    spark = df.sparkSession
-    sizes = {tuple(r[k] for k in keys): r["count"] for r in large}
-    limit = max(limit, -(-sum(sizes.values()) // MAX_CHUNKS))
-    fields = [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
-    names = {k: f"_k{i}" for i, k in enumerate(keys)}
-    wanted = F.broadcast(spark.createDataFrame(list(sizes), T.StructType(fields)))
-    rows = df.select(*keys, _position(df, series.ts).alias("_pos"))
-    rows = rows.join(wanted, same_key(rows, wanted, names), "left_semi")
-
-    pieces = min(MAX_CUTS + 1, -(-max(sizes.values()) // limit))
-    shares = [i / pieces for i in range(1, pieces)]
-    if not shares:
-        return Layout(series, None)
-    # Smaller series take every n-th of the quantiles, so about size / limit of them.
-    step = F.greatest(F.lit(1), F.floor(F.lit(pieces * limit) / F.col("_size"))).cast("int")
-    thinned = F.filter("_cuts", lambda _, i: (i + 1) % step == 0)
-    proposed = (
-        rows.groupBy(*keys)
-        .agg(F.percentile_approx("_pos", shares, max(10_000, 20 * pieces)).alias("_cuts"), F.count(F.lit(1)).alias("_size"))
-        .select(*keys, F.array_sort(F.array_distinct(thinned)).alias("_cuts"))
-        .collect()
-    )
-    cuts = {tuple(r[k] for k in keys): list(r["_cuts"] or []) for r in proposed}
+    rows = df.select(*series.key, _place(df, series).alias("_start"))
+    rows = rows.join(large, same_key(rows, large, keys), "left_semi")
+    dealt = rows.repartitionByRange(-(-total // CHUNK_ROWS), *series.key, "_start").sortWithinPartitions(*series.key, "_start")
+    step = max(limit // 4, 1)  # the id counts the rows of each task
+    dealt = dealt.withColumn("_piece", F.floor(F.monotonically_increasing_id() / step))
+    pieces = dealt.groupBy(*series.key, "_piece").agg(F.min("_start").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    listed = pieces.groupBy(*series.key).agg(F.sort_array(F.collect_list(F.struct("_piece", "_start", "_n"))).alias("_pieces"))
 
-    kind = T.ArrayType(rows.schema["_pos"].dataType)
-    shape = T.StructType([*fields, T.StructField("_cuts", kind)])
+    kind = T.ArrayType(rows.schema["_start"].dataType)
+    begin = F.struct(F.array().cast(kind).alias("cuts"), F.lit(0).cast("long").alias("run"))
 
-    def table() -> DataFrame:
-        return spark.createDataFrame([(*k, c) for k, c in cuts.items() if c], shape)
-
-    if not any(cuts.values()):
-        return Layout(series, None)
-    trial = F.broadcast(table())
-    counted = (
-        rows.join(trial, same_key(rows, trial, names))
-        .groupBy(*keys, _slot(F.col("_cuts"), F.col("_pos")).alias("_slot"))
-        .count()
-        .collect()
-    )
-    held: dict[tuple, dict[int, int]] = {}
-    for r in counted:
-        held.setdefault(tuple(r[k] for k in keys), {})[r["_slot"]] = r["count"]
-    least = max(limit // 2, need)
-    for key, slots in held.items():
-        cuts[key] = _merged(cuts[key], slots, least, apart)
-    if not any(cuts.values()):
-        return Layout(series, None)
-    return Layout(series, table())
+    def fill(acc: Column, piece: Column) -> Column:
+        full = (acc["run"] >= limit) & (F.coalesce(F.try_element_at(acc["cuts"], F.lit(-1)) < piece["_start"], F.lit(True)))
+        return F.struct(
+            F.when(full, F.array_append(acc["cuts"], piece["_start"])).otherwise(acc["cuts"]).alias("cuts"),
+            F.when(full, piece["_n"]).otherwise(acc["run"] + piece["_n"]).alias("run"),
+        )
 
+    def close(acc: Column) -> Column:
+        return F.when(acc["run"] < least, F.slice(acc["cuts"], 1, F.greatest(F.size(acc["cuts"]) - 1, F.lit(0)))).otherwise(acc["cuts"])
 
-def _merged(cuts: Sequence, slots: Mapping[int, int], least: int, apart: timedelta | None) -> list:
-    """The cuts that leave at least ``least`` rows on both of their sides, and ``apart`` between them."""
-    kept, running, left = [], 0, sum(slots.values())
-    for i, cut in enumerate(cuts):
-        running += slots.get(i, 0)
-        left -= slots.get(i, 0)
-        if apart and kept:
-            gap = cut - kept[-1] if isinstance(cut, datetime) else timedelta(microseconds=cut - kept[-1])
-            if gap < apart:
-                continue
-        if running >= least and left >= least:
-            kept.append(cut)
-            running = 0
-    return kept
+    cuts = listed.select(*series.key, F.aggregate("_pieces", begin, fill, close).alias("_cuts")).where(F.size("_cuts") > 0)
+    cuts = cuts.withColumn("_times", F.transform("_cuts", lambda c: c["p0"])).withColumnsRenamed(keys)
+    return Layout(series, settled(cuts, "cuts"), least)
 
 
 def with_rows(
@@ -238,12 +209,15 @@ def with_rows(
 
     Each stage maps the ordered window to named columns and may use columns of earlier stages;
     ``before`` and ``after`` cover all stages together. All stages share one shuffle and one sort.
+    A ``layout`` whose chunks may be shorter than that is refused.
     """
     layout = layout or measure(df, series, max(before, after))
     if layout.plain:
         for stage in stages:
             df = df.withColumns(dict(stage(series.window())))
         return df
+    if layout.least < max(before, after):
+        raise ValueError(f"measured for {layout.least} rows, but frames reach {max(before, after)}; pass need= to measure()")
 
     rows = layout.assign(df)
     parts = [rows]
@@ -270,33 +244,38 @@ def _edge(rows: DataFrame, series: Series, order: list[Column], n: int, move: in
     )
 
 
-def with_span(
-    df: DataFrame,
-    series: Series,
-    columns: Mapping[str, str],
-    span: timedelta,
-) -> DataFrame:
-    """Add columns from time frames reaching at most ``span`` back.
-
-    Chunks are at least ``span`` long, so a row is sent to at most one more chunk.
+def with_span_means(df: DataFrame, series: Series, means: Mapping[str, tuple[str, timedelta]]) -> DataFrame:
+    """Add ``{new: (column, span)}``: means over the rows less than ``span`` back, all equal times included.
 
-    ``columns`` maps names to SQL text ``aggregate | frame``, for example
-    ``avg(aqi) | RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW``.
+    A time frame sees equal times together, so large series are first summed per time; times are then
+    cut like rows, with chunks that may be shorter than the span, and the means joined back by time.
     """
-    layout = measure(df, series, apart=span)
-    keys = [*series.key]
-    if layout.plain:
-        rows = df
-    else:
-        rows = layout.assign(df, F.lit(span))
-        keys.append("_chunk")
-    over = ", ".join(f"`{k}`" for k in keys)
-    made = {}
-    for name, text in columns.items():
-        aggregate, frame = (part.strip() for part in text.split("|"))
-        made[name] = F.expr(f"{aggregate} OVER (PARTITION BY {over} ORDER BY `{series.ts}` {frame})")
-    rows = rows.withColumns(made)
-    return rows if layout.plain else rows.where(~F.col("_halo")).drop(*_MARKS)
+
+    def frame(span: timedelta, *extra: str) -> str:
+        over = ", ".join(f"`{k}`" for k in (*series.key, *extra))
+        reach = span // timedelta(microseconds=1) - 1
+        back = f"INTERVAL '{reach // 1_000_000}.{reach % 1_000_000:06d}' SECOND PRECEDING"
+        return f"OVER (PARTITION BY {over} ORDER BY `{series.ts}` RANGE BETWEEN {back} AND CURRENT ROW)"
+
+    if measure(df, series).plain:
+        return df.withColumns({n: F.expr(f"avg(`{c}`) {frame(span)}") for n, (c, span) in means.items()})
+    key = [*series.key, series.ts]
+    columns = dict.fromkeys(c for c, _ in means.values())
+    sums = [x for i, c in enumerate(columns) for x in (F.sum(c).alias(f"_s{i}"), F.count(c).alias(f"_c{i}"))]
+    times = settled(df.groupBy(*key).agg(*sums), "times")
+    by_time = Series(series.key, series.ts, (), series.chunk_rows)
+    layout = measure(times, by_time)
+    extra = ()
+    if not layout.plain:
+        times, extra = layout.assign(times, F.lit(max(span for _, span in means.values()))), ("_chunk",)
+    at = {c: i for i, c in enumerate(columns)}
+    made = {n: F.expr(f"try_divide(sum(_s{at[c]}) {frame(span, *extra)}, sum(_c{at[c]}) {frame(span, *extra)})") for n, (c, span) in means.items()}
+    times = times.withColumns(made)
+    if extra:
+        times = times.where(~F.col("_halo"))
+    names = {k: f"_j{i}" for i, k in enumerate(key)}
+    times = times.select(*[F.col(k).alias(n) for k, n in names.items()], *means)
+    return df.join(times, same_key(df, times, names), "left").drop(*names.values())
 
 
 def with_state(
@@ -339,8 +318,7 @@ def with_state(
     if not layout.plain:
         carry = _carry(rows, series, sums, values, before, after, ordinal)
         names = {k: f"_k{i}" for i, k in enumerate(series.key)} | {"_chunk": "_kc"}
-        small = F.broadcast(carry)  # one row per chunk of the cut series, see MAX_CHUNKS
-        rows = rows.join(small, same_key(rows, small, names), "left").drop(*names.values())
+        rows = rows.join(carry, same_key(rows, carry, names), "left").drop(*names.values())
     out = rows.withColumns(found)
 
     spare = [f"_s_{n}" for n in values]
@@ -410,6 +388,12 @@ def with_nearest(
 
 
 def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The first ``n`` rows of each key. Spark limits per task before the shuffle, so hot keys stay small."""
+    """The first ``n`` rows of each key. Spark limits per task before the shuffle, so hot keys stay small.
+
+    Spark does that up to a threshold, which is raised for the session where ``n`` is larger.
+    """
+    conf = df.sparkSession.conf
+    if n > int(conf.get(GROUP_LIMIT)):
+        conf.set(GROUP_LIMIT, n)
     place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from airloom.config import HORIZONS, RULES, Rule
 from airloom.functions.scalars import number
+from airloom.operators.ordered import same_key
 
 
 def in_range(name: str, rule: Rule) -> Column:
@@ -43,9 +44,11 @@ def chart_series(df: DataFrame, ts: str, value: str) -> DataFrame:
 
 
 def min_rows_guard(df: DataFrame, key: Sequence[str], least: int) -> DataFrame:
-    """Keep the series with at least ``least`` rows."""
+    """Keep the series with at least ``least`` rows; rows with a null key are a series too."""
     enough = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least)
-    return df.join(enough, list(key), "left_semi")
+    names = {k: f"_k{i}" for i, k in enumerate(key)}
+    enough = enough.withColumnsRenamed(names)
+    return df.join(enough, same_key(df, enough, names), "left_semi")
 
 
 def split_horizons(requests: DataFrame, column: str, horizons: Sequence[int] = HORIZONS) -> tuple[DataFrame, DataFrame]:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airloom.config import FEATURE_GROUPS, FEATURE_TIERS, LONG_LAG_HOURS, LONG_ROLLING_HOURS
+from airloom.config import FEATURE_GROUPS, FEATURE_TIERS, LongFeatureSettings
+from airloom.functions.scalars import cyclical
+from airloom.operators.features import LAGGED, ROLLED
 from airloom.operators.ordered import first_rows
 
 SCHEMA = (
@@ -24,41 +27,46 @@ SENSORS = [
     ("humidity", "meteorological", "open_meteo_api", 0, 100, ["weather", "meteorological"]),
     ("wind_speed", "meteorological", "open_meteo_api", 0, 30, ["weather", "dispersion"]),
 ]
-# Derived features with range, dependencies and tags.
-DERIVED = [
-    ("is_weekend", "int", "temporal", 0, 1, [], ["temporal", "categorical"]),
-    ("is_rush_hour", "int", "temporal", 0, 1, [], ["temporal", "human_activity"]),
-    ("temp_normalized", "float", "meteorological", -1, 1, ["temperature", "humidity"], ["derived", "meteorological"]),
-    ("humidity_normalized", "float", "meteorological", -1, 1, ["temperature", "humidity"], ["derived", "meteorological"]),
-    ("atmospheric_stability", "float", "meteorological", 0, 1, ["temperature", "humidity"], ["derived", "meteorological"]),
-    ("pm_ratio", "float", "meteorological", 0, 1, ["pm25", "pm10"], ["derived", "meteorological"]),
-    ("dispersion_factor", "float", "interaction", 0, 10, [], ["derived", "interaction", "nonlinear"]),
-    ("aqi_momentum", "float", "interaction", -50, 50, [], ["derived", "interaction", "nonlinear"]),
-    ("temp_humidity_interaction", "float", "interaction", -1, 1, [], ["derived", "interaction", "nonlinear"]),
-    ("pm25_accumulation", "float", "interaction", 0, 1, [], ["derived", "interaction", "nonlinear"]),
-    ("aqi_change_1h", "float", "interaction", -100, 100, [], ["derived", "interaction", "nonlinear"]),
-    ("aqi_change_6h", "float", "interaction", -200, 200, [], ["derived", "interaction", "nonlinear"]),
-    ("aqi_trend", "float", "seasonal", -100, 100, ["aqi"], ["time_series", "seasonal", "decomposition"]),
-    ("aqi_seasonal", "float", "seasonal", -50, 50, ["aqi"], ["time_series", "seasonal", "decomposition"]),
-]
+# Range and tags of derived features by category; no range where none is published.
+DERIVED = {
+    "temporal": (["temporal", "categorical"], {"is_weekend": (0, 1), "is_rush_hour": (0, 1), "hour": (0, 23), "day_of_week": (0, 6), "month": (1, 12)}),
+    "meteorological": (["derived", "meteorological"], {
+        "temp_normalized": (-1, 1), "humidity_normalized": (-1, 1), "atmospheric_stability": (0, 1), "pm_ratio": (0, 1)}),
+    "interaction": (["derived", "interaction", "nonlinear"], {
+        "dispersion_factor": (0, 10), "aqi_momentum": (-50, 50), "temp_humidity_interaction": (-1, 1), "pm25_accumulation": (0, 1),
+        "aqi_change_1h": (-100, 100), "aqi_change_6h": (-200, 200)}),
+    "seasonal": (["time_series", "seasonal", "decomposition"], {
+        "aqi_trend": (-100, 100), "aqi_seasonal": (-50, 50), "aqi_trend_simple": (None, None)}),
+}
 
+#: What each derived feature is computed from; calendar features only need the time.
+INPUTS = {
+    "temp_normalized": ["temperature"], "humidity_normalized": ["humidity"], "atmospheric_stability": ["temperature", "humidity"],
+    "pm_ratio": ["pm25", "pm10"], "dispersion_factor": ["temperature", "humidity"], "aqi_momentum": ["aqi"],
+    "temp_humidity_interaction": ["temperature", "humidity"], "pm25_accumulation": ["pm25"], "aqi_change_1h": ["aqi"],
+    "aqi_change_6h": ["aqi"], "aqi_trend": ["aqi"], "aqi_seasonal": ["aqi"], "aqi_trend_simple": ["aqi"],
+}
 
-def catalogue(spark: SparkSession) -> DataFrame:
-    """The features this library produces, under the names it produces them."""
+
+def catalogue(spark: SparkSession, settings: LongFeatureSettings = LongFeatureSettings()) -> DataFrame:
+    """The sensor readings and every feature that ``long_features`` makes of them with these settings."""
     rows = [(n, "float", cat, src, float(lo), float(hi), [], tags) for n, cat, src, lo, hi, tags in SENSORS]
-    for column, hours in (("aqi", LONG_LAG_HOURS), ("pm25", [1, 2, 6, 24]), ("pm10", [1, 2, 6, 24])):
-        for h in hours:
-            tags = ["temporal", "autoregressive", f"lag_{h}h"] if column == "aqi" else ["temporal", "pollutant"]
-            rows.append((f"{column}_lag_{h}h", "float", "lag_features", "computed", None, None, [column], tags))
-    for h in LONG_ROLLING_HOURS:
-        for stat in ("mean", "std", "min", "max"):
-            tags = ["rolling", "statistical", f"window_{h}h"]
-            rows.append((f"aqi_rolling_{stat}_{h}h", "float", "rolling_stats", "computed", None, None, ["aqi"], tags))
-    for part in ("hour", "day", "month"):
-        for wave in ("sin", "cos"):
-            tags = ["temporal", "cyclical", "periodic"]
-            rows.append((f"{part}_{wave}", "float", "cyclical", "computed", -1.0, 1.0, [], tags))
-    rows += [(n, kind, cat, "computed", float(lo), float(hi), deps, tags) for n, kind, cat, lo, hi, deps, tags in DERIVED]
+
+    def add(name, category, tags, inputs=(), bounds=(None, None), kind="float"):
+        low, high = (None if b is None else float(b) for b in bounds)
+        rows.append((name, kind, category, "computed", low, high, list(inputs), tags))
+
+    for column in LAGGED:
+        for hours in settings.lags:
+            add(f"{column}_lag_{hours}h", "lag_features", ["temporal", "autoregressive", f"lag_{hours}h"] if column == "aqi" else ["temporal", "pollutant"], [column])
+    for column, stats in ROLLED.items():
+        for hours, stat in product(settings.rolling, stats):
+            add(f"{column}_rolling_{stat}_{hours}h", "rolling_stats", ["rolling", "statistical", f"window_{hours}h"], [column])
+    for name in cyclical("timestamp"):
+        add(name, "cyclical", ["temporal", "cyclical", "periodic"], bounds=(-1, 1))
+    for category, (tags, features) in DERIVED.items():
+        for name, bounds in features.items():
+            add(name, category, tags, INPUTS.get(name, ()), bounds, "int" if category == "temporal" else "float")
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -12,6 +12,7 @@ from airloom.config import SAMPLE_ROWS
 from airloom.operators.latest import sample_tail
 from airloom.operators.ordered import Series
 from airloom.plans.training import ranked
+from airloom.session import settled
 
 
 def linear_importance(model: PipelineModel, sample: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -34,21 +35,21 @@ def tree_importance(model: PipelineModel, sample: DataFrame, features: Sequence[
     return sample.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_importance(model: PipelineModel, sample: DataFrame, features: Sequence[str], label: str, seed: int = 42, buckets: int = 1) -> DataFrame:
+def permutation_importance(model: PipelineModel, sample: DataFrame, features: Sequence[str], label: str, seed: int = 42, bucket_rows: int = 50_000) -> DataFrame:
     """How much the RMSE grows when one feature is shuffled between the rows of the sample.
 
-    The sample is the bounded tail that explanations use (``SAMPLE_ROWS`` per series), so ranking
-    it for the shuffle is small; raise ``buckets`` for a larger one. All features are scored in one
-    pass over rows times features.
+    Rows trade places inside random buckets of about ``bucket_rows`` rows, so no task ranks the whole
+    sample, whatever its size and however many rows are equal. All features are scored in one pass
+    over rows times features.
     """
     inputs = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
     base = sample.where(F.col(label).isNotNull()).select(F.col(label).alias("_y"), *inputs)
-    # Rows trade places inside hash buckets, so no single task sorts the whole sample.
-    bucket = F.pmod(F.xxhash64("_y", *features), F.lit(buckets))
-    rows = base.withColumn("_bucket", bucket)
+    base = settled(base.withColumn("_n", F.monotonically_increasing_id()), "sample")
+    buckets = -(-base.count() // bucket_rows) or 1
+    rows = base.withColumn("_bucket", F.pmod(F.xxhash64("_n"), F.lit(buckets)))
     place = Window.partitionBy("_bucket")
-    given = rows.withColumn("_place", F.row_number().over(place.orderBy("_y", *features)))
-    shuffled = rows.withColumn("_place", F.row_number().over(place.orderBy(F.xxhash64("_y", *features, F.lit(seed)))))
+    given = rows.withColumn("_place", F.row_number().over(place.orderBy("_n")))
+    shuffled = rows.withColumn("_place", F.row_number().over(place.orderBy(F.xxhash64("_n", F.lit(seed)), "_n")))
     other = shuffled.select("_bucket", "_place", *[F.col(f).alias(f"_s_{f}") for f in features])
     both = given.join(other, ["_bucket", "_place"])
     which = F.explode(F.array(F.lit(""), *[F.lit(f) for f in features]))

@@ -113,17 +113,14 @@ def train_grid(
     ahead = settled(ahead.select(*kept), "training")
     fitted, scores = {}, []
     for h, label in labels.items():
-        split = split_tail(ahead.where(F.col(label).isNotNull()), series, TEST_SHARE, True).persist()
-        try:
-            train, test = split.where(~F.col("in_tail")), split.where("in_tail")
-            for name, make in models.items():
-                model = fit(train, features, label, make)
-                fitted[name, h] = model
-                scored = model.transform(test.na.fill(0.0, features))
-                row = reg_metrics(scored, (), label).first()
-                scores.append((name, h, row.rows, row.rmse, row.mae, row.r2))
-        finally:
-            split.unpersist()
+        split = settled(split_tail(ahead.where(F.col(label).isNotNull()), series, TEST_SHARE, True), "split")
+        train, test = split.where(~F.col("in_tail")), split.where("in_tail")
+        for name, make in models.items():
+            model = fit(train, features, label, make)
+            fitted[name, h] = model
+            scored = model.transform(test.na.fill(0.0, features))
+            row = reg_metrics(scored, (), label).first()
+            scores.append((name, h, row.rows, row.rmse, row.mae, row.r2))
     schema = "model_name string, horizon_hours int, rows long, rmse double, mae double, r2 double"
     return table.sparkSession.createDataFrame(scores, schema), fitted
 
@@ -143,13 +140,12 @@ def score(
     inputs = newest.select(
         *series.key, series.ts, *[(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in have else F.lit(0.0)).alias(f) for f in features]
     )
-    parts = []
+    # the newest rows are found once; one model after the other adds its column to them
+    made = {h: f"_p{i}" for i, h in enumerate(models)}
     for h, model in models.items():
-        out = model.transform(inputs).select(*series.key, series.ts, F.lit(h).alias("horizon_hours"), clamp_round("prediction").alias("prediction"))
-        parts.append(out)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+        inputs = model.transform(inputs).select(*inputs.columns, clamp_round("prediction").alias(made[h]))
+    rows = F.array(*[F.struct(F.lit(h).alias("horizon_hours"), F.col(c).alias("prediction")) for h, c in made.items()])
+    every = inputs.select(*series.key, series.ts, F.explode(rows).alias("_p")).select(*series.key, series.ts, "_p.*")
     found = advisory("prediction")
     return every.withColumns({n: found[n] for n in ("level", "color", "advice")})
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from airloom.config import LEVELS, AlertSettings, Rule
 from airloom.functions import scalars as S
-from airloom.functions.advice import alerts
+from airloom.functions.advice import advisory, alert_subject, alerts
 from airloom.operators import predicates as P
 from airloom.operators import schema as M
 from airloom.queries.base import ntz, query, r6, rounded, sr6
@@ -228,8 +228,4 @@ def _(t):
 @query("alert_text", f"""SELECT event_id, '⚠️ AQI ALERT — ' || event_type || ' AQI: ' || CAST(round_even(value, 0) AS BIGINT) || ' ('
     || {_level_sql('value')} || ')' AS subject FROM events""")
 def _(t):
-    from airloom.functions.advice import advisory
-
-    shown = F.bround("value", 0).cast("long")
-    subject = F.format_string("⚠️ AQI ALERT — %s AQI: %d (%s)", F.col("event_type"), shown, advisory("value")["level"])
-    return t.events.select("event_id", subject.alias("subject"))
+    return t.events.select("event_id", alert_subject("value", advisory("value")["level"], F.col("event_type")).alias("subject"))

@@ -12,14 +12,14 @@ from airloom.queries.windows import frame
 
 _PIT = """SELECT c.event_id, CASE WHEN v.ts >= c.ts - INTERVAL 72 HOURS THEN v.ts END AS feature_ts,
     CASE WHEN v.ts >= c.ts - INTERVAL 72 HOURS THEN v.value END AS value
-    FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v
+    FROM (SELECT * FROM events WHERE event_type NOT IN ('view', 'purchase')) c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type IN ('view', 'purchase')) v
     ON c.{0} = v.{0} AND c.ts >= v.ts"""
 
 
 def _pit(t, key, rows):
-    clicks = t.events.where("event_type = 'click'").select("event_id", key, "ts")
-    views = t.events.where("event_type = 'view'").select(key, "ts", "value")
-    out = J.pit_join(clicks, views, [key], "ts", "ts", ["value"], chunk_rows=rows)
+    asked = t.events.where("event_type NOT IN ('view', 'purchase')").select("event_id", key, "ts")
+    known = t.events.where("event_type IN ('view', 'purchase')").select(key, "ts", "value")
+    out = J.pit_join(asked, known, [key], "ts", "ts", ["value"], chunk_rows=rows)
     return out.select("event_id", "feature_ts", "value")
 
 
@@ -28,9 +28,9 @@ query("pit_join", _PIT.format("user_id"))(lambda t: _pit(t, "user_id", 1_000_000
 @query("pit_join_cut", _PIT.format("site").replace("SELECT * FROM events", "SELECT *, user_id % 3 AS site FROM events"))
 def _(t):
     site = (F.col("user_id") % 3).alias("site")
-    clicks = t.events.where("event_type = 'click'").select("event_id", site, "ts")
-    views = t.events.where("event_type = 'view'").select(site, "ts", "value")
-    return J.pit_join(clicks, views, ["site"], "ts", "ts", ["value"], chunk_rows=CUT_ROWS).select("event_id", "feature_ts", "value")
+    asked = t.events.where("event_type NOT IN ('view', 'purchase')").select("event_id", site, "ts")
+    known = t.events.where("event_type IN ('view', 'purchase')").select(site, "ts", "value")
+    return J.pit_join(asked, known, ["site"], "ts", "ts", ["value"], chunk_rows=CUT_ROWS).select("event_id", "feature_ts", "value")
 
 
 @query("source_merge", """SELECT coalesce(a.city, b.city) AS city, coalesce(a.ts, b.ts) AS ts, a.pm25, coalesce(a.temperature, b.temperature) AS temperature FROM
@@ -74,13 +74,13 @@ def _(t):
 
 
 @query("fallback_source", """SELECT event_id, user_id, value, 'live' AS origin FROM events WHERE event_type = 'purchase'
-    UNION ALL SELECT event_id, user_id, value, 'stored' FROM events WHERE event_type = 'view'
+    UNION ALL SELECT event_id, user_id, value, 'stored' FROM events WHERE event_type <> 'purchase'
     AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')""")
 def _(t):
-    def part(kind, origin):
-        return t.events.where(F.col("event_type") == kind).select("event_id", "user_id", "value", F.lit(origin).alias("origin"))
+    def part(live, origin):
+        return t.events.where((F.col("event_type") == "purchase") == live).select("event_id", "user_id", "value", F.lit(origin).alias("origin"))
 
-    return J.fallback_source(part("purchase", "live"), part("view", "stored"), ["user_id"])
+    return J.fallback_source(part(True, "live"), part(False, "stored"), ["user_id"])
 
 
 def catalogue_of(t):

@@ -249,3 +249,20 @@ def _(t):
 def _(t):
     out = quantiles(t.lineitem, ["l_returnflag"], LINES, [0.1, 0.9], CUT_ROWS)
     return out.select("l_returnflag", "feature", r6(F.get("q", F.lit(0))).alias("p10"), r6(F.get("q", F.lit(1))).alias("p90"))
+
+
+# --- schema checks -----------------------------------------------------------------------------
+
+_KIND = "CASE column_type WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END"
+
+
+@query("type_check", f"""SELECT c AS "column", column_name IS NOT NULL AS present, CASE WHEN column_name IS NOT NULL THEN {_KIND} END AS type,
+    coalesce(column_type = CASE WHEN c = 'ts' THEN 'TIMESTAMP' ELSE 'DOUBLE' END OR c <> 'ts' AND column_type IN ('BIGINT', 'INTEGER'), false) AS valid
+    FROM (VALUES ('ts'), ('value'), ('event_type'), ('user_id'), ('absent')) r(c) LEFT JOIN (DESCRIBE events) ON column_name = c""")
+def _(t):
+    return Q.type_check(t.events, ["ts", "value", "event_type", "user_id", "absent"], "ts")
+
+
+@query("dtype_census", f"SELECT {_KIND} AS type, count(*) AS columns FROM (DESCRIBE events) GROUP BY 1")
+def _(t):
+    return Q.dtype_census(t.events)

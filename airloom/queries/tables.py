@@ -15,10 +15,10 @@ from airloom.sources import tables as T
 # --- Parquet and CSV ---------------------------------------------------------------------------
 
 
-@query("src_parquet", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 100000")
+@query("src_parquet", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def _(t):
     schema = "o_orderkey long, o_orderstatus string, o_totalprice double"
-    return T.read_table(t.spark, f"{t.folder}/orders.parquet", schema).where("o_totalprice > 100000")
+    return T.read_table(t.spark, f"{t.folder}/orders.parquet", schema)
 
 
 @query("snk_parquet", "SELECT event_id, ts, value, event_type FROM events")
@@ -148,7 +148,7 @@ def _(t):
     T.upsert_features(table.where("city <> 'view'"), path, ["city", "ts"], "city")
     new = table.where("city = 'view' OR (city = 'click' AND day(ts) >= 20)").withColumn("pm25", F.col("pm25") + 1000)
     T.upsert_features(new, path, ["city", "ts"], "city")
-    return t.spark.read.parquet(path)
+    return T.read_keyed(t.spark, path, table.schema, "city").select("city", "ts", "pm25")
 
 
 @query("upsert_plan", _UPSERT)
@@ -181,19 +181,21 @@ def _(t):
     return rounded(out, "rmse")
 
 
-@query("manifest_export")
-def _(t):
-    stats = C.catalogue_stats(catalogue_of(t)).agg(F.sum("features").alias("features"), F.count(F.lit(1)).alias("groups"))
-    store = t.events.agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("newest"))
-    return T.manifest_export({"catalogue": stats, "store": store}, scratch(t.spark, "manifest"))
-
-
 # --- catalogue ---------------------------------------------------------------------------------
 
 _CATALOGUE = """(SELECT c_name AS name, 'customer' AS source, c_mktsegment AS category FROM customer
     UNION ALL SELECT n_name, 'nation', 'PLACE' FROM nation UNION ALL SELECT r_name, 'region', 'PLACE' FROM region)"""
 
 
+@query("manifest_export", f"""SELECT '{{"catalogue":' || to_json({{features: (SELECT count(*) FROM {_CATALOGUE}), groups: (SELECT count(*) FROM (SELECT DISTINCT source, category FROM {_CATALOGUE}))}})
+    || ',"store":' || to_json({{rows: (SELECT count(*) FROM events), newest: (SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%S') FROM events)}}) || '}}' AS value""")
+def _(t):
+    stats = C.catalogue_stats(catalogue_of(t)).agg(F.sum("features").alias("features"), F.count(F.lit(1)).alias("groups"))
+    newest = F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("newest")
+    store = t.events.agg(F.count(F.lit(1)).alias("rows"), newest)
+    return T.manifest_export({"catalogue": stats, "store": store}, scratch(t.spark, "manifest"))
+
+
 @query("catalogue_stats", f"SELECT category, source, count(*) AS features FROM {_CATALOGUE} GROUP BY ALL")
 def _(t):
     return C.catalogue_stats(catalogue_of(t))

@@ -36,14 +36,17 @@ def json_reading(
     aliases: Mapping[str, Sequence[str]] = ALIASES,
     station: str = "Islamabad",
     status: str | None = "ok",
+    place: str | None = None,
 ) -> DataFrame:
     """Nested air-quality payloads to standard readings.
 
     Payloads with another ``status`` are dropped (``status=None`` keeps all). The index is cut to
     a whole number, ``-`` and unreadable values are null. Times are UTC; with ``now`` given, times
-    that are missing, unreadable or a day old become ``now``.
+    that are missing, unreadable or a day old become ``now``. A payload without a station name gets
+    that of the column ``place`` or else ``station``.
     """
-    out = df.withColumn("_v", parsed(payload))
+    # As a generated column the parsed payload is made once; a filter on it cannot move below it.
+    out = df.select("*", F.explode(F.array(parsed(payload))).alias("_v"))
     if status is not None:
         out = out.where(resolve_path(F.col("_v"), ["status"]) == status)
     texts = [c for c in aliases if c in METADATA]
@@ -58,7 +61,8 @@ def json_reading(
     if "dominant_pollutant" in made:
         final["dominant_pollutant"] = default_text("dominant_pollutant", "unknown")
     if "station_name" in made:
-        final["station_name"] = default_text("station_name", station)
+        known = F.coalesce("station_name", F.col(place)) if place else F.col("station_name")
+        final["station_name"] = default_text(known, station)
     return out.withColumns(final)
 
 

@@ -47,10 +47,17 @@ def read_csv(spark: SparkSession, path: str, ts: str = "timestamp", schema: T.St
 # --- snapshots ---------------------------------------------------------------------------------
 
 
+def fingerprint(columns: Sequence[str]) -> Column:
+    """Of all rows, in any order: XOR and exact sum of the row hashes. The sum also sees rows that
+    stand twice, which cancel out in the XOR."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(columns)])
+    total = F.sum(row.cast("decimal(38,0)")).cast("string")
+    return F.concat_ws(":", F.hex(F.bit_xor(row)), total)
+
+
 def checksum(df: DataFrame) -> DataFrame:
     """Row count and a fingerprint that does not depend on row order or file layout."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(row).alias("fingerprint"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), fingerprint(df.columns).alias("fingerprint"))
 
 
 def snapshot_write(df: DataFrame, path: str, version: str, ts: str) -> DataFrame:
@@ -58,14 +65,13 @@ def snapshot_write(df: DataFrame, path: str, version: str, ts: str) -> DataFrame
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}/data/version={version}")
     stored = spark.read.parquet(f"{path}/data/version={version}")
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(stored.columns)])
     meta = stored.agg(
         F.lit(version).alias("version"),
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(stored.columns)).alias("columns"),
         F.min(ts).alias("min_ts"),
         F.max(ts).alias("max_ts"),
-        F.bit_xor(row).alias("fingerprint"),
+        fingerprint(stored.columns).alias("fingerprint"),
         F.lit(f"{path}/data/version={version}").alias("path"),
     )
     meta.write.mode("overwrite").json(f"{path}/meta/version={version}")
@@ -93,30 +99,47 @@ def snapshot_meta(spark: SparkSession, path: str) -> DataFrame:
 # --- keyed feature tables ----------------------------------------------------------------------
 
 
-def upserted(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Old and new rows by key, the new one wins. Spark keeps one row per key and task before the shuffle."""
+def _newest(columns: Sequence[str], ties: Sequence[str]) -> list[Column]:
+    return [*[F.col(c).desc() for c in ties], F.xxhash64(*[F.col(f"`{c}`") for c in sorted(columns)]).desc()]
+
+
+def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """Old and new rows by key, the new one wins; of several new ones the last by ``ties``, then by hash.
+
+    Spark keeps one row per key and task before the shuffle.
+    """
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return first_rows(both, key, [F.col("_new").desc()]).drop("_new")
+    return first_rows(both, key, [F.col("_new").desc(), *_newest(new.columns, ties)]).drop("_new")
+
+
+def read_keyed(spark: SparkSession, path: str, like: T.StructType, partition: str) -> DataFrame:
+    """A keyed table with the partition column typed as in ``like``: a name like ``001`` stays text."""
+    stored = spark.read.parquet(path).schema
+    fields = [like[f.name] if f.name == partition else f for f in stored.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
-def upsert_features(new: DataFrame, path: str, key: Sequence[str], partition: str) -> None:
+def upsert_features(new: DataFrame, path: str, key: Sequence[str], partition: str, ties: Sequence[str] = ()) -> None:
     """Write rows into a keyed table partitioned by ``partition``; only partitions of ``new`` are rewritten.
 
-    The merged rows go through a written table in the shared folder first, because a table cannot
-    be overwritten while it is being read.
+    A null partition value is a partition like any other. The merged rows go through a written table
+    in the shared folder first, because a table cannot be overwritten while it is being read. Rows
+    are dealt out by partition before the write, large ones to several tasks.
     """
     spark = new.sparkSession
+    new = settled(first_rows(new, key, _newest(new.columns, ties)), "new")
     try:
-        old = spark.read.parquet(path)
+        old = read_keyed(spark, path, new.schema, partition)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        new.write.partitionBy(partition).parquet(path)
+        new.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
         return
-    touched = new.select(partition).distinct()
-    merged = upserted(old.join(touched, partition, "left_semi"), new, key)
+    touched = new.select(F.col(partition).alias("_touched")).distinct()
+    merged = upserted(old.join(touched, old[partition].eqNullSafe(touched["_touched"]), "left_semi"), new, key)
     (
         settled(merged, "upsert")
+        .hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)

@@ -63,9 +63,9 @@ def st_rolling(stream: DataFrame, series: Series, column: str, hours: int = 6, l
     )
 
 
-def st_alert(stream: DataFrame, aqi: str, ts: str, settings: AlertSettings = AlertSettings()) -> DataFrame:
+def st_alert(stream: DataFrame, aqi: str, ts: str, settings: AlertSettings = AlertSettings(), place: str | None = None) -> DataFrame:
     """Alerts as readings arrive: no state, no shuffle."""
-    return alerts(stream, aqi, ts, settings)
+    return alerts(stream, aqi, ts, settings, place)
 
 
 def st_features(

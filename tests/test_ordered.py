@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airloom.operators.ordered import (
-    Series, measure, with_nearest, with_ordinal, with_rows, with_span, with_totals,
+    Series, measure, with_nearest, with_ordinal, with_rows, with_span_means, with_totals,
 )
 from frames import collected, table
 
@@ -61,13 +61,15 @@ def test_frames_longer_than_the_chunk_raise_its_size(rows):
     equal(with_rows(rows, SERIES, stage, before=100), with_rows(rows, CUT, stage, before=100))
 
 
+def means(spans):
+    return {f"m{h}": ("aqi", timedelta(hours=h)) for h in spans}
+
+
 def test_time_frames(rows):
-    cols = {
-        "m6": "avg(aqi) | RANGE BETWEEN INTERVAL 5 HOURS PRECEDING AND CURRENT ROW",
-        "at24": "max(aqi) | RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 24 HOURS PRECEDING",
-        "w": "count(aqi) | RANGE BETWEEN INTERVAL 200 HOURS PRECEDING AND CURRENT ROW",
-    }
-    equal(with_span(rows, SERIES, cols, timedelta(hours=200)), with_span(rows, CUT, cols, timedelta(hours=200)))
+    """Spans shorter than, and several times as long as a chunk."""
+    equal(with_span_means(rows, SERIES, means([6, 24, 200])), with_span_means(rows, CUT, means([6, 24, 200])))
+    lumpy = rows.withColumn("ts", F.date_trunc("day", "ts"))  # a day exceeds the chunk
+    equal(with_span_means(lumpy, SERIES, means([48])), with_span_means(lumpy, SERIES.cut_at(10), means([48])))
 
 
 @pytest.mark.parametrize("later", [False, True])
@@ -99,27 +101,42 @@ def test_one_timestamp_holding_most_rows(rows):
 def test_null_key_and_local_time_type(rows):
     ntz = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("city", F.when(F.col("city") != "hot", F.col("city")))
     equal(with_ordinal(ntz, SERIES), with_ordinal(ntz, CUT))
-    equal(
-        with_span(ntz, SERIES, {"m": "avg(aqi) | RANGE BETWEEN INTERVAL 9 HOURS PRECEDING AND CURRENT ROW"}, timedelta(hours=9)),
-        with_span(ntz, CUT, {"m": "avg(aqi) | RANGE BETWEEN INTERVAL 9 HOURS PRECEDING AND CURRENT ROW"}, timedelta(hours=9)),
-    )
+    equal(with_span_means(ntz, SERIES, means([9])), with_span_means(ntz, CUT, means([9])))
 
 
-def test_chunks_grow_when_there_would_be_too_many(rows, monkeypatch):
-    from airloom.operators import ordered
+def test_one_time_is_cut_by_its_ties(rows):
+    same = rows.withColumn("ts", F.lit("2026-04-05").cast("timestamp"))
+    layout = measure(same, CUT, need=5)
+    sizes = [r["count"] for r in layout.assign(same).where("city = 'hot'").groupBy("_chunk").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 120
+    plain = same.withColumn("l", F.lag("pm10", 3).over(SERIES.window()))
+    equal(plain, with_rows(same, CUT, lambda w: {"l": F.lag("pm10", 3).over(w)}, before=3))
 
-    monkeypatch.setattr(ordered, "MAX_CHUNKS", 4)
-    cuts = {r["_k0"]: r["_cuts"] for r in measure(rows, CUT).cuts.collect()}
-    assert len(cuts["hot"]) <= 4
-    equal(with_ordinal(rows, SERIES), with_ordinal(rows, CUT))
-    monkeypatch.setattr(ordered, "MAX_CUT_SERIES", 1)
-    assert {r["_k0"] for r in measure(rows, CUT).cuts.collect()} == {"hot"}
-    equal(with_ordinal(rows, SERIES), with_ordinal(rows, CUT))
 
+def test_any_number_of_series_is_cut(spark):
+    many = spark.range(0, 40_000, 1, 4).selectExpr("id", "id % 10500 AS city", "timestamp_seconds(id) AS ts")
+    series = Series(("city",), "ts", ("id",), 2)
+    layout = measure(many, series)
+    assert layout.cuts.count() == 10_500
+    got = with_ordinal(many, series).groupBy("ordinal").count().collect()
+    assert {r["ordinal"]: r["count"] for r in got} == {1: 10_500, 2: 10_500, 3: 10_500, 4: 8_500}
+
+
+def test_a_layout_that_is_too_short_is_refused(rows):
+    with pytest.raises(ValueError, match="measured for"):
+        with_rows(rows, CUT, lambda w: {"l": F.lag("aqi", 100).over(w)}, before=100, layout=measure(rows, CUT, 1))
+
+
+def test_an_intermediate_folder_goes_with_its_run(spark, rows, tmp_path):
+    from pathlib import Path
+
+    from airloom.session import run_folder
 
-def test_time_chunks_are_as_long_as_the_frame(rows):
-    cuts = {r["_k0"]: r["_cuts"] for r in measure(rows, CUT, apart=timedelta(hours=200)).cuts.collect()}["hot"]
-    assert all(b - a >= 200 * 3600 * 10**6 for a, b in zip(cuts, cuts[1:])) and len(cuts) >= 2
+    with run_folder(spark) as folder:
+        with_ordinal(rows, CUT).write.parquet(str(tmp_path / "out"))
+        assert list(Path(folder.removeprefix("file:")).iterdir())
+    assert not Path(folder.removeprefix("file:")).exists()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
 
 
 def test_one_shuffle_for_all_frames_of_a_plain_table(rows):
