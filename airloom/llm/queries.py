@@ -101,4 +101,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": simhash_groups,
 }
 
-SQL: dict[str, str] = {}
+_WS = r"[\x20\x09-\x0D]"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_OUTER = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LINES = "SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d"
+_DOCS = "d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)"
+
+
+def _rule(name: str) -> str:
+    host, _, path = name.partition("/")
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+
+
+def _cases(value: Callable[[url_filter.Rule], str]) -> str:
+    ranked = sorted(url_filter.RULES, key=lambda r: -len(r.name))
+    return " ".join(f"WHEN {_rule(r.name)} THEN '{value(r)}'" for r in ranked)
+
+
+def _escape(col: str) -> str:
+    return f"replace(replace({col}, '\\', '\\\\'), '<|', '<\\|')"
+
+
+SQL: dict[str, str] = {
+    "op2_line_dedup": f"""WITH {_DOCS}, l AS ({_LINES}),
+        k AS (SELECT *, translate(trim(line, {_OUTER}), {_AZ}) AS key FROM l),
+        f AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key
+            HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS}),
+        m AS (SELECT k.*, coalesce(f.holder <> k.doc_id, false) AS gone FROM k LEFT JOIN f ON f.key = k.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op7_url_rules": f"""SELECT page_id, host, path, CASE {_cases(lambda r: r.name)} END AS rule,
+        CASE {_cases(lambda r: r.verdict)} ELSE '{url_filter.ALLOW}' END AS verdict FROM (SELECT page_id,
+            translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {_AZ}) AS host,
+            coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)""",
+    "op8_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+            SELECT conv_id, turn, role, text FROM conversations UNION ALL
+            SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length('<|im_start|><|im_end|>') + 2 + length({_escape('role')}) + length({_escape('text')})) AS BIGINT) AS formatted_chars,
+            regexp_full_match(string_agg(role, ' ' ORDER BY turn, role, text), '(system )?(user assistant )*user assistant') AS valid
+        FROM t GROUP BY conv_id""",
+    "op9_quality_rules": f"""WITH {_DOCS}, w AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_WS[1:]}+') AS words FROM d),
+        p AS (SELECT doc_id, unnest(generate_series(1, len(words) - 4)) AS i, words FROM w WHERE len(words) >= 5),
+        v AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 4], ' ')) AS c FROM p),
+        r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM v, (SELECT unnest(range(5)) AS j) WHERE c > 1 GROUP BY doc_id),
+        l AS (SELECT doc_id, source, lower(trim(regexp_replace(line, '{_WS}+', ' ', 'g'))) AS h, length(line) AS c
+            FROM ({_LINES}) WHERE regexp_matches(line, '[^{_WS[1:]}')),
+        f AS (SELECT source, h, min(doc_id) AS holder FROM l JOIN (SELECT source, count(*) AS docs FROM d GROUP BY source) USING (source)
+            GROUP BY source, h, docs HAVING count(DISTINCT doc_id) > {quality.HOST_DOCS} AND count(DISTINCT doc_id) > docs * {quality.HOST_SHARE}),
+        g AS (SELECT doc_id, count(*) FILTER (holder <> doc_id) AS gone, sum(c) AS chars, coalesce(sum(c) FILTER (holder <> doc_id), 0) AS cut
+            FROM l LEFT JOIN f ON f.source = l.source AND f.h = l.h GROUP BY doc_id),
+        m AS (SELECT w.doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_WS[1:]}')) AS ls, coalesce(r.n, 0) AS n_repeat_words,
+            coalesce(gone, 0) AS n_boilerplate, coalesce(gone > 0 AND chars - cut <= chars * {quality.LEFT_SHARE}, false) AS depleted
+            FROM w LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_repeat_words, n_boilerplate,
+            n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+            NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words OR depleted) AS kept FROM m""",
+}
