@@ -26,12 +26,12 @@ def clean(
     settings: CleaningSettings = CleaningSettings(),
     now: Column | None = None,
     chunk_rows: int | None = None,
-    settle: bool = False,
+    settle: bool = True,
 ) -> DataFrame:
     """The seven steps in their fixed order: map, time, numbers, duplicates, ranges, fill, cap.
 
-    Caps look at filled data. ``settle`` writes the table once between filling and capping, so the
-    statistics of the caps do not run the earlier steps again; worth it on large tables.
+    Caps look at filled data. The table is written once between filling and capping, so the
+    statistics of the caps do not run the earlier steps again, unless ``settle`` is off.
     """
     df = map_columns(raw, settings.aliases, keep=key)
     df = parse_ts(df, now=now)

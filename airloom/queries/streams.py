@@ -16,6 +16,17 @@ def _events(t):
     return S.read_stream(t.spark, t.folder, t.events.schema, "ts", "events.parquet")
 
 
+def _landed(t, rows):
+    """A stream of the rows as four files in time order, which arrive one per micro-batch."""
+    landed = scratch(t.spark, "landed")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    for week in range(4):
+        last = week == 3
+        part = rows.where((F.dayofmonth("ts") > 7 * week) & (F.lit(last) | (F.dayofmonth("ts") <= 7 * week + 7)))
+        part.coalesce(1).write.mode("append").parquet(landed)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+
+
 def _readings(t):
     return _events(t).selectExpr(*_columns(RAW))
 
@@ -67,14 +78,8 @@ def _(t):
 @query("st_features", f"""SELECT event_id, lag(aqi, 24) OVER {W} AS aqi_lag_24h, {sr6('avg(aqi) OVER ' + frame('5 PRECEDING AND CURRENT ROW'), 'aqi_roll_mean_6h')}
     FROM {{readings}}""")
 def _(t):
-    """The table is first landed as four files in time order, which arrive one per micro-batch."""
-    landed, target, history = (scratch(t.spark, n) for n in ("landed", "features", "history"))
-    rows = t.readings.withColumn("ts", F.col("ts").cast("timestamp"))
-    for week in range(4):
-        last = week == 3
-        part = rows.where((F.dayofmonth("ts") > 7 * week) & (F.lit(last) | (F.dayofmonth("ts") <= 7 * week + 7)))
-        part.coalesce(1).write.mode("append").parquet(landed)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    stream = _landed(t, t.readings)
+    target, history = scratch(t.spark, "features"), scratch(t.spark, "history")
 
     def features(df):
         return with_rows(df, READ, lambda w: lags(w, "aqi", [24]) | rolling(w, "aqi", [6], ["mean"]), before=24)
@@ -89,8 +94,8 @@ def _(t):
     from airloom.operators.ordered import Series
 
     target = scratch(t.spark, "online")
-    S.st_online(_events(t), Series(("user_id",), "ts", ("event_id",)), target, scratch(t.spark, "checkpoint")).awaitTermination()
-    return _local(snapshot_latest(t.spark.read.parquet(target)).select("user_id", "ts", "value"))
+    S.st_online(_landed(t, t.events), Series(("user_id",), "ts", ("event_id",)), target, scratch(t.spark, "checkpoint")).awaitTermination()
+    return _local(t.spark.read.parquet(target).select("user_id", "ts", "value"))
 
 
 _HALVES = """(SELECT city, ts >= TIMESTAMP '2024-01-16' AS cur, aqi, pm10 FROM {readings})"""

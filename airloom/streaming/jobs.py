@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from airloom.config import AlertSettings
 from airloom.functions.advice import alerts
 from airloom.operators.drift import drift_detail, drift_report
-from airloom.operators.ordered import Series, first_rows
+from airloom.operators.ordered import Series, first_rows, same_key
 from airloom.session import settled
 
 
@@ -80,40 +80,68 @@ def st_features(
     """Row-exact lags and rolling frames on a stream of rows that arrive in time order per key.
 
     Per micro-batch the newest ``rows_back`` rows of each key in ``history`` go before the new
-    rows, ``features`` runs on both, and only the new rows are written, under their batch number,
-    so a repeated batch overwrites itself. ``history`` keeps one version per batch with the newest
-    rows of every key: it does not grow with the stream.
+    rows, ``features`` runs on both, and only the new rows are written, under their batch number.
+    ``history`` holds ``rows_back`` rows of each key in hash buckets; a batch reads and rewrites the
+    buckets of its own keys only. A repeated batch overwrites itself and does not see its own rows
+    as history. ``rows_back`` must cover the reach of ``features``; rows that arrive later than
+    newer rows of their key need the batch plan.
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("_new", F.lit(True))
-        if number > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{history}/batch={number - 1}")
-            new = new.unionByName(old.withColumn("_new", F.lit(False)))
-        both = settled(new, "microbatch")
-        out = features(both).where("_new").drop("_new")
+        new = settled(_bucketed(batch, series.key), "microbatch")
+        old = _touched(new, history)
+        both = new.withColumn("_new", F.lit(True))
+        if old is not None:
+            again = [*series.key, *series.order]
+            names = {k: f"_a{i}" for i, k in enumerate(again)}
+            mine = new.select(*[F.col(k).alias(n) for k, n in names.items()])
+            both = both.unionByName(old.join(mine, same_key(old, mine, names), "left_anti").withColumn("_new", F.lit(False)))
+        both = settled(both, "microbatch")
+        out = features(both.drop("_bucket")).where("_new").drop("_new")
         out.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        tail = first_rows(both.drop("_new"), series.key, series.descending(), rows_back)
-        tail.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        _replace(first_rows(both.drop("_new"), series.key, series.descending(), rows_back), history)
 
     return start_batches(stream, work, checkpoint)
 
 
 def st_online(stream: DataFrame, series: Series, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest row per key: each batch writes a version made of the one before and the new rows."""
+    """Keep the newest row per key, in hash buckets of which a batch rewrites those of its own keys."""
 
     def work(batch: DataFrame, number: int) -> None:
-        both = batch
-        if number > 0:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/version={number - 1:012d}")
-            both = batch.unionByName(old)
-        newest = first_rows(both, series.key, series.descending())
-        newest.write.mode("overwrite").parquet(f"{target}/version={number:012d}")
+        new = settled(_bucketed(batch, series.key), "microbatch")
+        old = _touched(new, target)
+        both = new if old is None else new.unionByName(old)
+        _replace(first_rows(both, series.key, series.descending()), target)
 
     return start_batches(stream, work, checkpoint)
 
 
+#: Folders that the state of keyed streams is dealt into: a batch touches at most so many.
+BUCKETS = 256
+
+
+def _bucketed(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+
+
+def _touched(new: DataFrame, path: str) -> DataFrame | None:
+    """The stored rows of the buckets in ``new``; None before the first batch."""
+    try:
+        stored = new.sparkSession.read.schema(new.schema).parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    buckets = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most BUCKETS
+    return stored.where(F.col("_bucket").isin(buckets))
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    """Overwrite the buckets of ``rows``, which may have been read from them."""
+    out = settled(rows, "state").hint("rebalance", "_bucket").write.mode("overwrite")
+    out.option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
 def st_drift(
     stream: DataFrame, reference: DataFrame, cols: Sequence[str], target: str, checkpoint: str, group: Sequence[str] = ()
 ) -> StreamingQuery:
