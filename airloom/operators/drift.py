@@ -138,6 +138,11 @@ def drift_report(
     )
 
 
+def drift_log_append(report: DataFrame, path: str, at: Column, ts: str = "detected_at") -> None:
+    """Add the reports of one run to the drift log; what is stored is neither read nor rewritten."""
+    report.withColumn(ts, at).write.mode("append").parquet(path)
+
+
 def drift_log_tail(log: DataFrame, ts: str, ties: Sequence[str] = (), n: int = LOG_ROWS) -> DataFrame:
     """The newest ``n`` events of the drift log."""
     return log.orderBy(F.col(ts).desc(), *[F.col(t).desc() for t in ties]).limit(n)

@@ -114,6 +114,26 @@ def _spacing(df: DataFrame, series: Series, step_hours: float, count_first: bool
     return out.withColumns({"severity": severity, "percentage": F.round(share, 2)})
 
 
+def gap_list(df: DataFrame, series: Series, step_hours: float = 1.0, layout: Layout | None = None) -> DataFrame:
+    """One row per gap: series, the times on both sides and the hours between them."""
+    placed = with_rows(
+        df.select(*series.key, *series.order), series, lambda w: {"_before": F.lag(series.ts).over(w)}, before=1, layout=layout
+    )
+    hours = hours_between("_before", series.ts)
+    return placed.where(hours != step_hours).select(*series.key, F.col("_before").alias("start"), F.col(series.ts).alias("end"), hours.alias("hours"))
+
+
+def failed_checks(df: DataFrame, series: Series, cols: Sequence[str], buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+    """The findings behind a quality score, one row each: series, check, column (null for time checks),
+    severity and how much of the series it concerns in percent."""
+    gaps = gap_report(df, series).where(F.col("severity") != "ok")
+    parts = [gaps.select(*series.key, F.lit("gaps").alias("check"), F.lit(None).cast("string").alias("column"), "severity", "percentage")]
+    for name, report in (("missing", missing_report(df, cols, series.key)), ("outliers", outlier_report(df, cols, series.key, buffer_rows=buffer_rows))):
+        found = report.where(F.col("severity") != "ok")
+        parts.append(found.select(*series.key, F.lit(name).alias("check"), "column", "severity", "percentage"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def time_range(df: DataFrame, ts: str, key: Sequence[str] = ()) -> DataFrame:
     """First and last time and the whole days between them."""
     out = df.groupBy(*key).agg(F.min(ts).alias("start"), F.max(ts).alias("end"))

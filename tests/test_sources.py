@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from airloom.config import FEATURE_GROUPS
 from airloom.operators import quality
-from airloom.operators.drift import drift_detail, drift_report, ks_stat
-from airloom.operators.features import lag_time, lags, long_features, rolling
+from airloom.operators.drift import drift_detail, drift_log_append, drift_report, ks_stat
+from airloom.operators.features import lag_time, lags, long_features, rolling, short_features
 from airloom.operators.joins import pit_join
 from airloom.operators.ordered import Series, with_rows
 from airloom.operators.predicates import min_rows_guard
 from airloom.plans import catalogue as C
 from airloom.plans import explain as E
+from airloom.plans import ingest as I
 from airloom.plans import training as M
 from airloom.plans.readings import clean, gold
 from airloom.plans.registry import Registry
@@ -300,3 +301,39 @@ def test_rows_with_null_keys_and_repeated_times_stay(spark):
     asked = rows.select(F.col("id").alias("ask"), "city", "ts")
     found = {r.ask: r.v for r in pit_join(asked, rows, ["city"], "ts", "ts", ["v"], ties=["id"]).collect()}
     assert found[1] == found[2] == 2.0 and found[4] is None and found[5] is None
+
+
+def test_landed_payloads_become_raw_readings(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    air = json.dumps({"status": "ok", "data": {"aqi": 42, "iaqi": {"pm25": {"v": 11.0}}}})
+    weather = json.dumps({"hourly": {"time": ["2026-07-01T11:00", "2026-07-01T12:00", "2026-07-01T13:00"], "temperature_2m": [30.0, 31.0, 32.0]}})
+    I.land(spark.createDataFrame([("a", air)], "city string, body string"), spark.createDataFrame([("a", weather), ("b", weather)], "city string, body string"),
+           "body", ["city"], now(), path)
+    got = {r.city: r for r in I.raw_table(spark, path).collect()}
+    assert (got["a"].aqi, got["a"].pm25, got["a"].temperature, got["a"].station_name) == (42.0, 11.0, 31.0, "a")
+    assert got["b"].aqi is None and got["b"].temperature == 31.0 and got["b"].timestamp is not None
+
+
+def test_refresh_equals_the_whole_recompute(spark, tmp_path):
+    _, df = table(spark, {"a": 120, "b": 100})
+    df = df.drop("id")
+    series, path = Series(("city",), "ts"), str(tmp_path / "features")
+    whole = short_features(df, series)
+    T.upsert_features(whole.where("ts < '2026-04-04'").withColumn("aqi_change", F.lit(0.0)), path, ["city", "ts"], "city")
+    I.refresh(df, F.lit("2026-04-03").cast("timestamp"), path, series, "city")
+    got = T.read_keyed(spark, path, whole.schema, "city").where("ts >= '2026-04-03'").select(*whole.columns).orderBy("city", "ts").toPandas()
+    pd.testing.assert_frame_equal(got, whole.where("ts >= '2026-04-03'").orderBy("city", "ts").toPandas(), check_dtype=False)
+
+
+def test_gaps_findings_and_drift_log(spark, tmp_path):
+    times = ["2026-04-01 00:00", "2026-04-01 01:00", "2026-04-01 05:00"]
+    df = spark.createDataFrame([("a", t, i, float(i)) for i, t in enumerate(times)], "city string, ts string, id long, v double")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [(r.city, r.hours) for r in quality.gap_list(df, SERIES).collect()] == [("a", 4.0)]
+    found = quality.failed_checks(df.withColumn("v", F.when(F.col("id") == 1, F.col("v"))), SERIES, ["v"]).collect()
+    assert {(r.check, r.column) for r in found} >= {("gaps", None), ("missing", "v")}
+    for day in (1, 2):
+        report = drift_report(drift_detail(df, df, ["v"], ["city"]), ["city"])
+        drift_log_append(report, str(tmp_path / "log"), F.lit(f"2026-05-0{day}").cast("timestamp"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 2 and log.where("status = 'no_drift'").count() == 2
