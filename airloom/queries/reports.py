@@ -266,3 +266,9 @@ def _(t):
 @query("dtype_census", f"SELECT {_KIND} AS type, count(*) AS columns FROM (DESCRIBE events) GROUP BY 1")
 def _(t):
     return Q.dtype_census(t.events)
+
+
+@query("gap_list", """SELECT city, start, ts AS "end", date_diff('microsecond', start, ts) / 3600000000.0 AS hours FROM (
+    SELECT city, ts, lag(ts) OVER (PARTITION BY city ORDER BY ts, event_id) AS start FROM {hourly}) WHERE date_diff('microsecond', start, ts) <> 3600000000""")
+def _(t):
+    return Q.gap_list(t.hourly, READ)
