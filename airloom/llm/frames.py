@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Rows turned into Python values at a time, so that memory follows the texts of few rows.
 SLICE_ROWS = 256
 
+#: Rows of one Arrow batch from Spark; the default of 10,000 whole texts is too much for small workers.
+BATCH_ROWS = 1_000
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names made from ``names`` that no column of ``df`` has, so extra columns never clash."""
@@ -54,6 +58,11 @@ def strings(batch: pa.RecordBatch, at: int | str) -> list[str]:
     return [x or "" for x in batch.column(at).to_pylist()]
 
 
+def texts_of(batch: pa.RecordBatch, at: int | str) -> pa.Array:
+    """A column's texts as they are in Arrow, null as empty."""
+    return pc.fill_null(batch.column(at), "")
+
+
 def utf8(batch: pa.RecordBatch, at: int | str) -> list[bytes]:
     """A column's texts as UTF-8 without decoding them, null as empty."""
     col = batch.column(at)
@@ -87,5 +96,13 @@ def with_columns(
                 arrays.append(values if isinstance(values, pa.Array) else pa.array(values, to_arrow_type(field.dataType)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *[f.name for f in fields]])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keeps what a Python worker gets at once to ``BATCH_ROWS`` texts, a setting of the session."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
 

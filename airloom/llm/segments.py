@@ -8,25 +8,32 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
+#: All that any of the engines at work here takes for white space, and the cut mark itself.
+_SPACE = r"[\x00\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_IRREGULAR = rf"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|\x00"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 #: Texts whose parts are looked up together.
-ROWS = 1024
+ROWS = 512
 
 
-def segments(text: str) -> list[str]:
-    """A text cut before single spaces and line feeds between two other characters.
+def segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut before single spaces and line feeds between two other characters.
 
     There a new match of the GPT-2 pattern begins whatever stands around it: a space belongs to what
-    follows, a single line feed is a match of its own.
+    follows, a single line feed is a match of its own. Returns all segments, and where each text's end.
     """
-    if not text:
-        return []
-    if _IRREGULAR.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else _CUT.split(text)
+    odd = pc.match_substring_regex(texts, pattern=_IRREGULAR)
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+    if not pc.any(odd).as_py():
+        cut = pc.split_pattern(marked, "\0")
+        return cut.flatten(), np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])
+    lists = pc.split_pattern(marked, "\0").to_pylist()
+    for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+        lists[i] = _CUT.split(texts[i].as_py())
+    return pa.array(chain.from_iterable(lists), texts.type), np.cumsum([0, *map(len, lists)])
 
 
 class Memo:
@@ -36,27 +43,35 @@ class Memo:
         self.code, self.most, self.longest, self.recent, self.older = code, most, longest, {}, {}
 
     def __call__(self, parts: list[str]) -> list[bytes]:
+        if len(self.recent) > self.most:
+            self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older
-        out = [recent.get(p) or older.get(p) for p in parts]
-        missing = [i for i, x in enumerate(out) if x is None]
-        for i, code in zip(missing, self.code([parts[i] for i in missing]) if missing else [], strict=True):
+        out = list(map(recent.get, parts))
+        new, places = [], []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            part = parts[i]
+            code = older.get(part)
+            if code is None:
+                new.append(part)
+                places.append(i)
+            else:
+                out[i] = recent[part] = code
+        for i, part, code in zip(places, new, self.code(new) if new else [], strict=True):
             out[i] = code
-        if len(recent) > self.most:
-            self.older, self.recent = recent, {}
-            recent = self.recent
-        recent.update((p, c) for p, c in zip(parts, out, strict=True) if len(p) <= self.longest)
+            if len(part) <= self.longest:
+                recent[part] = code
         return out
 
 
-def coded(texts: list[list[str]], memo: Memo) -> tuple[pa.Array, list[int]]:
-    """The codes of each text's parts, joined (binary), and their lengths in bytes.
+def coded(texts: pa.Array, memo: Memo) -> tuple[pa.Array, list[int]]:
+    """The codes of each text's segments, joined (binary), and their lengths in bytes.
 
-    Every different part of the batch is looked up once, and Arrow strings the results together.
+    Every different segment of the batch is looked up once, and Arrow strings the results together.
     """
-    parts = pa.array(chain.from_iterable(texts), pa.large_string()).dictionary_encode()
-    ends = np.cumsum([0, *map(len, texts)])
+    parts, ends = segments(texts)
     if not len(parts):
         return pa.array([b""] * len(texts), pa.binary()), [0] * len(texts)
+    parts = parts.dictionary_encode()
     codes = pa.array(memo(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
     offsets = np.frombuffer(codes.buffers()[1], np.int64)[codes.offset : codes.offset + len(codes) + 1][ends]
     joined = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), codes.buffers()[2]])

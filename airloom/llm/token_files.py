@@ -22,15 +22,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from airloom.llm.frames import slices, strings, text_of
-from airloom.llm.segments import ROWS, Memo, coded, segments
+from airloom.llm.frames import slices, small_batches, text_of, texts_of
+from airloom.llm.segments import ROWS, Memo, coded
 
 #: Of the tokens file, in bytes; a row group is what one task reads at least, a page what it skips at least.
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 END = 2
 #: Segments that a Python worker remembers.
-MEMO = 300_000
+MEMO = 60_000
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -61,19 +61,19 @@ class _Library:
         """Ids of segments: plain ones in one go, with line feeds between them that are cut out again."""
         plain = [i for i, p in enumerate(parts) if _PLAIN.fullmatch(p)]
         out: list[bytes | None] = [None] * len(parts)
-        ids = self._ids(["\n".join(parts[i].lstrip("\n") for i in plain)])[0]
-        pieces = np.split(ids, np.flatnonzero(ids == self.feed))
-        if len(pieces) == len(plain):  # else each by itself
-            for n, (i, piece) in enumerate(zip(plain, pieces, strict=True)):
-                piece = piece[1:] if n else piece
-                out[i] = (np.append(np.uint32(self.feed), piece).astype("<u4") if parts[i][0] == "\n" else piece).tobytes()
+        ids = self._ids(["\n" + "\n".join([parts[i].lstrip("\n") for i in plain])])[0]
+        at = (4 * np.append(np.flatnonzero(ids == self.feed), len(ids))).tolist()
+        if len(at) == len(plain) + 1:  # else each by itself
+            data = ids.tobytes()
+            for i, begin, end in zip(plain, at, at[1:], strict=False):
+                out[i] = data[begin if parts[i][0] == "\n" else begin + 4 : end]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._ids([parts[i] for i in rest]), strict=True):
             out[i] = ids.tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> tuple[pa.Array, list[int]]:
-        return coded([segments(t) for t in texts], self.memo)
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, list[int]]:
+        return coded(texts, self.memo)
 
 
 @lru_cache(maxsize=2)
@@ -86,7 +86,7 @@ def _encoded(path: str, end: int):
         part, first, coder = TaskContext.get().partitionId(), 0, _library(path)
         tail = np.array([end], "<u4").tobytes()
         for batch in slices(batches, ROWS):
-            ids, _ = coder.encode(strings(batch, 1))
+            ids, _ = coder.encode(texts_of(batch, 1))
             rows = [x + tail for x in ids.to_pylist()]
             sizes = [len(x) // 4 for x in rows]
             starts = list(accumulate(sizes, initial=first))
@@ -126,7 +126,7 @@ def write_tokens(
         "parquet.writer.version": "v2" if encoding == "delta" else "v1",
         "compression": "zstd",
     }
-    writer = dealt.mapInArrow(_encoded(tokenizer, end), SCHEMA).write
+    writer = small_batches(dealt).mapInArrow(_encoded(tokenizer, end), SCHEMA).write
     for name, value in options.items():
         writer = writer.option(name, value)
     writer.parquet(target)
