@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import chain
 from struct import pack
 
 import ahocorasick
@@ -20,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from airloom.llm.frames import strings, with_columns
+from airloom.llm.frames import texts_of, with_columns
 from airloom.llm.segments import ROWS, Memo, coded
 
 #: Pieces and pairs of tokens that a Python worker remembers.
-MEMO = 300_000
+MEMO = 50_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -54,7 +55,8 @@ class Encoder:
         self.size = [len(t) for t in tokens]
         self.byte = [self.rank.get(bytes([b]), -1) for b in range(256)]
         self.fits: dict[int, bool] = {}
-        self.memo = Memo(lambda pieces: [pack(f"<{len(ids := self.piece(p))}I", *ids) for p in pieces], MEMO)
+        self.pieces = Memo(lambda pieces: [pack(f"<{len(ids := self.piece(p))}I", *ids) for p in pieces], MEMO)
+        self.segments = Memo(self._segments, MEMO)
 
     def _prefix(self, token: bytes, reached: list[bool]) -> int:
         """The longest shorter token that this one begins with, or -1."""
@@ -142,12 +144,16 @@ class Encoder:
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
 
-    def encode(self, texts: list[str]) -> tuple[pa.Array, list[int]]:
-        """Ids of each text as little-endian unsigned 32-bit integers, and their bytes."""
-        return coded([self.split(t) for t in texts], self.memo)
+    def _segments(self, parts: list[str]) -> list[bytes]:
+        """Ids of texts: each match of the pattern by itself."""
+        matches = [self.split(p) for p in parts]
+        different = list(dict.fromkeys(chain.from_iterable(matches)))
+        ids = dict(zip(different, self.pieces(different), strict=True))
+        return [ids[m[0]] if len(m) == 1 else b"".join([ids[x] for x in m]) for m in matches]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, list[int]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, and their bytes."""
+        return coded(texts, self.segments)
 
 
 @lru_cache(maxsize=2)
@@ -156,6 +162,16 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """What each id stands for; decoding needs nothing else."""
+    return read_ranks(path)
+
+
+def decoded(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with n_tokens and the ids of each text (binary, little-endian unsigned 32-bit).
 
@@ -169,7 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         coder = encoder(path, pattern)
 
         def compute(batch):
-            ids, sizes = coder.encode(strings(batch, at))
+            ids, sizes = coder.encode(texts_of(batch, at))
             return [ids, [n // 4 for n in sizes]]
 
         return compute
@@ -177,15 +193,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return with_columns(docs, make, [T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())], keep, ROWS)
 
 
-def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``coded`` with the bytes of each list of ids; null ids are read as none."""
     at = coded.columns.index(ids)
 
     def make():
-        coder = encoder(path, pattern)
+        tokens = token_bytes(path)
 
         def compute(batch):
-            return [pa.array([coder.decode(c or b"") for c in batch.column(at).to_pylist()], pa.binary())]
+            return [pa.array([decoded(c or b"", tokens) for c in batch.column(at).to_pylist()], pa.binary())]
 
         return compute
 

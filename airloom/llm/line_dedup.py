@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airloom.llm.frames import fresh, slices, utf8, with_columns
+from airloom.llm.frames import fresh, slices, small_batches, utf8, with_columns
 from airloom.session import settled
 
 MIN_CHARS = 40
@@ -128,7 +128,7 @@ def repeat_filter(docs: DataFrame, text: str, least: int = MIN_CHARS) -> np.ndar
     while blocks * BLOCK_BITS < min(size // BYTES_PER_BIT, MAX_BITS):
         blocks *= 2
     lines = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    parts = lines.mapInArrow(_task_filters(0, least, blocks), "block long, once binary, twice binary")
+    parts = small_batches(lines).mapInArrow(_task_filters(0, least, blocks), "block long, once binary, twice binary")
     merged = parts.repartition("block").mapInArrow(_merge_filters, "block long, once binary, twice binary")
     bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
     for row in merged.select("block", "twice").toLocalIterator():  # at most MAX_BITS in all

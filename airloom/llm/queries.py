@@ -28,7 +28,7 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, BPE_RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
     coded = coded.select("doc_id", "n_tokens", "ids", _sha("ids").alias("ids_sha256"))
-    plain = bpe.decode(coded, BPE_RANKS, public_tokenizers.PATTERN, keep=["doc_id", "n_tokens", "ids_sha256"])
+    plain = bpe.decode(coded, BPE_RANKS, keep=["doc_id", "n_tokens", "ids_sha256"])
     return plain.select("doc_id", "n_tokens", "ids_sha256", _sha("decoded").alias("decoded_sha256"))
 
 

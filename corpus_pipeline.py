@@ -36,7 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text (little-endian unsigned 32-bit), and whether decoding gives the text again."""
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "text"])
-    plain = bpe.decode(coded, RANKS, public_tokenizers.PATTERN)
+    plain = bpe.decode(coded, RANKS)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return plain.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 
