@@ -18,7 +18,7 @@ SPACE = r"[\x20\x09-\x0D]"
 SLICE_ROWS = 256
 
 #: Rows of one Arrow batch from Spark; the default of 10,000 whole texts is too much for small workers.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 2_000
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 #: All that any of the engines at work here takes for white space, and the cut mark itself.
 _SPACE = r"[\x00\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _IRREGULAR = rf"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|\x00"
+#: A Latin letter or digit, and a comma or full stop that ends a segment.
+_STOP = "([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([,.]\0)"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 #: Texts whose parts are looked up together.
@@ -23,10 +25,12 @@ def segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The texts cut before single spaces and line feeds between two other characters.
 
     There a new match of the GPT-2 pattern begins whatever stands around it: a space belongs to what
-    follows, a single line feed is a match of its own. Returns all segments, and where each text's end.
+    follows, a single line feed is a match of its own. So does one at a comma or full stop between a
+    letter or digit and such a place. Returns all segments, and where each text's end.
     """
     odd = pc.match_substring_regex(texts, pattern=_IRREGULAR)
     marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+    marked = pc.replace_substring_regex(marked, _STOP, "\\1\0\\2")
     if not pc.any(odd).as_py():
         cut = pc.split_pattern(marked, "\0")
         return cut.flatten(), np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])

@@ -23,14 +23,15 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from airloom.llm.frames import slices, small_batches, text_of, texts_of
-from airloom.llm.segments import ROWS, Memo, coded
+from airloom.llm.segments import Memo, coded
 
 #: Of the tokens file, in bytes; a row group is what one task reads at least, a page what it skips at least.
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 END = 2
-#: Segments that a Python worker remembers.
-MEMO = 60_000
+#: Segments that a Python worker remembers, and texts whose segments it looks up together.
+MEMO = 150_000
+ROWS = 2_000
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
