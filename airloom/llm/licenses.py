@@ -4,7 +4,9 @@ A text is read as overlapping windows of WINDOW shingles, a shingle being five w
 BANDS minhashes, one row to a band; so has each template. A window inside a notice that holds the
 template's smallest shingle of a band has the same minhash, whatever stands elsewhere; the windows
 overlap so that each shingle but a notice's only one lies in such a window. ``found_at_least`` gives
-the resulting probability. Everything is DataFrame expressions.
+the resulting probability. A template of fewer than five words is one shingle of all its words; a text
+is also read as shingles of that many words, and those equal to a short template are found without
+minhashes, all of them. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from airloom.llm.frames import text_of
 
 SHINGLE = 5
+#: Numbers of words of a shingle: below SHINGLE for templates that have no more words.
+SIZES = tuple(range(1, SHINGLE + 1))
 WINDOW = 2
 BANDS = 8
 CONTAINED = 0.8
@@ -42,6 +46,7 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
      "following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("All-Rights-Reserved", "All rights reserved."),
 )
 
 #: A list of templates is compared in every task: no more than so many.
@@ -59,16 +64,19 @@ def found_at_least(shingles: int, contained: float = CONTAINED, bands: int = BAN
     return 1 - (1 - band) ** bands
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the five-word shingles in order; a shorter text with a word has one of all its words."""
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), "")
 
-    def hashed(words: Column) -> Column:
-        n = F.size(words)
-        every = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
-        return F.when(n >= SHINGLE, every).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
 
-    words = F.array_remove(F.split(F.lower(text), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), "")
-    return F.transform(F.array(words), hashed)[0]
+def _runs(words: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words in order."""
+    every = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
+    return F.when(F.size(words) >= size, every).otherwise(F.array().cast("array<long>"))
+
+
+def shingles(text: Column, sizes: Sequence[int] = SIZES) -> Column:
+    """Hashes of the shingles of each of these numbers of words, one number after the other, each in order."""
+    return F.transform(F.array(_words(text)), lambda w: F.concat(*[_runs(w, n) for n in sizes]))[0]
 
 
 def _salt(band: int) -> int:
@@ -94,13 +102,16 @@ def _least(hashes: str, band: int) -> Column:
 
 
 def templates(spark: SparkSession, texts: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(template, license, parts, minhashes): the different shingles of each notice, and the least of each band."""
+    """(template, license, size, parts, minhashes): the different shingles of each notice, all of ``size`` words, and the least of each band."""
     if not 0 < len(texts) <= MOST_TEMPLATES:
         raise ValueError(f"between 1 and {MOST_TEMPLATES} templates can be scanned for")
     rows = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text"))
                      for n, (name, text) in enumerate(texts)])
-    listed = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", "t.license", F.array_distinct(shingles(F.col("t.text"))).alias("parts"))
-    return listed.where(F.size("parts") > 0).select("*", F.array(*[_least("parts", b) for b in range(BANDS)]).alias("minhashes"))
+    listed = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", "t.license", _words(F.col("t.text")).alias("words"))
+    listed = listed.withColumn("size", F.least(F.size("words"), F.lit(SHINGLE))).where(F.col("size") > 0)
+    whole = F.when(F.col("size") < SHINGLE, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(_runs(F.col("words"), SHINGLE)))
+    listed = listed.select("template", "license", "size", whole.alias("parts"))
+    return listed.select("*", F.array(*[_least("parts", b) for b in range(BANDS)]).alias("minhashes"))
 
 
 def license_notices(
@@ -110,18 +121,31 @@ def license_notices(
 
     A window of a document retrieves the templates with which it shares a minhash in a band. Verified
     are the shingles around it, one template's length to either side: the share of the template's
-    different shingles among them must reach ``contained``. Null and empty texts hold nothing; rows
-    that repeat an id are one document; null ids are one document; repeated notices count once.
+    different shingles among them must reach ``contained``. A template of fewer than SHINGLE words is
+    found wherever its words follow each other. Null and empty texts hold nothing; rows that repeat an
+    id are one document; null ids are one document; repeated notices count once.
     """
     known = templates(docs.sparkSession, texts)
-    keys = known.select("minhashes").collect()  # MOST_TEMPLATES rows at most
-    rows = docs.select(F.col(f"`{id}`").alias("id"), shingles(text_of(text)).alias("hashes"))
-    hit = [_hits(F.col("hashes"), b, sorted({k.minhashes[b] for k in keys})) for b in range(BANDS)]
+    keys = known.select("size", "parts", "minhashes").collect()  # MOST_TEMPLATES rows at most
+    long = [k.minhashes for k in keys if k.size == SHINGLE]
+    short = {n: sorted({k.parts[0] for k in keys if k.size == n}) for n in sorted({k.size for k in keys} - {SHINGLE})}
+
+    def read(words: Column) -> Column:
+        exact = [F.array_distinct(F.filter(_runs(words, n), lambda h: h.isin(*wanted))) for n, wanted in short.items()]
+        return F.struct(_runs(words, SHINGLE).alias("hashes"), F.concat(F.array().cast("array<long>"), *exact).alias("exact"))
+
+    rows = docs.select(F.col(f"`{id}`").alias("id"), F.transform(F.array(_words(text_of(text))), read)[0].alias("r")).select("id", "r.*")
+    hit = [_hits(F.col("hashes"), b, sorted({m[b] for m in long})) for b in range(BANDS) if long]
+    hit.append(F.transform("exact", lambda h: F.struct(F.lit(BANDS).alias("band"), F.lit(0).alias("at"), h.alias("minhash"))))
     near = rows.select("id", "hashes", F.explode(F.concat(*hit)).alias("w")).select("id", "hashes", "w.*")
-    banded = known.select("template", "license", "parts", F.posexplode("minhashes").alias("of_band", "of_minhash"))
+    # short templates have one band of their own, after the others, with the shingle itself
+    listed = F.transform("minhashes", lambda m, b: F.struct(b.alias("of_band"), m.alias("of_minhash")))
+    alone = F.array(F.struct(F.lit(BANDS).alias("of_band"), F.col("parts")[0].alias("of_minhash")))
+    listed = F.when(F.col("size") < SHINGLE, alone).otherwise(listed)
+    banded = known.select("template", "license", "parts", F.explode(listed).alias("b")).select("template", "license", "parts", "b.*")
     found = near.join(F.broadcast(banded), (F.col("band") == F.col("of_band")) & (F.col("minhash") == F.col("of_minhash")))
     first = F.greatest(F.col("at") + 2 - F.size("parts"), F.lit(1))
     around = F.slice("hashes", first, F.col("at") + WINDOW + F.size("parts") - first)
-    share = F.size(F.array_intersect("parts", around)) / F.size("parts")
+    share = F.when(F.col("band") == BANDS, 1.0).otherwise(F.size(F.array_intersect("parts", around)) / F.size("parts"))
     found = found.select("id", "license", "template", share.alias("containment")).where(F.col("containment") >= contained)
     return found.groupBy(F.col("id").alias(id), "license", "template").agg(F.max("containment").alias("containment"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,6 +226,26 @@ def test_licenses_registered(spark, small_docs):
     assert got == licenses_by_hand(spark, small_docs, licenses.TEMPLATES) and got
 
 
+def test_licenses_short(spark, make_docs, small_docs):
+    """Templates of one to four words, by plain string search in the words."""
+    texts = (("A", "All rights reserved."), ("B", "Copyleft"), ("C", "(c) 2024"), ("D", "use at own risk"), ("E", "All rights not reserved."), *licenses.TEMPLATES[:3])
+    rows = list(ODD)
+    for n, (_, text) in enumerate(texts):
+        words = text.split()
+        rows += [(100 + n, f"{prose(n, 30)}\n{text}\n{prose(n + 1, 30)}"), (200 + n, f"{prose(n, 3)} {text.upper()}"), (300 + n, text), (None, text)]
+        rows += [(400 + n, f"{prose(n, 9)} {words[0]}x {' '.join(words[1:])}"), (500 + n, " ".join(words[1:]) + f" {prose(n, 9)}")]
+    rows += [(600, "all rights\nare reserved"), (601, "rights reserved all rights"), (602, "all\n\nrights -- RESERVED! " * 3), *small_docs]
+    plain = [(i, f" {' '.join(re.findall(r'[0-9a-z\x80-\U0010ffff]+', (t or '').lower()))} ") for i, t in rows]
+    short = [(n, name, " ".join(re.findall("[0-9a-z]+", text.lower()))) for n, (name, text) in enumerate(texts[:5])]
+    want = {(i, name, n) for i, t in plain for n, name, words in short if f" {words} " in t}
+    got = rows_of(licenses.license_notices(make_docs(rows), texts=texts), "doc_id", "license", "template")
+    assert [x for x in got if x[2] < 5] == sorted(want, key=repr)
+    alone = rows_of(licenses.license_notices(make_docs(rows), texts=texts[:5]), "doc_id", "license", "template")
+    assert alone == sorted(want, key=repr)
+    found = {r.doc_id for r in queries.license_scan(spark, SMALL).where("license = 'All-Rights-Reserved'").collect()}
+    assert found == {i for i, t in small_docs if "All rights reserved." in (t or "")} and found
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://net", "http://net/", "http://a.NET/x", "http://knet/", "ftp://example.net/en/?q", "http://example.net/en",
     "http://x.example.net/EN/", "http://example.net/en/#t", "http://anet.example.com/de/1?a=://b.net/", "http://example.com/de", "http://org/fr/", "http://org/net/fr/",
