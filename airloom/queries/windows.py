@@ -157,24 +157,35 @@ def _(t):
     return rounded(I.mean_fill(t.readings, ["city"], ["aqi"]).select("event_id", "aqi"), "aqi")
 
 
-_IMPUTED = f"""SELECT *, coalesce(b, m) AS d FROM (SELECT *, avg(b) OVER (PARTITION BY city) AS m FROM (
-    SELECT *, coalesce(f, first_value(f IGNORE NULLS) OVER {frame('1 FOLLOWING AND 3 FOLLOWING')}) AS b FROM (
-    SELECT *, coalesce(aqi, last_value(aqi IGNORE NULLS) OVER {frame('3 PRECEDING AND 1 PRECEDING')}) AS f FROM {SPARSE})))"""
+def _imputed(key: str, rows: str = SPARSE) -> str:
+    """All four stages: f after the forward fill, b after the backward fill, k after the nearest rows, d after the mean."""
+    w = W.replace("city", key)
+    near, same = w.replace(")", " ROWS BETWEEN {0})"), " AND ".join(f"g.{c} = o.{c}" for c in key.split(", "))
+    turn = "2 * pi() * hour(ts) / 24"
+    space = ", ".join(f"({v} - avg({v}) OVER p) / coalesce(nullif(stddev_pop({v}) OVER p, 0), 1) AS {n}" for n, v in (("s", f"sin({turn})"), ("c", f"cos({turn})")))
+    return f"""SELECT *, coalesce(k, avg(k) OVER (PARTITION BY {key})) AS d FROM (WITH l AS (
+        SELECT *, coalesce(f, first_value(f IGNORE NULLS) OVER {near.format('1 FOLLOWING AND 3 FOLLOWING')}) AS b FROM (
+        SELECT *, coalesce(aqi, last_value(aqi IGNORE NULLS) OVER {near.format('3 PRECEDING AND 1 PRECEDING')}) AS f FROM {rows})),
+        z AS (SELECT *, {space} FROM l WINDOW p AS (PARTITION BY {key})),
+        o AS (SELECT g.event_id, o.event_id AS donor, o.b AS v, sqrt(((g.s - o.s) ** 2 + (g.c - o.c) ** 2) * 3 / 2) AS far
+            FROM z g JOIN z o ON {same} AND g.b IS NULL AND o.b IS NOT NULL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY far, donor) AS n FROM o),
+        v AS (SELECT event_id, coalesce(avg(v) FILTER (far = 0), sum(v / far) FILTER (far > 0) / sum(1 / far) FILTER (far > 0)) AS v FROM n WHERE n <= 5 GROUP BY 1)
+        SELECT l.*, coalesce(l.b, v.v) AS k FROM l LEFT JOIN v ON l.event_id = v.event_id)"""
 
 
 @query("impute_stats", f"""SELECT city, count(*) AS total_rows, count(*) - count(aqi) AS missing_before, count(*) - count(d) AS missing_after,
-    count(f) - count(aqi) AS filled_forward, count(b) - count(f) AS filled_backward, CAST(0 AS BIGINT) AS filled_knn, count(d) - count(b) AS filled_mean
-    FROM ({_IMPUTED}) GROUP BY city""")
+    count(f) - count(aqi) AS filled_forward, count(b) - count(f) AS filled_backward, count(k) - count(b) AS filled_knn, count(d) - count(k) AS filled_mean
+    FROM ({_imputed('city')}) GROUP BY city""")
 def _(t):
-    return I.impute_stats(I.impute(_sparse(t), READ, ["aqi"], "event_id", knn=False), ["aqi"], ["city"])
+    return I.impute_stats(I.impute(_sparse(t), READ, ["aqi"], "event_id"), ["aqi"], ["city"])
 
 
-@query("impute_batch", f"SELECT event_id, {sr6('d', 'aqi')} FROM ({_IMPUTED.replace('PARTITION BY city', 'PARTITION BY city, part')})"
-       .replace(SPARSE, f"(SELECT *, event_id // 1000 AS part FROM {SPARSE})"))
+@query("impute_batch", f"SELECT event_id, {sr6('d', 'aqi')} FROM ({_imputed('city, part', f'(SELECT *, event_id // 1000 AS part FROM {SPARSE})')})")
 def _(t):
     frames = _sparse(t).withColumn("part", F.floor(F.col("event_id") / 1000))
     series = Series(("city", "part"), "ts", ("event_id",))
-    return rounded(I.impute(frames, series, ["aqi"], "event_id", knn=False).select("event_id", "aqi"), "aqi")
+    return rounded(I.impute(frames, series, ["aqi"], "event_id").select("event_id", "aqi"), "aqi")
 
 
 def _z(c):
