@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from airloom.config import LongFeatureSettings
+from airloom.config import RUSH_HOURS, FeatureSettings, LongFeatureSettings
 from airloom.operators import features as X
 from airloom.operators import impute as I
 from airloom.operators import latest as L
@@ -337,31 +337,80 @@ def _(t, s):
     return rounded(out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), "aqi")
 
 
-@query("feature_table", "SELECT city, ts AS timestamp, " + ", ".join(
-    sr6(f"coalesce({e}, 0)", n) for n, e in (
-        ("pm25_roll_mean_24h", "avg(pm25) OVER " + frame("23 PRECEDING AND CURRENT ROW")),
-        ("pm10_roll_std_12h", "stddev_samp(pm10) OVER " + frame("11 PRECEDING AND CURRENT ROW")),
-        ("aqi_lag_24h", f"lag(aqi, 24) OVER {W}"),
-        ("aqi_change", f"aqi - lag(aqi) OVER {W}"),
-        ("aqi_pct_change", f"aqi / nullif(lag(aqi) OVER {W}, 0) - 1"),
-        ("pm25_pm10_ratio", "pm25 / nullif(pm10, 0)"),
-        ("hour_cos", "cos(2 * pi() * hour(ts) / 24)"))) + ", CAST(isodow(ts) - 1 AS INT) AS day_of_week FROM {hourly}")
+def _all_rolls(counts, stats, label: str) -> list[tuple[str, str]]:
+    fns = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    return [(f"{c}_{label}_{s}_{n}h", f"{fns[s]}({c}) OVER {frame(f'{n - 1} PRECEDING AND CURRENT ROW')}")
+            for c, wanted in stats.items() for n in counts for s in wanted]
+
+
+def _all_lags(cols, counts) -> list[tuple[str, str]]:
+    return [(f"{c}_lag_{n}h", f"lag({c}, {n}) OVER {W}") for c in cols for n in counts]
+
+
+def _turns(*of: str) -> list[tuple[str, str]]:
+    at = {"hour": ("hour(ts)", 24), "day": ("(isodow(ts) - 1)", 7), "month": ("month(ts)", 12)}
+    return [(f"{n}_{f}", f"{f}(2 * pi() * {at[n][0]} / {at[n][1]})") for n in of for f in ("sin", "cos")]
+
+
+def _whole(*names: str) -> str:
+    at = {
+        "hour": "hour(ts)", "day_of_week": "isodow(ts) - 1", "day_of_month": "day(ts)", "month": "month(ts)", "is_weekend": "isodow(ts) >= 6",
+        "is_rush_hour": f"hour(ts) IN ({', '.join(map(str, RUSH_HOURS))})", "season": "month(ts) % 12 // 3 + 1",
+    }
+    return ", ".join(f"CAST({at[n]} AS INT) AS {n}" for n in names)
+
+
+def _doubles(df) -> list[str]:
+    return [c for c, kind in df.dtypes if kind == "double"]
+
+
+SHORT = FeatureSettings()
+
+
+@query("feature_table", "SELECT city, ts AS timestamp, " + ", ".join(sr6(f"coalesce({e}, 0)", n) for n, e in (
+    *((c, c) for c in SHORT.targets),
+    *_all_rolls(SHORT.rolling, dict.fromkeys(SHORT.targets, ("mean", "std")), "roll"),
+    *_all_lags(["aqi"], SHORT.lags),
+    ("aqi_change", f"aqi - lag(aqi) OVER {W}"),
+    ("aqi_pct_change", f"aqi / nullif(lag(aqi) OVER {W}, 0) - 1"),
+    ("pm25_pm10_ratio", "pm25 / nullif(pm10, 0)"),
+    *_turns("hour", "month"))) + ", " + _whole("hour", "day_of_week", "day_of_month", "month", "is_weekend", "season") + " FROM {hourly}")
 def _(t):
     out = gold(t.hourly.drop("event_id").withColumnRenamed("ts", "timestamp"), ["city"])
-    made = ["pm25_roll_mean_24h", "pm10_roll_std_12h", "aqi_lag_24h", "aqi_change", "aqi_pct_change", "pm25_pm10_ratio", "hour_cos"]
-    return rounded(out.select("city", "timestamp", "day_of_week", *made), *made)
-
-
-@query("long_feature_table", "SELECT event_id, " + ", ".join(
-    sr6(e, n) for n, e in (
-        ("pm25_lag_168h", f"lag(pm25, 168) OVER {W}"),
-        ("aqi_rolling_max_24h", "max(aqi) OVER " + frame("23 PRECEDING AND CURRENT ROW")),
-        ("pm25_rolling_std_6h", "stddev_samp(pm25) OVER " + frame("5 PRECEDING AND CURRENT ROW")),
-        ("aqi_change_6h", f"aqi - lag(aqi, 6) OVER {W}"),
-        ("dispersion_factor", "temperature * (100 - humidity) / 1000"),
-        ("humidity_normalized", "(humidity - avg(humidity) OVER (PARTITION BY city)) / (stddev_samp(humidity) OVER (PARTITION BY city) + 1e-8)"),
-        ("aqi_trend_simple", "avg(aqi) OVER " + frame("24 PRECEDING AND 23 FOLLOWING")))) + " FROM {readings}")
+    return rounded(out, *_doubles(out))
+
+
+LONG = LongFeatureSettings()
+_CENTRED = {n: f"sum(aqi) OVER {frame(f'{n} PRECEDING AND {n} FOLLOWING')}" for n in (LONG.season_rows // 2, LONG.season_rows // 2 - 1)}
+# The season needs two periods of rows; trend and season also need a series without nulls.
+_LONG = f"""(WITH p AS (SELECT *, row_number() OVER {W} - 1 AS pos, count(*) OVER (PARTITION BY city) AS n_all, count(aqi) OVER (PARTITION BY city) AS n_known,
+        aqi - lag(aqi) OVER {W} AS d FROM {{readings}}),
+    t AS (SELECT *, pos % {LONG.season_rows} AS phase, CASE WHEN count(aqi) OVER {frame(f'{LONG.season_rows // 2} PRECEDING AND {LONG.season_rows // 2} FOLLOWING')} = {LONG.season_rows + 1}
+        THEN ({' + '.join(_CENTRED.values())}) / {2 * LONG.season_rows} END AS trend FROM p),
+    m AS (SELECT city, phase, avg(aqi - trend) AS mean FROM t GROUP BY 1, 2),
+    c AS (SELECT city, avg(mean) AS centre FROM m GROUP BY 1)
+    SELECT t.*, mean, centre FROM t JOIN m ON t.city = m.city AND t.phase = m.phase JOIN c ON t.city = c.city)"""
+
+
+@query("long_feature_table", "SELECT event_id, user_id, city, ts, " + ", ".join(sr6(e, n) for n, e in (
+    *((c, c) for c in ("aqi", "pm25", "pm10", "temperature", "humidity")),
+    *_all_lags(X.LAGGED, LONG.lags),
+    *_all_rolls(LONG.rolling, X.ROLLED, "rolling"),
+    ("aqi_change_1h", f"aqi - lag(aqi, 1) OVER {W}"),
+    ("aqi_change_6h", f"aqi - lag(aqi, 6) OVER {W}"),
+    ("pm25_accumulation", "avg(pm25) OVER " + frame("2 PRECEDING AND CURRENT ROW")),
+    ("aqi_momentum", "avg(d) OVER " + frame("5 PRECEDING AND CURRENT ROW")),
+    *_turns("hour", "day", "month"),
+    ("atmospheric_stability", "(100 - temperature) / (humidity + 1)"),
+    ("pm_ratio", "pm25 / (pm10 + 1e-8)"),
+    ("dispersion_factor", "temperature * (100 - humidity) / 1000"),
+    ("temp_humidity_interaction", "temperature * humidity / 100"),
+    *((n, f"({c} - avg({c}) OVER (PARTITION BY city)) / (stddev_samp({c}) OVER (PARTITION BY city) + 1e-8)")
+      for c, n in (("temperature", "temp_normalized"), ("humidity", "humidity_normalized"))),
+    ("aqi_trend", f"CASE WHEN n_all >= {2 * LONG.season_rows} AND n_all = n_known THEN trend END"),
+    ("aqi_seasonal", f"CASE WHEN n_all >= {2 * LONG.season_rows} AND n_all = n_known THEN mean - centre END"),
+    ("aqi_trend_simple", f"CASE WHEN n_all >= {2 * LONG.season_rows} THEN avg(aqi) OVER {frame(f'{LONG.season_rows} PRECEDING AND {LONG.season_rows - 1} FOLLOWING')} END"),
+    )) + ", " + _whole("hour", "day_of_week", "month", "is_weekend", "is_rush_hour") + f" FROM {_LONG}")
 def _(t):
-    out = X.long_features(t.readings, READ, LongFeatureSettings())
-    made = ["pm25_lag_168h", "aqi_rolling_max_24h", "pm25_rolling_std_6h", "aqi_change_6h", "dispersion_factor", "humidity_normalized", "aqi_trend_simple"]
-    return rounded(out.select("event_id", *made), *made)
+    out = X.long_features(t.readings, READ, LONG)
+    return rounded(out, *_doubles(out))

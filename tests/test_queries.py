@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from airloom.operators.features import long_features
+from airloom.plans.readings import gold
 from airloom.queries import QUERIES
+from airloom.queries.base import READ, Tables
 from conftest import DATA
 
 
@@ -10,3 +13,10 @@ def test_imputation_runs_all_stages(spark):
     stats = QUERIES["impute_stats"](spark, DATA).collect()
     assert all(r.filled_knn > 0 and r.filled_mean == 0 and r.missing_after == 0 for r in stats) and stats
     assert QUERIES["impute_batch"](spark, DATA).where(F.col("aqi").isNull()).count() == 0
+
+
+def test_feature_tables_return_all_columns(spark):
+    t = Tables(spark, DATA)
+    short = gold(t.hourly.drop("event_id").withColumnRenamed("ts", "timestamp"), ["city"])
+    assert QUERIES["feature_table"](spark, DATA).columns == short.columns
+    assert QUERIES["long_feature_table"](spark, DATA).columns == long_features(t.readings, READ).columns
