@@ -1,9 +1,12 @@
 """Model fitting, scoring and explanation on hourly readings."""
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airloom.config import HORIZONS
 from airloom.operators.features import lag_features, rolling_features, time_parts
 from airloom.operators.features import lead_target
 from airloom.operators.drift import split_tail
@@ -12,7 +15,7 @@ from airloom.plans import training as M
 from airloom.plans.registry import Registry
 from airloom.queries.base import READ, query, r6, rounded, sr6
 from airloom.queries.batch import _level_sql
-from airloom.session import scratch
+from airloom.session import scratch, settled
 
 INPUTS = ["hour", "hour_sin", "pm25_lag_1h", "pm25_lag_24h", "pm25_roll_mean_6h", "pm25_roll_mean_24h"]
 H = 24
@@ -23,8 +26,8 @@ def table(t):
     return time_parts(rolling_features(out, READ, ["pm25"], [6, 24], ["mean"]), "ts")
 
 
-def _split(t):
-    rows = lead_target(table(t), READ, "pm25", H, "label").na.fill(0.0, INPUTS)
+def _split(t, h=H):
+    rows = lead_target(table(t), READ, "pm25", h, "label").na.fill(0.0, INPUTS)
     return split_tail(rows, READ, 0.2, True)
 
 
@@ -39,8 +42,8 @@ def _scores(t, make):
 
 
 query("fit_ridge_wide")(lambda t: _scores(t, M.ridge))
-query("fit_forest")(lambda t: _scores(t, lambda d, y: M.forest(d, y, numTrees=20, maxDepth=6)))
-query("fit_boost")(lambda t: _scores(t, lambda d, y: M.boost(d, y, maxIter=10, maxDepth=4)))
+query("fit_forest")(lambda t: _scores(t, M.forest))
+query("fit_boost")(lambda t: _scores(t, M.boost))
 
 
 # Ridge on one input has a closed form, which SQL can state.
@@ -105,15 +108,38 @@ def _(t):
 
 @query("train_grid")
 def _(t):
-    small = {"ridge": M.ridge, "random_forest": lambda d, y: M.forest(d, y, numTrees=10, maxDepth=5)}
-    metrics, _models = M.train_grid(table(t), READ, "pm25", (24, 48, 72), small, INPUTS)
+    metrics, _models = M.train_grid(table(t), READ, "pm25", HORIZONS, M.MODELS, INPUTS)
     return rounded(M.model_report(metrics), "rmse", "mae", "r2")
 
 
+# Tree models have no closed form. SQL states what must hold for each model of the grid: its rows, the
+# label's mean, predictions in the range of the labels (means of labels never leave it; sums and lines
+# by less than its width), and on the training rows a smaller error than that of the mean.
+@query("train_grid_properties", " UNION ALL ".join(f"""SELECT '{n}' AS model_name, {h} AS horizon_hours, count(*) FILTER (NOT tail) AS train_rows,
+    count(*) FILTER (tail) AS test_rows, {sr6('avg(label) FILTER (NOT tail)', 'train_mean')}, {sr6('avg(label) FILTER (tail)', 'test_mean')},
+    true AS in_range, true AS below_mean FROM {_line(h)} WHERE label IS NOT NULL""" for n in M.MODELS for h in HORIZONS))
+def _(t):
+    metrics, models = M.train_grid(table(t), READ, "pm25", HORIZONS, M.MODELS, INPUTS)
+    error, label, tail = F.col("label") - F.col("prediction"), F.col("label"), F.col("in_tail")
+    train, found = F.when(~tail, label), []
+    for h in HORIZONS:
+        split = settled(_split(t, h), "properties")
+        for name in M.MODELS:
+            slack = (F.max(train) - F.min(train)) * (0.0 if name == "random_forest" else 1.0) + 1e-9
+            found.append(models[name, h].transform(split).agg(
+                F.lit(name).alias("model_name"), F.lit(h).alias("horizon_hours"), F.count(train).alias("train_rows"),
+                F.avg(train).alias("train_mean"), F.avg(F.when(tail, label)).alias("test_mean"),
+                ((F.min("prediction") >= F.min(train) - slack) & (F.max("prediction") <= F.max(train) + slack)).alias("in_range"),
+                (F.avg(F.when(~tail, error * error)) < F.var_pop(train)).alias("below_mean"),
+            ))
+    tested = metrics.select("model_name", "horizon_hours", F.col("rows").alias("test_rows"))
+    return rounded(reduce(DataFrame.unionByName, found).join(tested, ["model_name", "horizon_hours"]), "train_mean", "test_mean")
+
+
 @query("registry")
 def _(t):
     store = Registry(t.spark, scratch(t.spark, "registry"))
-    metrics, models = M.train_grid(table(t), READ, "pm25", (24, 48), {"ridge": M.ridge}, INPUTS)
+    metrics, models = M.train_grid(table(t), READ, "pm25", HORIZONS, M.MODELS, INPUTS)
     for row in metrics.collect():  # one row per trained model
         scores = {"rmse": row.rmse, "mae": row.mae, "r2": row.r2}
         store.save(models[row.model_name, row.horizon_hours], row.model_name, row.horizon_hours, scores, INPUTS, datetime(2024, 1, 31))
@@ -128,7 +154,7 @@ def _(t):
 
 @query("importance_permuted")
 def _(t):
-    model, split = _fitted(t, lambda d, y: M.forest(d, y, numTrees=10, maxDepth=5))
+    model, split = _fitted(t, M.forest)
     sample = E.sample_tail(split, READ)
     return rounded(M.ranked(E.permutation_importance(model, sample, INPUTS, "label")), "importance")
 

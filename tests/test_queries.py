@@ -1,10 +1,13 @@
 """Registered queries run the operators whole."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from airloom.config import HORIZONS
 from airloom.operators.features import long_features
 from airloom.plans.readings import gold
-from airloom.queries import QUERIES
+from airloom.plans.training import BOOST, FOREST, MODELS
+from airloom.queries import QUERIES, models
 from airloom.queries.base import READ, Tables
 from conftest import DATA
 
@@ -15,6 +18,33 @@ def test_imputation_runs_all_stages(spark):
     assert QUERIES["impute_batch"](spark, DATA).where(F.col("aqi").isNull()).count() == 0
 
 
+class Seen(Exception):
+    pass
+
+
+def test_models_are_registered_with_production_settings(spark, monkeypatch):
+    """What the queries ask for, without fitting it."""
+    def fit(train, features, label, make):
+        raise Seen(make(train, label))
+
+    def train_grid(table, series, target, horizons, grid, features):
+        raise Seen(list(horizons), dict(grid))
+
+    monkeypatch.setattr(models.M, "fit", fit)
+    monkeypatch.setattr(models.M, "train_grid", train_grid)
+
+    def asked(name):
+        with pytest.raises(Seen) as seen:
+            QUERIES[name](spark, DATA)
+        return seen.value.args
+
+    for name, wanted in (("fit_forest", FOREST), ("importance_permuted", FOREST), ("fit_boost", BOOST)):
+        (made,) = asked(name)
+        assert {k: made.getOrDefault(k) for k in wanted} == wanted
+    for name in ("train_grid", "train_grid_properties", "registry"):
+        assert asked(name) == (HORIZONS, MODELS)
+
+
 def test_feature_tables_return_all_columns(spark):
     t = Tables(spark, DATA)
     short = gold(t.hourly.drop("event_id").withColumnRenamed("ts", "timestamp"), ["city"])
