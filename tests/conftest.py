@@ -4,10 +4,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 os.environ.setdefault("TZ", "UTC")
 
 from airloom.session import session  # noqa: E402
+from data import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -27,9 +28,6 @@ def spark():
     made.stop()
 
 
-DATA = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def events(spark):
     return spark.read.parquet(f"{DATA}/events.parquet")

@@ -9,7 +9,7 @@ from airloom.plans.readings import gold
 from airloom.plans.training import BOOST, FOREST, MODELS
 from airloom.queries import QUERIES, models
 from airloom.queries.base import READ, Tables
-from conftest import DATA
+from data import DATA
 
 
 def test_imputation_runs_all_stages(spark):
