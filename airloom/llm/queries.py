@@ -1,4 +1,4 @@
-"""The ten operators over whole tables, with production parameters, and SQL where SQL can say the same."""
+"""The operators over whole tables, with production parameters, and SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, chat, decontaminate, licenses, line_dedup, quality, simhash, token_counts, token_files, url_filter
+from airloom.llm import (
+    alignment, bpe, chat, decontaminate, licenses, line_dedup, prefix_trie, quality, secret_scan, simhash, token_counts, token_files, url_filter,
+)
 from airloom.session import scratch, settled
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
-UNIGRAM = public_tokenizers.path("piece_bpe_32k.model")
+PIECES = UNIGRAM = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,6 +90,53 @@ def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def secrets_found(spark: SparkSession, folder: str) -> DataFrame:
+    out = secret_scan.find_secrets(_table(spark, folder, "documents"))
+
+    def base(i: int):
+        return F.filter("spans", lambda s: s["kind"] == i)
+
+    counted = [F.size(base(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)]
+    only_base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    return out.select(
+        "doc_id", *counted, F.sha2(secret_scan.span_text(only_base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def tokenizer_links(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = alignment.align(docs, BPE_JSON, PIECES, digest=True).withColumnRenamed("groups", "groups_sha256")
+    return alignment.with_counts(found, alignment.b_size(PIECES)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that begin like the one with the next lower id that 20 divides: its first h turns
+    (crc32 of the decimal id, modulo 4), then their own after the first h. A null id has h = 0.
+
+    Returns the numbered turns and all ids.
+    """
+    rows = settled(prefix_trie.numbered(turns), "numbered")
+    h = F.coalesce(F.crc32(F.col("conv").cast("string").cast("binary")) % 4, F.lit(0))
+    first = rows.where((F.col("conv") % 20 == 0) & (F.col("n") <= 3))
+    starts = first.groupBy(F.col("conv").alias("base")).agg(F.max("n").alias("turns"))
+    ids = rows.select("conv").distinct().select("conv", h.alias("h"), (F.col("conv") - F.col("conv") % 20).alias("base"))
+    ids = ids.join(starts, "base", "left").select("conv", "h", "base", F.least("h", F.coalesce("turns", F.lit(0))).cast("long").alias("led"))
+    ids = settled(ids, "rebuilt_ids")
+    taken = first.select(F.col("conv").alias("base"), "n", "role", "text").join(ids, "base").where(F.col("n") <= F.col("led"))
+    known = ids.select(F.col("conv").alias("id"), "h", "led")
+    own = rows.join(known, rows["conv"].eqNullSafe(known["id"])).where(F.col("n") > F.col("h"))
+    own = own.select("conv", (F.col("n") - F.col("h") + F.col("led")).alias("n"), "role", "text")
+    return own.unionByName(taken.select("conv", "n", "role", "text")), ids.select("conv")
+
+
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, ids = rebuilt(_table(spark, folder, "conversations"))
+    return prefix_trie.with_end_digests(prefix_trie.prefix_trie(turns, ids))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe,
     "op2_line_dedup": line_repeats,
@@ -99,6 +148,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat_format,
     "op9_quality_rules": quality_rules,
     "op10_simhash": simhash_groups,
+    "op11_secret_scan": secrets_found,
+    "op12_tokenizer_alignment": tokenizer_links,
+    "op13_prefix_trie": conversation_trie,
 }
 
 _WS = r"[\x20\x09-\x0D]"
@@ -122,6 +174,31 @@ def _escape(col: str) -> str:
     return f"replace(replace({col}, '\\', '\\\\'), '<|', '<\\|')"
 
 
+def _either_case(pattern: str) -> str:
+    """ASCII letters of a pattern without classes of letters, each in both cases (RE2 would fold more)."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
+
+
+def _secrets(number: int, rule: secret_scan.Rule) -> str:
+    """The matches of a rule, and the places that follow from the lengths of what lies between them."""
+    words, bracket, rest = rule.pattern.partition(")")
+    pattern = ((_either_case(words) + bracket + rest) if rule.fold else rule.pattern).replace("'", "''")
+    group, least = rule.least or (0, 0)
+    return f"""SELECT doc_id, {number} AS k, '{rule.kind}' AS kind, start + skip AS start, start + skip + size AS stop FROM (
+        SELECT *, sum(skip + size) OVER (PARTITION BY doc_id ORDER BY i) - skip - size AS start FROM (
+            SELECT doc_id, i, length(b[i]) AS skip, length(w[i]) AS size, length(j[i]) >= {least} AS good FROM (
+                SELECT doc_id, unnest(generate_series(1, len(w))) AS i, w, j, b FROM (
+                    SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS w, regexp_extract_all(text, '{pattern}', {group}) AS j,
+                        string_split_regex(text, '{pattern}') AS b FROM d)))) WHERE good"""
+
+
+def _span_list(condition: str) -> str:
+    return f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER ({condition}), '')"
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
 SQL: dict[str, str] = {
     "op2_line_dedup": f"""WITH {_DOCS}, l AS ({_LINES}),
         k AS (SELECT *, translate(trim(line, {_OUTER}), {_AZ}) AS key FROM l),
@@ -161,4 +238,23 @@ SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_repeat_words, n_boilerplate,
             n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
             NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words OR depleted) AS kept FROM m""",
+    "op11_secret_scan": f"""WITH {_DOCS}, s AS ({" UNION ALL ".join(_secrets(i, r) for i, r in enumerate(secret_scan.RULES))})
+        SELECT d.doc_id, {", ".join(f"count(*) FILTER (k = {i}) AS n_{r.kind}" for i, r in enumerate(secret_scan.BASE))},
+            sha256({_span_list(f"k < {len(secret_scan.BASE)}")}) AS base_sha256, {_span_list("k IS NOT NULL")} AS spans
+        FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
+    "op13_prefix_trie": f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+            [role, text] AS said FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)),
+        o AS (SELECT c, list(said ORDER BY n) AS turns FROM t GROUP BY c),
+        r AS (SELECT a.c, CAST({_CRC.replace("CAST(c ", "CAST(a.c ")} AS BIGINT) % 4 AS h, a.turns AS own, coalesce(b.turns, []) AS base
+            FROM o AS a LEFT JOIN o AS b ON b.c = a.c - a.c % 20),
+        q AS (SELECT c, list_concat(base[1:h], own[h + 1:]) AS turns FROM r),
+        p AS (SELECT c, unnest(generate_series(0, len(turns))) AS depth, turns FROM q),
+        n AS (SELECT depth, turns[1:depth] AS path, min(c) AS conv_id, count(*) AS n_convs, list(c) FILTER (len(turns) = depth) AS ends FROM p GROUP BY ALL),
+        v AS (SELECT *, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth][2], '[^{_WS[1:]}+')) END AS saved,
+            NOT EXISTS (SELECT 1 FROM n AS m WHERE m.depth = n.depth + 1 AND m.path[1:n.depth] = n.path) AS leaf FROM n),
+        u AS (SELECT depth AS below, unnest(generate_series(0, depth)) AS depth, path, saved, leaf FROM v),
+        x AS (SELECT depth, path[1:depth] AS path, count(*) FILTER (below = depth + 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM u GROUP BY ALL)
+        SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+            sha256(coalesce(array_to_string(list_sort(n.ends), ','), '')) AS ends_sha256
+        FROM n JOIN x ON x.depth = n.depth AND x.path = n.path LEFT JOIN n AS m ON m.depth = n.depth - 1 AND m.path = n.path[1:n.depth - 1]""",
 }
