@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom.config import FILL_LIMIT, NEIGHBOURS
-from airloom.operators.ordered import Layout, Series, join_back, with_nearest, with_rows, with_state
+from airloom.operators.ordered import Layout, Series, _slot, join_back, same_key, with_nearest, with_rows, with_state
 from airloom.session import settled
 
 
@@ -80,6 +81,10 @@ def handle_missing(df: DataFrame, series: Series, cols: Sequence[str], layout: L
 
 
 _BLOCK_ROWS = 4_000
+#: Slices that one hour of a series is cut into at most; cells that are still larger are dealt in blocks.
+_SLICES = 256
+#: A cell is met if its lower bound is below the upper bound of a gap by this share, for rounding.
+_SLACK = 1 + 1e-9
 
 
 def knn_impute(
@@ -94,43 +99,16 @@ def knn_impute(
 
     Rows live in the space of the standardised ``cols`` plus sine and cosine of the hour; the
     distance skips coordinates missing on either side and scales up for them. A donor at distance
-    0 takes all the weight. Rows with gaps and donors are dealt into blocks; every pair of blocks
-    of a series is one bounded task that returns only the ``k`` best donors of each gap, and a
-    second step keeps the best of all blocks. Exact, and no pair of rows is ever shuffled.
+    0 takes all the weight.
+
+    Series of more than ``block_rows`` rows are indexed by cells: one hour, and one range of the
+    coordinate that rows with gaps have most often. A row with gaps first meets donors of its own
+    cell; its ``k``-th distance there bounds what it looks for, and in a second pass it meets only the
+    cells whose least possible distance is not above that. Cells are dealt in blocks of bounded size,
+    only the ``k`` best donors of each gap leave a block, and the best of all blocks stay. Exact.
     """
-    space = [*cols, "_hs", "_hc"]
-    angle = F.hour(series.ts) * (2 * np.pi) / 24
     df = settled(df, "gaps")  # read for the statistics, the distances and the result
-    base = df.withColumns({"_hs": F.sin(angle), "_hc": F.cos(angle)})
-    stats = base.groupBy(*series.key).agg(
-        *[a for c in space for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]
-    )
-    scaled = join_back(base, stats, series.key).select(
-        *series.key,
-        row_id,
-        F.array(*[
-            (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in space
-        ]).alias("z"),
-        F.array(*[F.col(c).cast("double") for c in cols]).alias("v"),
-    )
-    scaled = settled(scaled.withColumn("gap", F.exists("v", lambda x: x.isNull())), "scaled")
-    sizes = scaled.groupBy(*series.key).agg(
-        F.ceil(F.count_if("gap") / block_rows).cast("int").alias("_gaps"),
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_donors"),
-    )
-    placed = join_back(scaled, sizes, series.key).where(F.col("_gaps") > 0)
-
-    def block(count: str) -> Column:
-        return F.pmod(F.xxhash64(row_id), F.col(count)).cast("int")
-
-    def meet(gap_block: Column, donor_block: Column, asks: bool) -> Column:
-        return F.struct(gap_block.alias("gb"), donor_block.alias("db"), F.lit(asks).alias("asks"))
-
-    # Every row gives to each block of gaps of its series; a row with gaps also asks each block of donors.
-    gives = F.transform(F.sequence(F.lit(0), F.col("_gaps") - 1), lambda g: meet(g, block("_donors"), False))
-    asks = F.transform(F.sequence(F.lit(0), F.col("_donors") - 1), lambda d: meet(block("_gaps"), d, True))
-    pairs = F.when(F.col("gap"), F.concat(gives, asks)).otherwise(gives)
-    work = placed.select(*series.key, F.explode(pairs).alias("_p"), row_id, "z", "v").select(*series.key, "_p.*", row_id, "z", "v")
+    cells = _Cells(df, series, cols, row_id, k, block_rows)
     shape = T.StructType([
         *[df.schema[c] for c in series.key],
         df.schema[row_id],
@@ -139,15 +117,14 @@ def knn_impute(
         T.StructField("donor", df.schema[row_id].dataType),
         T.StructField("value", T.DoubleType()),
     ])
-    key, width = list(series.key), len(cols)
+    key, width, names = list(series.key), len(cols), [f.name for f in shape]
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         asks, donors = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        return pd.concat([_best(asks.iloc[i : i + 256], donors, key, row_id, width, k) for i in range(0, len(asks), 256)] or [
-            pd.DataFrame(columns=[f.name for f in shape])
-        ])
+        parts = [_best(asks.iloc[i : i + 256], donors, key, row_id, width, k) for i in range(0, len(asks), 256)]
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
-    found = work.groupBy(*series.key, "gb", "db").applyInPandas(nearest, shape)
+    found = cells.meet(cells.targets(), nearest, shape)
     place = F.row_number().over(Window.partitionBy(*series.key, row_id, "col").orderBy("distance", "donor"))
     best = found.withColumn("_place", place).where(F.col("_place") <= k)
     hit = F.col("distance") == 0
@@ -163,17 +140,175 @@ def knn_impute(
     return out.drop(*[f"_f_{c}" for c in cols])
 
 
-def _best(asks: pd.DataFrame, donors: pd.DataFrame, key: list[str], row_id: str, width: int, k: int) -> pd.DataFrame:
-    """The ``k`` nearest donors within this block for every null cell of ``asks``."""
+class _Cells:
+    """The rows of series with gaps as points in cells (hour, slice).
+
+    ``rows``: (key, row_id, z, v, gap, large, hour, slice, home, sub). ``slice`` is -1 where the row
+    lacks the sliced coordinate; ``home`` is the slice that a gap asks first. ``cells``: one row for
+    each cell, with its range, the place of its hour and which columns it can give.
+    """
+
+    def __init__(self, df: DataFrame, series: Series, cols: Sequence[str], row_id: str, k: int, block_rows: int):
+        self.key, self.cols, self.row_id, self.k, self.block_rows = list(series.key), list(cols), row_id, k, block_rows
+        self.cell = [*self.key, "hour", "slice"]
+        space = [*cols, "_hs", "_hc"]
+        angle = F.hour(series.ts) * (2 * np.pi) / 24
+        base = df.withColumns({"_hs": F.sin(angle), "_hc": F.cos(angle)})
+        stats = base.groupBy(*self.key).agg(
+            *[a for c in space for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))],
+            F.count(F.lit(1)).alias("_rows"), F.count_if(F.greatest(*[F.col(c).isNull() for c in cols], F.lit(False))).alias("_gaps"),
+        )
+        points = join_back(base, stats, self.key).where(F.col("_gaps") > 0).select(
+            *self.key, row_id,
+            F.array(*[
+                (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in space
+            ]).alias("z"),
+            F.array(*[F.col(c).cast("double") for c in cols]).alias("v"),
+            (F.col("_rows") > block_rows).alias("large"),
+            F.when(F.col("_rows") > block_rows, F.coalesce(F.hour(series.ts), F.lit(-1))).otherwise(0).alias("hour"),
+        )
+        points = settled(points.withColumn("gap", F.exists("v", lambda x: x.isNull())), "points")
+        held = points.where("large AND gap").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.get("v", F.lit(i))).alias(f"c{i}") for i in range(len(cols))]).first()
+        self.any_large = held["n"] > 0
+        self.axis = max(range(len(cols)), key=lambda i: held[f"c{i}"])
+        self.rows = settled(self._placed(points), "cells")
+
+    def _hash(self, n: Column) -> Column:
+        return F.pmod(F.xxhash64(self.row_id), n).cast("int")
+
+    def _placed(self, points: DataFrame) -> DataFrame:
+        at = F.get("z", F.lit(self.axis))
+        if self.any_large:
+            hour = [*self.key, "hour"]
+            sizes = points.where("large").groupBy(*hour).agg(
+                F.least(F.ceil(F.count(at) / self.block_rows), F.lit(_SLICES)).cast("int").alias("_slices"),
+                F.percentile_approx(at, [i / _SLICES for i in range(1, _SLICES)], 10_000).alias("_marks"),
+            )
+            cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_slices") - 1), lambda i: F.element_at("_marks", F.floor(i * _SLICES / F.col("_slices")).cast("int"))))
+            cuts = F.when(F.col("_slices") > 1, cuts).otherwise(F.array().cast("array<double>"))
+            points = join_back(points, sizes.select(*hour, cuts.alias("_cuts")), hour)
+            points = points.withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<double>")))
+            own = F.when(at.isNull(), F.lit(-1)).otherwise(_slot(F.col("_cuts"), at))
+            points = points.withColumn("slice", F.when(F.col("large"), own).otherwise(0))
+            home = F.when(F.col("slice") >= 0, F.col("slice")).otherwise(self._hash(F.size("_cuts") + 1))
+            points = points.withColumn("home", home).drop("_cuts")
+        else:
+            points = points.withColumns({"slice": F.lit(0), "home": F.lit(0)})
+        inside = F.when(F.col("slice") >= 0, at)
+        last = F.size("z") - 1
+        self.cells = settled(points.groupBy(*self.cell).agg(
+            F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("subs"),
+            F.min(inside).alias("low"), F.max(inside).alias("high"), F.first("large").alias("large"),
+            F.first(F.get("z", last - 1)).alias("hs"), F.first(F.get("z", last)).alias("hc"),
+            F.array(*[F.count(F.get("v", F.lit(i))) > 0 for i in range(len(self.cols))]).alias("gives"),
+        ), "cell_table")
+        placed = join_back(points, self.cells.select(*self.cell, "subs"), self.cell)
+        return placed.withColumn("sub", self._hash(F.col("subs"))).drop("subs")
+
+    def meet(self, asks: DataFrame, work, shape: T.StructType, donors: DataFrame | None = None) -> DataFrame:
+        """Run ``work`` on blocks of gaps and blocks of donors: ``asks`` are gaps (key, row_id, z, v)
+        with the cell and block (hour, slice, sub) they ask. Neither side of a block is unbounded."""
+        block = [*self.cell, "sub"]
+        asks = settled(asks, "asks")
+        counts = asks.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("_chunks"))
+        asks = join_back(asks, counts, block).withColumn("chunk", self._hash(F.col("_chunks")))
+        donors = join_back(self.rows if donors is None else donors, counts, block).where(F.col("_chunks").isNotNull())
+        donors = donors.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        sides = [side.select(*block, "chunk", self.row_id, "z", "v", F.lit(ask).alias("asks")) for side, ask in ((asks, True), (donors, False))]
+        return sides[0].unionByName(sides[1]).groupBy(*block, "chunk").applyInPandas(work, shape)
+
+    def targets(self) -> DataFrame:
+        """Which block each gap must meet: (key, hour, slice, sub, row_id, z, v)."""
+        plain = ["hour", "slice", self.row_id, "z", "v"]
+        gaps = self.rows.where("gap")
+        small = gaps.where(~F.col("large")).select(*self.key, *plain, F.lit(0).alias("sub"))  # such a series is one cell
+        if not self.any_large:
+            return small
+        gaps = gaps.where("large")
+        first = gaps.select(*self.key, "hour", F.col("home").alias("slice"), F.lit(0).alias("sub"), self.row_id, "z", "v")
+        shape = T.StructType([*[self.rows.schema[c] for c in (*self.key, self.row_id)], T.StructField("bound", T.DoubleType())])
+        key, row_id, width, k = self.key, self.row_id, len(self.cols), self.k
+
+        def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+            asks, donors = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+            parts = [_bounds(asks.iloc[i : i + 256], donors, width, k) for i in range(0, len(asks), 256)]
+            return asks[[*key, row_id]].assign(bound=np.concatenate(parts) if parts else [])
+
+        found = self.meet(first, bounds, shape, self.rows.where("large AND sub = 0"))
+        at = F.get("z", F.lit(self.axis))
+        known = F.size(F.filter("z", lambda x: x.isNotNull()))
+        reach = F.col("bound") * F.col("bound") * known / F.size("z") * _SLACK + 1e-12  # squared, before scaling up
+        last = F.size("z") - 1
+        asking = settled(join_back(gaps, found, [*self.key, self.row_id]).select(
+            *self.key, self.row_id, "z", "v", F.col("hour").alias("own_hour"), F.col("home").alias("own_slice"), at.alias("at"),
+            reach.alias("reach"), F.get("z", last - 1).alias("own_hs"), F.get("z", last).alias("own_hc"),
+        ), "asking")
+
+        # First cell against cell, with the widest reach of a cell's gaps; then each gap against those.
+        own = [*self.key, "own_hour", "own_slice"]
+        widest = asking.groupBy(*own).agg(
+            F.max("reach").alias("reach"), F.min("at").alias("from"), F.max("at").alias("to"), F.max(F.col("at").isNull()).alias("nowhere"),
+            F.first("own_hs").alias("own_hs"), F.first("own_hc").alias("own_hc"),
+        )
+        cells = self.cells.where("large")
+        names = {c: f"_c{i}" for i, c in enumerate(self.key)}
+        across = widest.join(cells.withColumnsRenamed(names), _keys_meet(names))
+        hours = _square(F.col("own_hs") - F.col("hs")) + _square(F.col("own_hc") - F.col("hc"))
+        between = F.greatest(F.lit(0.0), F.col("low") - F.col("to"), F.col("from") - F.col("high"))
+        apart = F.when(F.col("nowhere"), F.lit(0.0)).otherwise(F.coalesce(between, F.lit(0.0)))
+        near = across.where(F.coalesce(hours, F.lit(0.0)) + _square(apart) <= F.col("reach"))
+        near = settled(near.select(*own, "hour", "slice", "subs", "low", "high", "hs", "hc", "gives"), "near")
+
+        pairs = {c: f"_n{i}" for i, c in enumerate(own)}
+        listed = near.withColumnsRenamed(pairs)
+        met = asking.join(listed, same_key(asking, listed, pairs)).drop(*pairs.values())
+        off = F.when(F.col("at").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.col("low") - F.col("at"), F.col("at") - F.col("high")), F.lit(0.0)))
+        useful = F.exists(F.zip_with("v", "gives", lambda v, g: v.isNull() & g), lambda x: x)
+        met = met.where((F.coalesce(hours, F.lit(0.0)) + _square(off) <= F.col("reach")) & useful)
+        met = met.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        return small.unionByName(met.select(*self.key, *plain, "sub"))
+
+
+def _square(x: Column) -> Column:
+    return x * x
+
+
+def _keys_meet(names: dict[str, str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()])
+
+
+def _distances(asks: pd.DataFrame, donors: pd.DataFrame) -> np.ndarray:
+    if not len(donors):
+        return np.zeros((len(asks), 0))
     a, d = np.array(asks["z"].tolist(), float), np.array(donors["z"].tolist(), float)
-    wanted, given = np.array(asks["v"].tolist(), float), np.array(donors["v"].tolist(), float)
     total, shared = np.zeros((len(a), len(d))), np.zeros((len(a), len(d)))
     for j in range(a.shape[1]):
         apart = a[:, j, None] - d[None, :, j]
         both = ~np.isnan(apart)
         total += np.where(both, apart, 0.0) ** 2
         shared += both
-    distance = np.sqrt(total * a.shape[1] / np.maximum(shared, 1))
+    return np.sqrt(total * a.shape[1] / np.maximum(shared, 1))
+
+
+def _values(pdf: pd.DataFrame, width: int) -> np.ndarray:
+    return np.array(pdf["v"].tolist(), float).reshape(len(pdf), width)
+
+
+def _bounds(asks: pd.DataFrame, donors: pd.DataFrame, width: int, k: int) -> np.ndarray:
+    """For each row the largest of its gaps' ``k``-th distances; infinite where a gap has fewer donors here."""
+    distance, wanted, given = _distances(asks, donors), _values(asks, width), _values(donors, width)
+    out = np.zeros(len(asks))
+    for col in range(width):
+        rows, usable = np.flatnonzero(np.isnan(wanted[:, col])), np.flatnonzero(~np.isnan(given[:, col]))
+        if len(rows):
+            near = distance[np.ix_(rows, usable)]
+            out[rows] = np.maximum(out[rows], np.partition(near, k - 1, axis=1)[:, k - 1] if len(usable) >= k else np.inf)
+    return out
+
+
+def _best(asks: pd.DataFrame, donors: pd.DataFrame, key: list[str], row_id: str, width: int, k: int) -> pd.DataFrame:
+    """The ``k`` nearest donors within this block for every null cell of ``asks``."""
+    distance, wanted, given = _distances(asks, donors), _values(asks, width), _values(donors, width)
     ids, parts = donors[row_id].to_numpy(), []
     for col in range(width):
         rows, usable = np.flatnonzero(np.isnan(wanted[:, col])), np.flatnonzero(~np.isnan(given[:, col]))

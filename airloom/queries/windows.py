@@ -198,17 +198,23 @@ def _apart(c):
 
 # Rows with a gap lack one of five coordinates, hence the factor 5 / 4. The root keeps two donors
 # from lying equally far on either side of a gap, where rounding noise would choose.
-@query("knn_impute", f"""WITH h AS (SELECT city, event_id, CASE WHEN event_id % 5 <> 0 THEN aqi END AS a, pm25 AS b, sqrt(event_id) AS c,
+_KNN = f"""WITH h AS (SELECT city, event_id, CASE WHEN event_id % 5 <> 0 THEN aqi END AS a, pm25 AS b, sqrt(event_id) AS c,
         sin(2 * pi() * hour(ts) / 24) AS s, cos(2 * pi() * hour(ts) / 24) AS k FROM {{hourly}}),
     z AS (SELECT *, {', '.join(map(_z, 'abcsk'))} FROM h WINDOW p AS (PARTITION BY city)),
     d AS (SELECT g.event_id, o.a AS v, sqrt(({' + '.join(map(_apart, 'bcsk'))}) * 5 / 4) AS far, row_number() OVER (PARTITION BY g.event_id ORDER BY
         sqrt(({' + '.join(map(_apart, 'bcsk'))}) * 5 / 4), o.event_id) AS n FROM z g JOIN z o ON g.city = o.city AND g.a IS NULL AND o.a IS NOT NULL),
     f AS (SELECT event_id, coalesce(avg(v) FILTER (far = 0), sum(v / far) FILTER (far > 0) / sum(1 / far) FILTER (far > 0)) AS v FROM d WHERE n <= 5 GROUP BY 1)
-    SELECT h.event_id, {sr6('coalesce(a, v)', 'aqi')} FROM h LEFT JOIN f ON h.event_id = f.event_id""")
-def _(t):
+    SELECT h.event_id, {sr6('coalesce(a, v)', 'aqi')} FROM h LEFT JOIN f ON h.event_id = f.event_id"""
+
+
+def _holed(t, **how):
     holed = F.when(F.col("event_id") % 5 != 0, F.col("aqi"))
     df = t.hourly.select("event_id", "city", "ts", holed.alias("aqi"), "pm25", F.sqrt("event_id").alias("pm10"))
-    return rounded(I.knn_impute(df, READ, ["aqi", "pm25", "pm10"], "event_id").select("event_id", "aqi"), "aqi")
+    return rounded(I.knn_impute(df, READ, ["aqi", "pm25", "pm10"], "event_id", **how).select("event_id", "aqi"), "aqi")
+
+
+query("knn_impute", _KNN)(_holed)
+query("knn_impute_cut", _KNN)(lambda t: _holed(t, block_rows=40))  # cells by hour, rows of a series in hundreds
 
 
 # --- duplicates, order, season, splits ---------------------------------------------------------

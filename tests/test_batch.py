@@ -193,6 +193,19 @@ def test_nearest_rows_fill(spark, block_rows):
         np.testing.assert_allclose(got[got.city == city][["aqi", "pm25", "pm10"]].to_numpy(float), want.to_numpy(), atol=1e-9)
 
 
+@pytest.mark.parametrize("block_rows", [30, 15])
+def test_nearest_rows_meet_few_cells(spark, block_rows):
+    """The bounds leave out most pairs of a gap and a cell, and nothing is lost (ties, repeated rows, null key)."""
+    pdf, df = table(spark, {"a": 1500, "b": 20}, nulls=0.05)
+    df = df.unionByName(df.where("city = 'a' AND id % 7 = 0").withColumn("id", F.col("id") + 10_000)).withColumn("city", F.when(F.col("city") == "a", "a"))
+    cols = ["aqi", "pm25", "pm10"]
+    cells = impute._Cells(df, SERIES, cols, "id", 5, block_rows)
+    blocks, gaps, met = cells.cells.where("large").agg(F.sum("subs")).first()[0], cells.rows.where("large AND gap").count(), cells.targets().count()
+    assert blocks > 40 and met < 0.35 * blocks * gaps
+    got, whole = (impute.knn_impute(df, SERIES, cols, "id", block_rows=n).toPandas().sort_values("id") for n in (block_rows, 100_000))
+    np.testing.assert_allclose(got[cols].to_numpy(float), whole[cols].to_numpy(float), atol=1e-9)
+
+
 def test_imputation_stages(spark):
     gaps = {1, 5, 6, 7, *range(20, 31)}
     rows = [("a", t, None if i in gaps else float(i), 1.0, 2.0, i) for i, t in enumerate(hours(60))]
