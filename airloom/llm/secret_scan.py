@@ -148,8 +148,14 @@ def grams_in(text: Column, low: Column, query: Query) -> Column:
 
 def candidates(index: DataFrame, query: Query, spark: SparkSession) -> DataFrame:
     """(id, rules): the ids whose postings meet the query of some rule, and which rules."""
-    asked = [(g, a, clause, 1 << bit, (1 << len(grams)) - 1) for a, (clause, grams) in enumerate(query.alternatives) for bit, g in enumerate(grams)]
-    asked = F.broadcast(spark.createDataFrame(asked, "gram int, alternative int, clause int, bit long, whole long"))  # a list of rules
+    asked = [
+        F.struct(F.lit(g).alias("gram"), F.lit(a).alias("alternative"), F.lit(clause).alias("clause"),
+                 F.lit(1 << bit).cast("long").alias("bit"), F.lit((1 << len(grams)) - 1).cast("long").alias("whole"))
+        for a, (clause, grams) in enumerate(query.alternatives) for bit, g in enumerate(grams)
+    ]
+    if not asked:
+        return index.select("id", F.array().cast("array<int>").alias("rules")).limit(0)
+    asked = F.broadcast(spark.range(1).select(F.inline(F.array(*asked))))  # as many rows as the rules ask for
     hits = index.join(asked, "gram").groupBy("id", "alternative", "clause", "whole").agg(F.bit_or("bit").alias("held"))
     met = hits.where(F.col("held") == F.col("whole")).groupBy("id").agg(F.collect_set("clause").alias("clauses"))
     rules = F.array_compact(F.array(*[
