@@ -33,6 +33,11 @@ def split_tail(df: DataFrame, series: Series, share: float, round_up_tail: bool)
     return joined.withColumn("in_tail", F.col("_ordinal") > head).drop("_ordinal", "_size")
 
 
+def value_counts(df: DataFrame, cols: Sequence[str], group: Sequence[str] = (), name: str = "n") -> DataFrame:
+    """(group, feature, value, count): a sample collapsed to its distinct values, nulls left out."""
+    return long_form(df, group, cols).groupBy(*group, "feature", "value").agg(F.count(F.lit(1)).alias(name))
+
+
 def ks_stat(
     reference: DataFrame,
     current: DataFrame,
@@ -46,13 +51,14 @@ def ks_stat(
     over the values then give both distribution functions. A feature present in one sample only
     gets no row.
     """
-    keys = [*group, "feature"]
+    return ks_of_counts(value_counts(reference, cols, group, "n_ref"), value_counts(current, cols, group, "n_cur"), group, chunk_rows)
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        long = long_form(df, group, cols)
-        return long.withColumns({n: F.lit(int(n == name)).cast("long") for n in ("n_ref", "n_cur")})
 
-    both = side(reference, "n_ref").unionByName(side(current, "n_cur"))
+def ks_of_counts(reference: DataFrame, current: DataFrame, group: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``ks_stat`` of two samples that are counts per value already: columns n_ref and n_cur."""
+    keys = [*group, "feature"]
+    none = F.lit(0).cast("long")
+    both = reference.withColumn("n_cur", none).unionByName(current.withColumn("n_ref", none))
     counted = both.groupBy(*keys, "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     counted = settled(counted, "counts")  # read three times below, so both samples are read once
     sizes = counted.groupBy(*keys).agg(
@@ -92,7 +98,11 @@ def drift_detail(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One row per group and feature with statistic, p-value, decision and both means."""
-    found = ks_stat(reference, current, cols, group, chunk_rows)
+    return detail_of(ks_stat(reference, current, cols, group, chunk_rows), group, limit)
+
+
+def detail_of(found: DataFrame, group: Sequence[str] = (), limit: float = KS_LIMIT) -> DataFrame:
+    """The rows of ``drift_detail`` from statistics that are known."""
     return found.select(
         *group,
         "feature",

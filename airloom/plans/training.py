@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from airloom.operators.latest import latest_row
 from airloom.operators.ordered import Layout, Series, with_rows
 from airloom.operators.predicates import min_rows_guard
 from airloom.operators.schema import select_features
+from airloom.plans.boosting import HistBoost, fit_together
 from airloom.session import settled
 
 # Model settings.
@@ -44,10 +47,20 @@ def forest(train: DataFrame, label: str, **changes):
 
 
 def boost(train: DataFrame, label: str, **changes):
-    return GBTRegressor(featuresCol="features", labelCol=label, **{**BOOST, **changes})
+    return HistBoost(featuresCol="features", labelCol=label, **{**BOOST, **changes})
 
 
 Maker = Callable[[DataFrame, str], object]
+
+#: Fits that run side by side on the cluster.
+FITS_AT_ONCE = 4
+
+
+def _together(make: Maker) -> bool:
+    """Whether models of all labels grow in the same passes."""
+    return make is boost or getattr(make, "together", False)
+
+
 MODELS: dict[str, Maker] = {"ridge": ridge, "random_forest": forest, "boosted_trees": boost}
 
 
@@ -58,6 +71,17 @@ def fit(train: DataFrame, features: Sequence[str], label: str, make: Maker) -> P
     return Pipeline(stages=stages).fit(filled)
 
 
+def fit_each(trains: Mapping[str, DataFrame], features: Sequence[str], make: Maker) -> dict[str, PipelineModel]:
+    """One model for each label and its rows. Boosted trees of all labels grow in the same passes."""
+    filled = {label: train.na.fill(0.0, list(features)) for label, train in trains.items()}
+    makers = {label: make(rows, label) for label, rows in filled.items()}
+    if not all(isinstance(m, HistBoost) for m in makers.values()):
+        return {label: fit(trains[label], features, label, lambda _rows, label: makers[label]) for label in trains}
+    inputs = VectorAssembler(inputCols=list(features), outputCol="features")
+    models = fit_together([(inputs.transform(filled[label]), makers[label]) for label in trains])
+    return {label: PipelineModel([inputs, model]) for label, model in zip(trains, models, strict=True)}
+
+
 def reg_metrics(df: DataFrame, key: Sequence[str] = (), label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Rows, RMSE, MAE and R2 per key, in one pass; R2 is null for a constant label."""
     error = F.col(label) - F.col(prediction)
@@ -101,7 +125,8 @@ def train_grid(
 
     The last fifth of each series tests what the first four fifths train, all series pooled. The
     features and the targets of all horizons are made in one pass and written to the shared folder
-    once; the driver then loops over a handful of configured models, and each fit is distributed.
+    once. A handful of driver threads starts the fits, each of which is distributed; boosted trees of
+    all horizons are one fit.
     """
     enough = min_rows_guard(table, series.key, least)
     features = list(features or select_features(enough.drop(*series.key, *series.ties), target))
@@ -111,14 +136,24 @@ def train_grid(
     )
     kept = dict.fromkeys([*series.key, *series.order, *features, *labels.values()])
     ahead = settled(ahead.select(*kept), "training")
+    trains, tests = {}, {}
+    for label in labels.values():
+        split = settled(split_tail(ahead.where(F.col(label).isNotNull()), series, TEST_SHARE, True), "split")
+        trains[label], tests[label] = split.where(~F.col("in_tail")), split.where("in_tail")
+    # The fits do not depend on each other; each is distributed, and the driver's threads only start them.
+    jobs = {name: [list(labels.values())] if _together(make) else [[x] for x in labels.values()] for name, make in models.items()}
+
+    def work(name: str, some: list[str]) -> dict[str, PipelineModel]:
+        return fit_each({x: trains[x] for x in some}, features, models[name])
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        waiting = {name: [pool.submit(copy_context().run, work, name, some) for some in parts] for name, parts in jobs.items()}
+        made = {name: {k: m for w in found for k, m in w.result().items()} for name, found in waiting.items()}
     fitted, scores = {}, []
     for h, label in labels.items():
-        split = settled(split_tail(ahead.where(F.col(label).isNotNull()), series, TEST_SHARE, True), "split")
-        train, test = split.where(~F.col("in_tail")), split.where("in_tail")
-        for name, make in models.items():
-            model = fit(train, features, label, make)
-            fitted[name, h] = model
-            scored = model.transform(test.na.fill(0.0, features))
+        for name in models:
+            fitted[name, h] = model = made[name][label]
+            scored = model.transform(tests[label].na.fill(0.0, features))
             row = reg_metrics(scored, (), label).first()
             scores.append((name, h, row.rows, row.rmse, row.mae, row.r2))
     schema = "model_name string, horizon_hours int, rows long, rmse double, mae double, r2 double"

@@ -46,6 +46,20 @@ query("fit_forest")(lambda t: _scores(t, M.forest))
 query("fit_boost")(lambda t: _scores(t, M.boost))
 
 
+def _properties(model, split, name):
+    """What must hold for a model: predictions in the range of the labels (means of labels never leave it;
+    sums and lines by less than its width), and on the training rows a smaller error than that of the mean."""
+    error, label, tail = F.col("label") - F.col("prediction"), F.col("label"), F.col("in_tail")
+    train = F.when(~tail, label)
+    slack = (F.max(train) - F.min(train)) * (0.0 if name == "random_forest" else 1.0) + 1e-9
+    return model.transform(split).agg(
+        F.lit(name).alias("model_name"), F.count(train).alias("train_rows"),
+        F.avg(train).alias("train_mean"), F.avg(F.when(tail, label)).alias("test_mean"),
+        ((F.min("prediction") >= F.min(train) - slack) & (F.max("prediction") <= F.max(train) + slack)).alias("in_range"),
+        (F.avg(F.when(~tail, error * error)) < F.var_pop(train)).alias("below_mean"),
+    )
+
+
 # Ridge on one input has a closed form, which SQL can state.
 ONE = ["pm25_lag_24h"]
 
@@ -112,30 +126,50 @@ def _(t):
     return rounded(M.model_report(metrics), "rmse", "mae", "r2")
 
 
-# Tree models have no closed form. SQL states what must hold for each model of the grid: its rows, the
-# label's mean, predictions in the range of the labels (means of labels never leave it; sums and lines
-# by less than its width), and on the training rows a smaller error than that of the mean.
-@query("train_grid_properties", " UNION ALL ".join(f"""SELECT '{n}' AS model_name, {h} AS horizon_hours, count(*) FILTER (NOT tail) AS train_rows,
-    count(*) FILTER (tail) AS test_rows, {sr6('avg(label) FILTER (NOT tail)', 'train_mean')}, {sr6('avg(label) FILTER (tail)', 'test_mean')},
-    true AS in_range, true AS below_mean FROM {_line(h)} WHERE label IS NOT NULL""" for n in M.MODELS for h in HORIZONS))
+# Whole forests have no closed form. SQL states what must hold for each model of the grid, see _properties.
+def _properties_sql(name: str, h: int) -> str:
+    return f"""SELECT '{name}' AS model_name, {h} AS horizon_hours, count(*) FILTER (NOT tail) AS train_rows,
+        count(*) FILTER (tail) AS test_rows, {sr6('avg(label) FILTER (NOT tail)', 'train_mean')}, {sr6('avg(label) FILTER (tail)', 'test_mean')},
+        true AS in_range, true AS below_mean FROM {_line(h)} WHERE label IS NOT NULL"""
+
+
+@query("train_grid_properties", " UNION ALL ".join(_properties_sql(n, h) for n in M.MODELS for h in HORIZONS))
 def _(t):
     metrics, models = M.train_grid(table(t), READ, "pm25", HORIZONS, M.MODELS, INPUTS)
-    error, label, tail = F.col("label") - F.col("prediction"), F.col("label"), F.col("in_tail")
-    train, found = F.when(~tail, label), []
+    found = []
     for h in HORIZONS:
         split = settled(_split(t, h), "properties")
-        for name in M.MODELS:
-            slack = (F.max(train) - F.min(train)) * (0.0 if name == "random_forest" else 1.0) + 1e-9
-            found.append(models[name, h].transform(split).agg(
-                F.lit(name).alias("model_name"), F.lit(h).alias("horizon_hours"), F.count(train).alias("train_rows"),
-                F.avg(train).alias("train_mean"), F.avg(F.when(tail, label)).alias("test_mean"),
-                ((F.min("prediction") >= F.min(train) - slack) & (F.max("prediction") <= F.max(train) + slack)).alias("in_range"),
-                (F.avg(F.when(~tail, error * error)) < F.var_pop(train)).alias("below_mean"),
-            ))
+        found += [_properties(models[name, h], split, name).withColumn("horizon_hours", F.lit(h)) for name in M.MODELS]
     tested = metrics.select("model_name", "horizon_hours", F.col("rows").alias("test_rows"))
     return rounded(reduce(DataFrame.unionByName, found).join(tested, ["model_name", "horizon_hours"]), "train_mean", "test_mean")
 
 
+# One tree of one split on the hour can be stated whole: every cut, the gain of each, both leaves, and
+# what the hour moves the prediction away from the mean.
+@query("fit_boost_stump", f"""WITH a AS (SELECT event_id, hour(ts) AS x, label, tail FROM {_line(H)} WHERE label IS NOT NULL),
+    m AS (SELECT avg(label) AS mean FROM a WHERE NOT tail),
+    v AS (SELECT x, count(*) AS h, sum(mean - label) AS g FROM a, m WHERE NOT tail GROUP BY x),
+    c AS (SELECT x AS cut, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER () AS ga, sum(h) OVER () AS ha FROM v WINDOW w AS (ORDER BY x)),
+    b AS (SELECT * FROM c WHERE hl < ha ORDER BY gl ** 2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) DESC, cut LIMIT 1),
+    p AS (SELECT event_id, tail, mean - 0.1 * CASE WHEN x <= cut THEN gl / (hl + 1) ELSE (ga - gl) / (ha - hl + 1) END AS prediction FROM a, m, b)
+    SELECT event_id, {sr6('prediction', 'prediction')}, {sr6('prediction - avg(prediction) FILTER (NOT tail) OVER ()', 'attribution')} FROM p""")
+def _(t):
+    split = settled(_split(t), "stump")
+    model = M.fit(split.where(~F.col("in_tail")), ["hour"], "label", lambda train, label: M.boost(train, label, maxIter=1, maxDepth=1, subsamplingRate=1.0))
+    out = E.attributions(model, model.transform(split), ["hour"])
+    return rounded(out.select("event_id", "prediction", F.get("attributions", F.lit(0)).alias("attribution")), "prediction", "attribution")
+
+
+# Attributions of the whole model add up to the prediction, row by row.
+@query("importance_boost", f"SELECT event_id, true AS adds_up, 6 AS inputs FROM ({_NEWEST} {_line(H)}) WHERE n <= 100")
+def _(t):
+    model, _split_rows = _fitted(t, M.boost)
+    sample = settled(E.sample_tail(table(t).na.fill(0.0, INPUTS), READ), "sample")
+    out = E.attributions(model, model.transform(sample), INPUTS)
+    total = F.aggregate("attributions", F.col("expected"), lambda a, b: a + b)
+    return out.select("event_id", (F.abs(total - F.col("prediction")) < 1e-6).alias("adds_up"), F.size("attributions").alias("inputs"))
+
+
 @query("registry")
 def _(t):
     store = Registry(t.spark, scratch(t.spark, "registry"))
@@ -152,6 +186,12 @@ def _(t):
     return rounded(E.importance(model, table(t).na.fill(0.0, INPUTS), READ, INPUTS), "importance")
 
 
+@query("importance_forest")
+def _(t):
+    model, _split_rows = _fitted(t, M.forest)
+    return rounded(E.importance(model, table(t).na.fill(0.0, INPUTS), READ, INPUTS), "importance")
+
+
 @query("importance_permuted")
 def _(t):
     model, split = _fitted(t, M.forest)

@@ -1,5 +1,7 @@
 """Streaming jobs over ``events`` as a stream, compared with what the batch tables say."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from airloom.operators.features import lags, rolling
@@ -8,7 +10,6 @@ from airloom.queries.base import READ, _columns, RAW, query, rounded, sr6
 from airloom.queries.batch import _level_sql
 from airloom.queries.windows import W, frame
 from airloom.session import scratch
-from airloom.sources.tables import snapshot_latest
 from airloom.streaming import jobs as S
 
 
@@ -16,14 +17,20 @@ def _events(t):
     return S.read_stream(t.spark, t.folder, t.events.schema, "ts", "events.parquet")
 
 
-def _landed(t, rows):
-    """A stream of the rows as four files in time order, which arrive one per micro-batch."""
+def _landed(t, rows, closed=False, shuffled=False):
+    """A stream of the rows as four files, which arrive one per micro-batch: in time order, or dealt
+    by a hash. ``closed``: a heartbeat comes last."""
     landed = scratch(t.spark, "landed")
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     for week in range(4):
         last = week == 3
-        part = rows.where((F.dayofmonth("ts") > 7 * week) & (F.lit(last) | (F.dayofmonth("ts") <= 7 * week + 7)))
+        if shuffled:
+            part = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == week)
+        else:
+            part = rows.where((F.dayofmonth("ts") > 7 * week) & (F.lit(last) | (F.dayofmonth("ts") <= 7 * week + 7)))
         part.coalesce(1).write.mode("append").parquet(landed)
+    if closed:
+        S.heartbeat(t.spark, landed, rows.schema, "ts", _CLOSE)
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
 
 
@@ -49,25 +56,22 @@ def _(t):
     return _local(t.spark.read.parquet(target))
 
 
-@query("st_dedup", "SELECT DISTINCT event_type AS city, date_trunc('hour', ts) AS ts FROM events")
+_CLOSE = "2100-01-01"
+
+
+@query("st_dedup", """SELECT city, ts, event_id, aqi FROM (SELECT *, row_number() OVER (PARTITION BY city, ts ORDER BY event_id DESC) AS n FROM
+    (SELECT city, date_trunc('hour', ts) AS ts, event_id, aqi FROM {readings})) WHERE n = 1""")
 def _(t):
-    hourly = _readings(t).withColumn("ts", F.date_trunc("hour", "ts"))
-    return _ran(t, S.st_dedup(hourly, READ).select("city", "ts"))
+    hourly = t.readings.select("city", F.date_trunc("hour", "ts").alias("ts"), "event_id", "aqi")
+    stream = _landed(t, hourly, closed=True)
+    return _ran(t, S.st_dedup(stream, READ))
 
 
 @query("st_rolling", f"""SELECT city, w AS start, w + INTERVAL 6 HOURS AS "end", {sr6('avg(pm10)', 'mean')}, count(pm10) AS n FROM
     (SELECT *, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 5 HOURS, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM {{readings}}) GROUP BY 1, 2""")
 def _(t):
-    target = scratch(t.spark, "stream")
-    stream = S.st_rolling(_readings(t), READ, "pm10")
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    # complete mode: every window, also those the watermark has not closed yet
-    S.start_batches(stream, keep, scratch(t.spark, "checkpoint"), "complete").awaitTermination()
-    out = snapshot_latest(t.spark.read.parquet(target), "batch").drop("batch")
-    return rounded(_local(out), "mean")
+    stream = _landed(t, t.readings.select("city", "ts", "pm10"), closed=True)
+    return rounded(_ran(t, S.st_rolling(stream, READ, "pm10")), "mean")
 
 
 @query("st_alert", f"SELECT event_id, ts, aqi, {_level_sql('aqi')} AS level FROM {{readings}} WHERE aqi >= 200")
@@ -75,20 +79,26 @@ def _(t):
     return _ran(t, S.st_alert(_readings(t), "aqi", "ts").select("event_id", "ts", "aqi", "level"))
 
 
-@query("st_features", f"""SELECT event_id, lag(aqi, 24) OVER {W} AS aqi_lag_24h, {sr6('avg(aqi) OVER ' + frame('5 PRECEDING AND CURRENT ROW'), 'aqi_roll_mean_6h')}
-    FROM {{readings}}""")
-def _(t):
-    stream = _landed(t, t.readings)
+_FEATURES = f"""SELECT event_id, lag(aqi, 24) OVER {W} AS aqi_lag_24h, {sr6('avg(aqi) OVER ' + frame('5 PRECEDING AND CURRENT ROW'), 'aqi_roll_mean_6h')}
+    FROM {{readings}}"""
+
+
+def _features(t, stream, late=None):
     target, history = scratch(t.spark, "features"), scratch(t.spark, "history")
 
     def features(df):
         return with_rows(df, READ, lambda w: lags(w, "aqi", [24]) | rolling(w, "aqi", [6], ["mean"]), before=24)
 
-    S.st_features(stream, READ, features, history, target, scratch(t.spark, "checkpoint")).awaitTermination()
-    out = t.spark.read.option("basePath", target).parquet(target)
+    S.st_features(stream, READ, features, history, target, scratch(t.spark, "checkpoint"), late=late).awaitTermination()
+    out = S.features_table(t.spark, target, READ)
     return rounded(out.select("event_id", "aqi_lag_24h", "aqi_roll_mean_6h"), "aqi_roll_mean_6h")
 
 
+query("st_features", _FEATURES)(lambda t: _features(t, _landed(t, t.readings)))
+# Files in any order: rows that come late change the rows after them, which are emitted again.
+query("st_features_late", _FEATURES)(lambda t: _features(t, _landed(t, t.readings, shuffled=True), timedelta(days=40)))
+
+
 @query("st_online", """SELECT user_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def _(t):
     from airloom.operators.ordered import Series

@@ -7,6 +7,7 @@ run with ``availableNow`` by default: take what has arrived, then stop.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from airloom.config import AlertSettings
 from airloom.functions.advice import alerts
-from airloom.operators.drift import drift_detail, drift_report
-from airloom.operators.ordered import Series, first_rows, same_key
+from airloom.operators.drift import detail_of, drift_report, ks_of_counts, value_counts
+from airloom.operators.ordered import Series, first_rows, join_back, same_key, with_rows
 from airloom.session import settled
 
 
@@ -47,13 +48,35 @@ def st_ingest(stream: DataFrame, target: str, checkpoint: str, partition_by: Seq
     return start(stream, target, checkpoint, partition_by=partition_by)
 
 
+def heartbeat(spark: SparkSession, folder: str, schema: T.StructType, ts: str, at: str) -> None:
+    """Append a row that holds nothing but the time ``at``, after which no reading of before comes.
+
+    It moves the watermark of streams over ``folder``, so that whatever waits for it is closed.
+    """
+    row = spark.range(1).select(*[(F.lit(at) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    row.write.mode("append").parquet(folder)
+
+
 def st_dedup(stream: DataFrame, series: Series, late: str = "2 hours") -> DataFrame:
-    """One reading per key and time within the watermark. The first one seen stays; batch keeps the last."""
-    return stream.withWatermark(series.ts, late).dropDuplicatesWithinWatermark([*series.key, series.ts])
+    """One reading per key and time, the last by the tie columns, as ``dedup_last`` has it in batch.
+
+    A reading waits until the watermark has passed its time, in any order of arrival; then it is
+    emitted once and leaves the state. Later ones are dropped, rows without a time never come out.
+    """
+    rest = [c for c in stream.columns if c not in (*series.key, series.ts)]
+    order = series.ties or rest
+    last = F.max_by(F.struct(*rest), F.struct(*order)) if rest else F.count(F.lit(1))
+    found = stream.withWatermark(series.ts, late).groupBy(*series.key, series.ts).agg(last.alias("_last"))
+    return found.select(*[F.col(c) if c in (*series.key, series.ts) else F.col(f"_last.{c}").alias(c) for c in stream.columns])
 
 
 def st_rolling(stream: DataFrame, series: Series, column: str, hours: int = 6, late: str = "2 hours") -> DataFrame:
-    """Means over sliding windows of whole hours."""
+    """Means over sliding windows of whole hours.
+
+    In append mode a window is emitted once, when the watermark passes its end, and leaves the state
+    then, so the state holds the windows of the last ``hours`` and ``late`` only. A ``heartbeat``
+    closes the last ones.
+    """
     window = F.window(series.ts, f"{hours} hours", "1 hour")
     return (
         stream.withWatermark(series.ts, late)
@@ -76,34 +99,64 @@ def st_features(
     target: str,
     checkpoint: str,
     rows_back: int = 24,
+    late: timedelta | None = None,
 ) -> StreamingQuery:
-    """Row-exact lags and rolling frames on a stream of rows that arrive in time order per key.
-
-    Per micro-batch the newest ``rows_back`` rows of each key in ``history`` go before the new
-    rows, ``features`` runs on both, and only the new rows are written, under their batch number.
-    ``history`` holds ``rows_back`` rows of each key in hash buckets; a batch reads and rewrites the
-    buckets of its own keys only. A repeated batch overwrites itself and does not see its own rows
-    as history. ``rows_back`` must cover the reach of ``features``; rows that arrive later than
-    newer rows of their key need the batch plan.
+    """Row-exact lags and rolling frames on a stream.
+
+    Per micro-batch the stored rows of its keys in ``history`` go before the new rows, ``features``
+    runs on both, and what the batch changes is written under its batch number: the new rows and,
+    with ``late``, those of the ``rows_back`` rows after each that were emitted before.
+    ``features_table`` picks the newest version of each row. ``rows_back`` must cover the reach of
+    ``features``.
+
+    ``history`` holds, in hash buckets, the rows of each key that are less than ``late`` older than its
+    newest, and ``rows_back`` rows before them; a batch reads and rewrites the buckets of its own keys
+    only. Rows may come in any order within ``late``; older ones are dropped, as behind a watermark.
+    Without ``late`` rows must come in time order per key. A repeated batch overwrites itself and does
+    not see its own rows as history.
     """
+    reach = F.lit(late) if late is not None else None
+
+    def newest(df: DataFrame, names: DataFrame) -> DataFrame:
+        return join_back(df, names.groupBy(*series.key).agg(F.max(series.ts).alias("_newest")), series.key)
 
     def work(batch: DataFrame, number: int) -> None:
         new = settled(_bucketed(batch, series.key), "microbatch")
         old = _touched(new, history)
-        both = new.withColumn("_new", F.lit(True))
         if old is not None:
             again = [*series.key, *series.order]
             names = {k: f"_a{i}" for i, k in enumerate(again)}
             mine = new.select(*[F.col(k).alias(n) for k, n in names.items()])
-            both = both.unionByName(old.join(mine, same_key(old, mine, names), "left_anti").withColumn("_new", F.lit(False)))
+            old = old.join(mine, same_key(old, mine, names), "left_anti")
+            if late is not None:
+                new = newest(new, old).where(F.col("_newest").isNull() | (F.col(series.ts) >= F.col("_newest") - reach)).drop("_newest")
+        both = new.withColumn("_new", F.lit(True))
+        if old is not None:
+            both = both.unionByName(old.withColumn("_new", F.lit(False)))
+        changed = F.col("_new")
+        if late is not None:
+            both = with_rows(both, series, lambda w: {"_changed": F.max("_new").over(w.rowsBetween(-rows_back, 0))}, before=rows_back)
+            changed = F.col("_changed")
         both = settled(both, "microbatch")
-        out = features(both.drop("_bucket")).where("_new").drop("_new")
+        out = features(both.drop("_bucket")).where(changed).drop("_new", "_changed")
         out.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        _replace(first_rows(both.drop("_new"), series.key, series.descending(), rows_back), history)
+        rows = both.drop("_new", "_changed")
+        if late is None:
+            _replace(first_rows(rows, series.key, series.descending(), rows_back), history)
+            return
+        rows = newest(rows, rows).withColumn("_recent", F.col(series.ts) >= F.col("_newest") - reach).drop("_newest")
+        before = first_rows(rows.where(~F.col("_recent")), series.key, series.descending(), rows_back)
+        _replace(rows.where("_recent").unionByName(before).drop("_recent"), history)
 
     return start_batches(stream, work, checkpoint)
 
 
+def features_table(spark: SparkSession, target: str, series: Series) -> DataFrame:
+    """What ``st_features`` has written: of each row the version of the newest batch."""
+    out = spark.read.option("basePath", target).parquet(target)
+    return first_rows(out, [*series.key, *series.order], [F.col("batch").desc()]).drop("batch")
+
+
 def st_online(stream: DataFrame, series: Series, target: str, checkpoint: str) -> StreamingQuery:
     """Keep the newest row per key, in hash buckets of which a batch rewrites those of its own keys."""
 
@@ -145,11 +198,16 @@ def _replace(rows: DataFrame, path: str) -> None:
 def st_drift(
     stream: DataFrame, reference: DataFrame, cols: Sequence[str], target: str, checkpoint: str, group: Sequence[str] = ()
 ) -> StreamingQuery:
-    """Drift of every micro-batch against a fixed reference, one report per group and batch."""
+    """Drift of every micro-batch against a fixed reference, one report per group and batch.
+
+    The reference is read once, when the stream starts, and kept as counts per distinct value; each
+    batch is counted the same way and merged with them.
+    """
+    kept = settled(value_counts(reference, cols, group, "n_ref"), "reference")
 
     def work(batch: DataFrame, number: int) -> None:
         current = settled(batch, "current")
-        report = drift_report(drift_detail(reference, current, cols, group), group, current)
-        report.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        found = ks_of_counts(kept, value_counts(current, cols, group, "n_cur"), group)
+        drift_report(detail_of(found, group), group, current).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return start_batches(stream, work, checkpoint)

@@ -1,7 +1,7 @@
 """Readers, writers, payloads, catalogue, streams, models."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from airloom.operators import quality
 from airloom.operators.drift import drift_detail, drift_log_append, drift_report, ks_stat
 from airloom.operators.features import lag_time, lags, long_features, rolling, short_features
 from airloom.operators.joins import pit_join
+from airloom.operators.latest import dedup_last
 from airloom.operators.ordered import Series, with_rows
 from airloom.operators.predicates import min_rows_guard
 from airloom.plans import catalogue as C
@@ -21,7 +22,7 @@ from airloom.plans import ingest as I
 from airloom.plans import training as M
 from airloom.plans.readings import clean, gold
 from airloom.plans.registry import Registry
-from airloom.session import scratch, shared_dir
+from airloom.session import remove, scratch, shared_dir
 from airloom.sources import payloads as J
 from airloom.sources import tables as T
 from airloom.streaming import jobs as S
@@ -185,9 +186,76 @@ def test_stream_online_and_dedup(spark, landed):
     got = {r.city: r.id for r in spark.read.parquet(f"{path}/online").collect()}
     want = {r.city: r.id for r in df.groupBy("city").agg(F.max_by("id", "ts").alias("id")).collect()}
     assert got == want
-    twice = stream.unionByName(stream)
-    S.start(S.st_dedup(twice, SERIES, "30 days"), f"{path}/once", f"{path}/check2").awaitTermination()
-    assert spark.read.parquet(f"{path}/once").count() == df.count()
+
+
+@pytest.fixture()
+def shuffled(spark, tmp_path):
+    """Readings of two cities and of none, some times twice, as four files in no order."""
+    _, df = table(spark, {"a": 60, "b": 45, "c": 30})
+    df = df.withColumn("city", F.when(F.col("city") != "c", F.col("city")))
+    df = df.unionByName(df.where("id % 3 = 0").withColumns({"id": F.col("id") + 1000, "aqi": F.lit(7.0)}))
+    for i in range(4):
+        df.where(F.pmod(F.xxhash64("id"), F.lit(4)) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return df, spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path)
+
+
+def test_stream_dedup_keeps_the_last_as_batch_does(spark, shuffled):
+    df, stream, path = shuffled
+    S.heartbeat(spark, f"{path}/in", df.schema, "ts", "2100-01-01")
+    query = S.start(S.st_dedup(stream, SERIES, "30 days"), f"{path}/once", f"{path}/check")
+    query.awaitTermination()
+    got, want = (sorted(map(str, d.select(*df.columns).collect())) for d in (spark.read.parquet(f"{path}/once"), dedup_last(df, SERIES)))
+    assert got == want
+
+
+def test_stream_windows_leave_the_state(spark, landed):
+    df, stream, path = landed
+    S.heartbeat(spark, f"{path}/in", df.schema, "ts", "2100-01-01")
+    query = S.start(S.st_rolling(stream, SERIES, "aqi", 6, "2 hours"), f"{path}/windows", f"{path}/check")
+    query.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    got = {(r.city, r.start): (r.n, r["mean"]) for r in spark.read.parquet(f"{path}/windows").collect()}
+    slid = df.withColumn("start", F.explode(F.sequence(F.date_trunc("hour", "ts") - F.expr("INTERVAL 5 HOURS"), F.date_trunc("hour", "ts"), F.expr("INTERVAL 1 HOUR"))))
+    want = slid.groupBy("city", "start").agg(F.count("aqi").alias("n"), F.avg("aqi").alias("mean")).collect()
+    assert set(got) == {(r.city, r.start) for r in want} and all(got[r.city, r.start] == (r.n, pytest.approx(r["mean"])) for r in want)
+    assert sizes[-1] <= 6 < len(got)  # the heartbeat's own windows; all others have gone
+
+
+def test_stream_features_of_late_rows(spark, shuffled):
+    df, stream, path = shuffled
+
+    def features(d):
+        return with_rows(d, SERIES, lambda w: lags(w, "aqi", [12]) | rolling(w, "pm25", [6], ["mean"]), before=12)
+
+    args = (SERIES, features, f"{path}/history", f"{path}/out", f"{path}/check", 12, timedelta(days=30))
+    S.st_features(stream, *args).awaitTermination()
+    cols = ["id", "aqi_lag_12h", "pm25_roll_mean_6h"]
+    got = S.features_table(spark, f"{path}/out", SERIES).select(*cols).orderBy("id").toPandas()
+    pd.testing.assert_frame_equal(got, features(df).select(*cols).orderBy("id").toPandas())
+
+
+def test_stream_features_drop_rows_behind_the_limit(spark, tmp_path):
+    path = str(tmp_path)
+    rows = [("a", t, float(i), None, None, i) for i, t in enumerate(hours(50))]
+    for part in (rows[:5] + rows[10:40], rows[40:], rows[5:10]):  # the last file is over a day late
+        spark.createDataFrame(part, READING).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    S.st_features(stream, SERIES, lambda d: d, f"{path}/history", f"{path}/out", f"{path}/check", 3, timedelta(days=1)).awaitTermination()
+    assert sorted(r.id for r in S.features_table(spark, f"{path}/out", SERIES).collect()) == [*range(5), *range(10, 50)]
+    assert spark.read.parquet(f"{path}/history").count() == 25 + 3
+
+
+def test_stream_drift_reads_its_reference_once(spark, landed):
+    df, stream, path = landed
+    df.write.parquet(f"{path}/reference")
+    query = S.st_drift(stream, spark.read.parquet(f"{path}/reference"), ["aqi", "pm25"], f"{path}/drift", f"{path}/check", ["city"])
+    remove(spark, f"{path}/reference")
+    query.awaitTermination()
+    got = spark.read.parquet(f"{path}/drift")
+    assert got.select("batch").distinct().count() == 3
+    first = df.where("ts < '2026-04-02'")
+    want = drift_report(drift_detail(df, first, ["aqi", "pm25"], group=["city"]), ["city"], first)
+    assert sorted(map(str, got.where("batch = 0").drop("batch").collect())) == sorted(map(str, want.collect()))
 
 
 def test_stream_restart_takes_only_new_files(spark, landed):
@@ -248,8 +316,9 @@ def test_explanations(spark, training):
     got = E.importance(line, train, SERIES, FEATURES).collect()
     assert [r.importance for r in got] == sorted((r.importance for r in got), reverse=True)
     trees = M.fit(train, FEATURES, "aqi", lambda d, y: M.forest(d, y, numTrees=5, maxDepth=4))
+    assert E.impurity_importance(trees, train, FEATURES).toPandas().importance.sum() == pytest.approx(1)
     shares = E.importance(trees, train, SERIES, FEATURES).toPandas()
-    assert shares.importance.sum() == pytest.approx(1)
+    assert len(shares) == len(FEATURES) and shares.importance.is_monotonic_decreasing
     for bucket_rows in (50_000, 40):
         moved = E.permutation_importance(trees, train, FEATURES, "aqi", bucket_rows=bucket_rows).toPandas().set_index("feature").importance
         assert moved.idxmin() == "pm10" and moved.max() > 5
