@@ -13,7 +13,7 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +25,18 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from airloom.llm.frames import slices, small_batches, text_of
-from airloom.llm.segments import Memo, segments
+from airloom.llm.segments import _CUT, _IRREGULAR, Memo
 from airloom.session import settled
 
 SPACE_PIECE = "▁"
-#: Segments that a Python worker remembers for each tokenizer, and texts whose segments it looks up together.
-MEMO = 60_000
+#: Segments that a Python worker remembers, and texts whose segments it looks up together.
+MEMO = 200_000
 ROWS = 256
 #: The most frequent pairs of ids go to every task up to this many; links of rarer pairs are shuffled.
 HEAD_PAIRS = 500_000
 
-_BEFORE_SPACES = re.compile(r"(?<=[^ ])(?= )")
+#: A segment without white space but the space or line feed it begins with.
+_PLAIN = re.compile(r"[ \n]\S+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,27 +48,44 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Side:
-    """One tokenizer: the bytes of each id, and ids of texts from remembered segments."""
+    """One tokenizer: the bytes of each id, and the ids of segments.
+
+    A segment begins with a space or line feed. Plain ones are encoded in one text, each on a line of
+    its own, and the ids cut at the line feeds' id; a segment's own line feed serves as its line's.
+    """
 
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
         self.sizes = np.array([len(x) for x in pieces], np.int64)
-        self.names = [str(i) for i in range(len(pieces))]
-        self.memo = Memo(self.code, MEMO)
-
-    def code(self, parts: list[str]) -> list[bytes]:
-        raise NotImplementedError
+        if not self.sizes.all():
+            raise ValueError("a token without bytes has no place of its own")
+        self.feed = int(self.single("\n")[-1])
 
-    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    def single(self, part: str) -> np.ndarray:
         raise NotImplementedError
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; every different segment of the batch is looked up once."""
-        parts, ends = self.cut(texts)
-        parts = pa.array(parts).dictionary_encode() if not isinstance(parts, pa.DictionaryArray) else parts
-        codes = self.memo(parts.dictionary.to_pylist())
-        found = [codes[i] for i in parts.indices.to_pylist()]
-        return [np.frombuffer(b"".join(found[a:b]), "<i4") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    def lines(self, text: str) -> np.ndarray:
+        """Ids of a text that begins with a line feed, from there on."""
+        return self.single(text)
+
+    def encode(self, plain: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments, the plain ones first, and how many each has."""
+        flat, counts = np.empty(0, "<i4"), np.empty(0, np.int64)
+        if plain:
+            flat = self.lines("\n" + "\n".join([p.lstrip("\n") for p in plain]))
+            at = np.flatnonzero(flat == self.feed)
+            if len(at) == len(plain):
+                foreign = np.array([p[0] == " " for p in plain])
+                counts = np.diff(np.append(at, len(flat))) - foreign
+                flat = np.delete(flat, at[foreign])
+            else:  # each by itself
+                flat, plain, others = np.empty(0, "<i4"), [], [*plain, *others]
+        rest = [self.single(p) for p in others]
+        return np.concatenate([flat, *rest]).astype(np.int64), np.concatenate([counts, [len(x) for x in rest]]).astype(np.int64)
+
+    def written(self, ids: np.ndarray) -> bytes:
+        pieces = self.pieces
+        return b"".join([pieces[i] for i in ids.tolist()])
 
 
 class _ByteLevel(_Side):
@@ -78,52 +96,34 @@ class _ByteLevel(_Side):
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        pieces = [b""] * self.tokenizer.get_vocab_size()
+        pieces = [b"?"] * self.tokenizer.get_vocab_size()
         for entry, at in vocabulary.items():
             pieces[at] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
         super().__init__(pieces)
 
-    def code(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """Segments of each text; the first one gets the space that comes before the text."""
-        parts, ends = segments(texts)
-        parts = parts.cast(pa.large_string())
-        first = np.zeros(len(parts), bool)
-        first[ends[:-1]] = True
-        led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), parts.filter(pa.array(first)), pa.scalar("", pa.large_string()))
-        return pc.replace_with_mask(parts, pa.array(first), led), ends
+    def single(self, part: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, "<i4")
 
 
 class _Pieces(_Side):
-    """No piece has a space after another character, so no merge joins two words: each run of spaces
-    and what follows it is coded by itself, without the one space that the model puts before it."""
+    """``apart``: no piece has a space after another character, and none a line feed, so no merge joins
+    what stands on either side of a cut before one."""
 
     def __init__(self, path: str):
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
-        self.apart = all(re.fullmatch(f"{SPACE_PIECE}*[^{SPACE_PIECE}]*", x) for x in names)
-        self.space = np.array([self.model.piece_to_id(SPACE_PIECE)], "<i4").tobytes()
+        self.apart = all(re.fullmatch(f"{SPACE_PIECE}*[^{SPACE_PIECE}\n]*", x) for x in names)
         super().__init__([
             bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace(SPACE_PIECE, " ").encode() for i, x in enumerate(names)
         ])
 
-    def code(self, parts: list[str]) -> list[bytes]:
-        ids = self.model.encode(parts, num_threads=1)
-        return [np.array(x, "<i4").tobytes() if p else self.space for p, x in zip(parts, ids, strict=True)]
-
-    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        if not self.apart:
-            return texts, np.arange(len(texts) + 1)
-        odd = pc.match_substring_regex(texts, pattern="  |^ | $")
-        words = pc.split_pattern(texts, " ")
-        if not pc.any(odd).as_py():
-            return words.flatten(), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
-        lists = words.to_pylist()
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            lists[i] = [x[1:] for x in _BEFORE_SPACES.split(" " + texts[i].as_py())]
-        return pa.array([x for row in lists for x in row], texts.type), np.array([0, *accumulate(map(len, lists))])
+    def single(self, part: str) -> np.ndarray:
+        """The model puts a space before each text: it stands for the segment's own, or is cut off."""
+        if part[0] == " " and part != " ":
+            return np.array(self.model.encode(part[1:], num_threads=1), "<i4")
+        if part == " ":
+            return np.array([self.model.piece_to_id(SPACE_PIECE)], "<i4")
+        return np.array(self.model.encode(part, num_threads=1)[1:], "<i4")
 
 
 @lru_cache(maxsize=2)
@@ -131,9 +131,9 @@ def _sides(first: str, second: str) -> tuple[_Side, _Side]:
     return _ByteLevel(first), _Pieces(second)
 
 
-def aligned(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
+def aligned(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
     """Where the groups end, as (index in a, index in b), exclusive: after each end that both have."""
-    at_a, at_b = dict(zip(a_ends, range(1, len(a) + 1))), dict(zip(b_ends, range(1, len(b) + 1)))
+    at_a, at_b = dict(zip(a_ends, range(1, len(a_ends) + 1))), dict(zip(b_ends, range(1, len(b_ends) + 1)))
     return [(at_a[e], at_b[e]) for e in sorted(at_a.keys() & at_b.keys())]
 
 
@@ -144,40 +144,125 @@ SCHEMA = T.StructType([
 ])
 
 
+def cut_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts after a space, cut before single spaces and line feeds between two other characters.
+
+    There a match of A's pattern begins and no piece of B goes on, so both have a token's end, and
+    groups never cross a cut. Returns all segments, and where each text's end.
+    """
+    odd = pc.match_substring_regex(texts, pattern=_IRREGULAR)
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+    marked = pc.binary_join_element_wise(" ", marked, "")
+    if not pc.any(odd).as_py():
+        cut = pc.split_pattern(marked, "\0")
+        return cut.flatten(), np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])
+    lists = pc.split_pattern(marked, "\0").to_pylist()
+    for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+        first, *rest = _CUT.split(texts[i].as_py())
+        lists[i] = [" " + first, *rest]
+    return pa.array(chain.from_iterable(lists), texts.type), np.array([0, *accumulate(map(len, lists))])
+
+
 class _Aligner:
+    """Aligns segments, each different one once, and puts the rows together from them."""
+
     def __init__(self, first: str, second: str, digest: bool):
         self.a, self.b = _sides(first, second)
         self.digest = digest
-
-    def row(self, text: bytes, a: np.ndarray, b: np.ndarray) -> tuple:
-        a_pieces, b_pieces = self.a.pieces, self.b.pieces
-        a_ids, b_ids = a.tolist(), b.tolist()
-        if text == b" " or not b"".join([a_pieces[i] for i in a_ids]) == text == b"".join([b_pieces[i] for i in b_ids]):
-            return (0, 0, 0, 0, "", [], [])
-        cuts = aligned(a_ids, b_ids, np.cumsum(self.a.sizes[a]).tolist(), np.cumsum(self.b.sizes[b]).tolist())
-        a_names, b_names = [self.a.names[i] for i in a_ids], [self.b.names[i] for i in b_ids]
-        i = j = 0
-        out = []
-        for to_i, to_j in cuts:
-            left = a_names[i] if to_i - i == 1 else ",".join(a_names[i:to_i])
-            out.append(left + "|" + (b_names[j] if to_j - j == 1 else ",".join(b_names[j:to_j])))
-            i, j = to_i, to_j
-        groups = ";".join(out)
+        self.memo = Memo(self.code, MEMO)
+        signs = [f"{i}{x}" for i in range(len(self.a.pieces)) for x in ",|"] + [f"{i}{x}" for i in range(len(self.b.pieces)) for x in (",", ";", "")]
+        self.signs = pa.array(signs, pa.large_string())
+
+    def code(self, parts: list[str]) -> list[tuple]:
+        """For each segment (n_a, n_b, n_groups, groups, linked pairs), or -1 for n_a if bytes differ."""
+        plain = [i for i, p in enumerate(parts) if _PLAIN.fullmatch(p)]
+        simple = set(plain)
+        order = np.array([*plain, *[i for i in range(len(parts)) if i not in simple]])
+        ordered = [parts[i] for i in order.tolist()]
+        a, n_a = self.a.encode(ordered[: len(plain)], ordered[len(plain) :])
+        b, n_b = self.b.encode(ordered[: len(plain)], ordered[len(plain) :])
+        out: list[tuple] = [(-1, 0, 0, "", b"")] * len(parts)
+        raw = [p.encode() for p in ordered]
+        if not self.a.written(a) == b"".join(raw) == self.b.written(b):
+            at_a, at_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+            good = np.array([
+                self.a.written(a[at_a[i] : at_a[i + 1]]) == text == self.b.written(b[at_b[i] : at_b[i + 1]]) for i, text in enumerate(raw)
+            ])
+            a, b, n_a, n_b, order = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a[good], n_b[good], order[good]
+            if not len(order):
+                return out
+
+        # The segments one after the other, as one text: their ends are shared ones.
+        a_ends, b_ends = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        cuts = np.array(aligned(a_ends.tolist(), b_ends.tolist()), np.int64)
+        links = a[cuts[:, 0] - 1] * len(self.b.pieces) + b[cuts[:, 1] - 1]
+        group_ends = np.searchsorted(cuts[:, 0], np.cumsum(n_a)) + 1  # groups up to and with each segment
+        n_groups = np.diff(group_ends, prepend=0)
+
+        # Each id is written with the sign that follows it; A's ids of a group come before B's.
+        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), np.int64)
+        a_last[cuts[:, 0] - 1] = True
+        b_last[cuts[:, 1] - 1] = 1
+        b_last[np.cumsum(n_b) - 1] = 2
+        a_before = np.concatenate([[0], cuts[:, 0]])[np.searchsorted(cuts[:, 1], np.arange(len(b)), side="right") + 1]
+        b_before = np.concatenate([[0], cuts[:, 1]])[np.searchsorted(cuts[:, 0], np.arange(len(a)), side="right")]
+        signed = np.empty(len(a) + len(b), np.int64)
+        signed[np.arange(len(a)) + b_before] = a * 2 + a_last
+        signed[np.arange(len(b)) + a_before] = 2 * len(self.a.pieces) + b * 3 + b_last
+        words = self.signs.take(pa.array(signed))
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        ends = offsets[np.concatenate([[0], np.cumsum(n_a + n_b)])]
+        groups = pa.Array.from_buffers(pa.large_string(), len(order), [None, pa.py_buffer(ends), words.buffers()[2]]).to_pylist()
+        at = pa.py_buffer(8 * np.concatenate([[0], group_ends]).astype(np.int64))
+        pairs = pa.Array.from_buffers(pa.large_binary(), len(order), [None, at, pa.py_buffer(links)]).to_pylist()
+        for place, found in zip(order.tolist(), zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), groups, pairs, strict=True), strict=True):
+            out[place] = found
+        return out
+
+    def columns(self, texts: pa.Array) -> list[pa.Array]:
+        """The values of ``SCHEMA`` for the texts of a batch."""
+        full = np.flatnonzero(pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        some = texts.take(pa.array(full))
+        if not len(some):
+            return self._arrays(len(texts), full, [], np.empty(0, bool), [], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        parts, ends = cut_texts(some) if self.b.apart else (pc.binary_join_element_wise(" ", some, ""), np.arange(len(some) + 1))
+        parts = parts.dictionary_encode()
+        found = self.memo(parts.dictionary.to_pylist())
+        numbers, kinds = list(zip(*found, strict=True)), (pa.large_string(), pa.large_binary())
+        counts = np.array(numbers[:3], np.int64).T[parts.indices.to_numpy()]
+        fine = np.minimum.reduceat(counts[:, 0], ends[:-1]) >= 0
+        totals = np.where(fine[:, None], np.add.reduceat(counts, ends[:-1]), 0)
+        groups, links = (pa.array(x, kind).take(parts.indices) for x, kind in zip(numbers[3:], kinds, strict=True))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups), pa.scalar(";", pa.large_string())).to_pylist()
         if self.digest:
-            groups = hashlib.sha256(groups.encode()).hexdigest()
-        last = np.array(cuts, np.int64) - 1
-        pairs, times = np.unique(a[last[:, 0]].astype(np.int64) * len(b_pieces) + b[last[:, 1]], return_counts=True)
-        return (len(a_ids), len(b_ids), len(cuts), len(cuts), groups, pairs, times)
+            joined = [hashlib.sha256(x.encode()).hexdigest() if ok else "" for x, ok in zip(joined, fine.tolist(), strict=True)]
+        flat = np.frombuffer(links.buffers()[2] or b"", np.int64, int(counts[:, 2].sum()))
+        texts_of = np.repeat(np.arange(len(some)), np.add.reduceat(counts[:, 2], ends[:-1]))
+        keep = fine[texts_of]
+        span = len(self.a.pieces) * len(self.b.pieces)
+        keys, times = np.unique(texts_of[keep] * span + flat[keep], return_counts=True)
+        return self._arrays(len(texts), full, totals, fine, joined, keys // span, keys % span, times)
+
+    @staticmethod
+    def _arrays(n: int, full, totals, fine, groups, owner, pairs, times) -> list[pa.Array]:
+        numbers = np.zeros((n, 3), np.int64)
+        texts = [""] * n
+        if len(full):
+            numbers[full] = totals
+            for i, text, ok in zip(full.tolist(), groups, fine.tolist(), strict=True):
+                texts[i] = text if ok else ""
+        sizes = np.bincount(full[owner], minlength=n) if len(owner) else np.zeros(n, np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return [
+            *(pa.array(numbers[:, i], pa.int64()) for i in (0, 1, 2, 2)), pa.array(texts, pa.string()),
+            pa.ListArray.from_arrays(ends, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
+        ]
 
-    def rows(self, texts: pa.Array) -> list[tuple]:
-        plain = [b" " + x for x in texts.cast(pa.binary()).to_pylist()]
-        return list(map(self.row, plain, self.a.encode(texts), self.b.encode(texts)))
 
-
-def _lists(values: list, kind: pa.DataType) -> pa.Array:
-    ends = pa.array([0, *accumulate(map(len, values))], pa.int32())
-    flat = np.concatenate([np.asarray(v, kind.to_pandas_dtype()) for v in values]) if values else []
-    return pa.ListArray.from_arrays(ends, pa.array(flat, kind))
+@lru_cache(maxsize=2)
+def _aligner(first: str, second: str, digest: bool) -> _Aligner:
+    """Kept with its memory of segments for the next task of a worker."""
+    return _Aligner(first, second, digest)
 
 
 def align(docs: DataFrame, first: str, second: str, id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -195,12 +280,9 @@ def align(docs: DataFrame, first: str, second: str, id: str = "doc_id", text: st
     rows = docs.select(F.col(f"`{id}`"), text_of(text).alias("_text"))
 
     def run(batches):
-        aligner = _Aligner(first, second, digest)
+        aligner = _aligner(first, second, digest)
         for batch in slices(batches, ROWS):
-            found = aligner.rows(batch.column(1).cast(pa.string()))
-            columns = list(zip(*found, strict=True)) if found else [[]] * 7
-            arrays = [pa.array(columns[i], pa.int64()) for i in range(4)]
-            arrays += [pa.array(columns[4], pa.string()), _lists(columns[5], pa.int64()), _lists(columns[6], pa.int32())]
+            arrays = aligner.columns(batch.column(1).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id, *SCHEMA.fieldNames()])
 
     return small_batches(rows).mapInArrow(run, T.StructType([rows.schema[id], *SCHEMA.fields]))
