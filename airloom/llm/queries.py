@@ -226,8 +226,7 @@ SQL: dict[str, str] = {
         r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM v, (SELECT unnest(range(5)) AS j) WHERE c > 1 GROUP BY doc_id),
         l AS (SELECT doc_id, source, lower(trim(regexp_replace(line, '{_WS}+', ' ', 'g'))) AS h, length(line) AS c
             FROM ({_LINES}) WHERE regexp_matches(line, '[^{_WS[1:]}')),
-        f AS (SELECT source, h, min(doc_id) AS holder FROM l JOIN (SELECT source, count(*) AS docs FROM d GROUP BY source) USING (source)
-            GROUP BY source, h, docs HAVING count(DISTINCT doc_id) > {quality.HOST_DOCS} AND count(DISTINCT doc_id) > docs * {quality.HOST_SHARE}),
+        f AS (SELECT source, h, min(doc_id) AS holder FROM l GROUP BY source, h HAVING count(DISTINCT doc_id) > {quality.HOST_DOCS}),
         g AS (SELECT doc_id, count(*) FILTER (holder <> doc_id) AS gone, sum(c) AS chars, coalesce(sum(c) FILTER (holder <> doc_id), 0) AS cut
             FROM l LEFT JOIN f ON f.source = l.source AND f.h = l.h GROUP BY doc_id),
         m AS (SELECT w.doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,

@@ -72,12 +72,27 @@ def test_quality_boilerplate(spark, make_docs):
     assert [i for i in range(40) if judged[i].kept] == [0]  # the smallest id keeps the lines
     assert all(judged[i].kept for i, *_ in rows if i >= 100)
     assert judged[100].n_boilerplate == 1 and judged[200].n_boilerplate == 0
-    kept = {r.doc_id for r in quality.keep_good(make_docs(rows).withColumn("rejected", F.lit(1))).collect()}
-    assert kept == {i for i, r in judged.items() if r.kept}
+    kept = {r.doc_id: r.text for r in quality.keep_good(make_docs(rows).withColumns({"rejected": F.lit(1), "hashes": F.lit(2)})).collect()}
+    assert set(kept) == {i for i, r in judged.items() if r.kept}
+    assert kept[0] == rows[0][1] and kept[100] == prose(100, 90) and kept[300] == rows[-1][1]
     cleaned = {r.doc_id: r.text for r in quality.without_boilerplate(make_docs(rows)).collect()}
     assert cleaned[3] == prose(3, 12) and cleaned[0] == rows[0][1] and cleaned[300] == rows[-1][1]
 
 
+@pytest.mark.parametrize("broadcast", [quality.BROADCAST_ROWS, -1])
+def test_quality_lines_count_by_documents_whatever_the_size_of_the_host(make_docs, monkeypatch, broadcast):
+    """21 documents make a line boilerplate, 20 do not, also where they are one in a hundred of a host."""
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+    rows = [(i, f"{prose(i, 12)}", "hot") for i in range(2_000)]
+    rows += [(3_000 + i, f"Seen in twenty one\n{prose(3_000 + i, 40)}\nSeen in twenty one", "hot") for i in range(21)]
+    rows += [(4_000 + i, f"Seen in twenty\n{prose(4_000 + i, 40)}", "hot") for i in range(20)]
+    rows += [(4_000, f"Seen in twenty\n{prose(1, 40)}", "hot"), (5_000, None, "hot"), (5_001, f"seen  in TWENTY one\n{prose(2, 40)}", "cold")]
+    judged = [(r.doc_id, r.n_boilerplate) for r in quality.judge(make_docs(rows)).collect() if r.n_boilerplate]
+    assert sorted(judged) == [(3_000 + i, 2) for i in range(1, 21)]
+    texts = {(r.doc_id, r.text) for r in quality.keep_good(make_docs(rows)).collect()}
+    assert texts == {(i, prose(i, 40) if 3_000 < i < 3_100 else t) for i, t, _ in rows if i != 5_000}
+
+
 def expected_components(rows):
     prints = [(n, brute.simhash(t)) for n, (_, t) in enumerate(rows)]
     found, low = brute.components(prints), {}
