@@ -13,8 +13,9 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and are more than their host's boilerplate."""
-    return quality.keep_good(docs)
+    """Documents that pass the rules and are more than their host's boilerplate, without the boilerplate."""
+    good = quality.keep_good(docs)
+    return good.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
