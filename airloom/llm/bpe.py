@@ -28,6 +28,11 @@ from airloom.llm.segments import ROWS, Memo, coded
 MEMO = 50_000
 
 
+#: Both spellings of the pattern for which ``segments`` knows where a new match begins.
+_REST = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+GPT2_PATTERNS = ("'s|'t|'re|'ve|'m|'ll|'d|" + _REST, "'(?:[sdmt]|ll|ve|re)|" + _REST)
+
+
 def read_ranks(path: str) -> list[bytes]:
     """Tokens by id of a rank file: a base64 token and its rank on each line."""
     with open(path, "rb") as file:
@@ -40,6 +45,7 @@ class Encoder:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.split = tokens, regex.compile(pattern).findall
+        self.cuts = pattern in GPT2_PATTERNS
         self.rank = {t: i for i, t in enumerate(tokens)}
         automaton = ahocorasick.Automaton()
         halves = [self._merged(t, 2) if len(t) > 1 else [t] for t in tokens]  # what the last merge joins
@@ -152,8 +158,15 @@ class Encoder:
         return [ids[m[0]] if len(m) == 1 else b"".join([ids[x] for x in m]) for m in matches]
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, list[int]]:
-        """Ids of each text as little-endian unsigned 32-bit integers, and their bytes."""
-        return coded(texts, self.segments)
+        """Ids of each text as little-endian unsigned 32-bit integers, and their bytes.
+
+        Texts are cut into segments for the one pattern whose matches begin at the cuts; others see
+        whole texts.
+        """
+        if self.cuts:
+            return coded(texts, self.segments)
+        codes = self._segments(texts.to_pylist())
+        return pa.array(codes, pa.binary()), [len(c) for c in codes]
 
 
 @lru_cache(maxsize=2)

@@ -43,6 +43,18 @@ def test_bpe_equals_the_library_on_noise_and_on_every_letter(library):
         assert size == len(data) and bpe.decoded(data, coder.tokens) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [r" ?[^\s\p{L}\p{N}]++[\r\n]*+|\p{L}+|\s+|\p{N}", r"[\s\S]+", *bpe.GPT2_PATTERNS])
+def test_bpe_of_any_pattern(library, pattern):
+    """Matches that go on over a space or line feed are not cut there."""
+    assert public_tokenizers.PATTERN in bpe.GPT2_PATTERNS
+    tokens = [*(bytes([b]) for b in range(256)), b";\n", b"a b", b"the", b" t"]
+    plain = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    coder, texts = bpe.Encoder(tokens, pattern), ["a;\nb", "a b a b", "", "the;\n t the", *noise(300, 5)]
+    coded, sizes = coder.encode(pa.array(texts))
+    assert [ids_of(c) for c in coded.to_pylist()] == [plain.encode_ordinary(t) for t in texts]
+    assert sizes == [len(c) for c in coded.to_pylist()]
+
+
 def test_bpe_without_rank_order_still_equals_the_merges():
     """Ranks below those of their parts: fit() must then go by the merges."""
     tokens = [bytes([b]) for b in range(256)] + [b"abcd", b"cd", b"ab", b"bc", b"dab", b"cda"]
