@@ -202,20 +202,24 @@ def test_decontamination_registered(spark, small_docs):
     assert exact == {k for k, d in got.items() if d == 0} and exact
 
 
-def licenses_by_hand(spark, rows, texts):
-    """All places of all templates' shingles, not only those that a minhash retrieves."""
-    df = spark.createDataFrame([(i, t) for i, t in rows], "id long, text string")
-    docs = [(r.id, r.s) for r in df.select("id", licenses.shingles(F.coalesce("text", F.lit(""))).alias("s")).collect()]
-    listed = licenses.templates(spark, texts).collect()
+def shingled(text, size):
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+
+
+def licenses_by_hand(rows, texts):
+    """All places of all templates' shingles, from the words themselves."""
     out = set()
-    for id, s in docs:
-        for t in listed:
-            parts = set(t.parts)
-            for at, h in enumerate(s):
-                if h in parts:
-                    around = s[max(at - len(parts) + 1, 0) : at + len(parts) + 1]
+    for n, (name, text) in enumerate(texts):
+        size = min(5, len(shingled(text, 1)))
+        parts = set(shingled(text, size))
+        for id, body in rows:
+            found = shingled(body, size)
+            for at, part in enumerate(found):
+                if part in parts:
+                    around = found[max(at - len(parts) + 1, 0) : at + len(parts) + 1]
                     if len(parts & set(around)) / len(parts) >= licenses.CONTAINED:
-                        out.add((id, t.license, t.template))
+                        out.add((id, name, n))
     return sorted(out, key=repr)
 
 
@@ -228,7 +232,7 @@ def test_licenses(spark, make_docs):
         rows += [(400 + n, " ".join(words)), (None, f"{text} {text}")]
     docs = make_docs(rows).withColumns({"hashes": F.lit(1), "template": F.lit(2)})
     got = rows_of(licenses.license_notices(docs), "doc_id", "license", "template")
-    assert got == licenses_by_hand(spark, rows, licenses.TEMPLATES)
+    assert got == licenses_by_hand(rows, licenses.TEMPLATES)
     assert {(200 + n, name, n) for n, (name, _) in enumerate(licenses.TEMPLATES)} <= set(got)
     assert licenses.license_notices(make_docs([])).count() == 0
     assert all(licenses.found_at_least(n) > 0.999 for n in (1, 2, 5, 50))
@@ -236,9 +240,19 @@ def test_licenses(spark, make_docs):
         licenses.templates(spark, [])
 
 
+def test_licenses_in_slices(make_docs, monkeypatch):
+    """A long list is scanned for in parts, by number and by words, with the same result."""
+    rows = [(n, f"{prose(n, 20)} {text}") for n, (_, text) in enumerate(licenses.TEMPLATES)]
+    monkeypatch.setattr(licenses, "SLICE_TEMPLATES", 17)
+    monkeypatch.setattr(licenses, "SLICE_WORDS", 300)
+    assert len(list(licenses._slices(licenses.TEMPLATES))) > 2
+    got = rows_of(licenses.license_notices(make_docs(rows)), "doc_id", "license", "template")
+    assert got == licenses_by_hand(rows, licenses.TEMPLATES)
+
+
 def test_licenses_registered(spark, small_docs):
     got = rows_of(queries.license_scan(spark, SMALL), "doc_id", "license", "template")
-    assert got == licenses_by_hand(spark, small_docs, licenses.TEMPLATES) and got
+    assert got == licenses_by_hand(small_docs, licenses.TEMPLATES) and got
 
 
 def test_licenses_short(spark, make_docs, small_docs):
