@@ -30,7 +30,7 @@ from airloom.session import settled
 
 SPACE_PIECE = "▁"
 #: Segments that a Python worker remembers, and texts whose segments it looks up together.
-MEMO = 200_000
+MEMO = 100_000
 ROWS = 256
 #: The most frequent pairs of ids go to every task up to this many; links of rarer pairs are shuffled.
 HEAD_PAIRS = 500_000
