@@ -76,8 +76,20 @@ def ks_of_counts(reference: DataFrame, current: DataFrame, group: Sequence[str]
     return joined.groupBy(*keys, *rest).agg(F.max(apart).alias("ks"))
 
 
+#: Pairs of sizes up to this product get the exact p-value, larger ones the asymptotic one.
+EXACT_PAIRS = 10_000
+
+
 def ks_pvalue(ks: Column, size_ref: Column, size_cur: Column, terms: int = 100) -> Column:
-    """Asymptotic two-sided p-value; informational, the decision uses the statistic."""
+    """Two-sided p-value: exact for samples whose sizes multiply to EXACT_PAIRS at most, else asymptotic.
+
+    Informational, the decision uses the statistic.
+    """
+    small = size_ref * size_cur <= EXACT_PAIRS
+    return F.when(small, _exact_pvalue(ks, size_ref, size_cur)).otherwise(_asymptotic_pvalue(ks, size_ref, size_cur, terms))
+
+
+def _asymptotic_pvalue(ks: Column, size_ref: Column, size_cur: Column, terms: int) -> Column:
     effective = F.sqrt(size_ref * size_cur / (size_ref + size_cur))
     reach = effective * ks
     series = F.aggregate(
@@ -89,6 +101,29 @@ def ks_pvalue(ks: Column, size_ref: Column, size_cur: Column, terms: int = 100)
     return F.when(reach < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
 
 
+def _exact_pvalue(ks: Column, size_ref: Column, size_cur: Column) -> Column:
+    """Of all orders in which two samples of these sizes can lie, the share that reaches the statistic.
+
+    An order is a path over a grid of the sizes; paths that stay nearer to the diagonal are counted
+    row by row. Ties between the samples are taken as if broken at random.
+    """
+    wide, high = F.greatest(size_ref, size_cur), F.least(size_ref, size_cur)
+    reach = F.round(ks * wide * high)  # |i / wide - j / high| < ks in whole numbers
+    none = F.array().cast("array<double>")
+
+    def row(before: Column, i: Column) -> Column:
+        def cell(out: Column, j: Column) -> Column:
+            ways = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0.0)) + F.coalesce(F.get(before, j.cast("int")), F.lit(0.0))
+            ways = F.when((i == 0) & (j == 0), 1.0).otherwise(ways)
+            return F.array_append(out, F.when(F.abs(i * high - j * wide) < reach, ways).otherwise(0.0))
+
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), high), none, cell)
+
+    inside = F.element_at(F.aggregate(F.sequence(F.lit(0).cast("long"), wide), none, row), -1)
+    paths = F.aggregate(F.sequence(F.lit(1).cast("long"), high), F.lit(1.0), lambda acc, k: acc * (wide + k) / k)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - inside / paths))
+
+
 def drift_detail(
     reference: DataFrame,
     current: DataFrame,

@@ -203,12 +203,28 @@ query("ks_stat_cut", _KS_OUT)(lambda t: _ks(t, CUT_ROWS))
 _P = "least(1.0, greatest(0.0, 2 * list_sum([(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * x * x) for j in range(1, 101)])))"
 
 
-@query("ks_pvalue", _KS + f""" SELECT city, feature, {sr6(f'CASE WHEN x < 0.2 THEN 1.0 ELSE {_P} END', 'p_value')}
-    FROM (SELECT *, sqrt(nr * nc / (nr + nc)) * ks AS x FROM k)""")
+# Paths over the grid of both sizes that stay off the statistic, counted row by row.
+_EXACT = """greatest(0.0, 1 - list_reduce(range(0, wi + 1), lambda before, i: list_reduce(range(0, hi + 1), lambda out, j: list_append(out,
+    CASE WHEN abs(i * hi - j * wi) >= round(ks * wi * hi) THEN 0.0 WHEN i = 0 AND j = 0 THEN 1.0 ELSE coalesce(out[-1], 0) + coalesce(before[j + 1], 0) END),
+    []::DOUBLE[]), []::DOUBLE[])[-1] / list_reduce(range(1, hi + 1), lambda c, k: c * (wi + k) / k, 1.0::DOUBLE))"""
+_PVALUES = f"""SELECT city, feature, {sr6(f'CASE WHEN nr * nc <= {D.EXACT_PAIRS} THEN {_EXACT} WHEN x < 0.2 THEN 1.0 ELSE {_P} END', 'p_value')}
+    FROM (SELECT *, CAST(greatest(nr, nc) AS BIGINT) AS wi, CAST(least(nr, nc) AS BIGINT) AS hi, sqrt(nr * nc / (nr + nc)) * ks AS x FROM k WHERE nr > 0 AND nc > 0)"""
+
+
+@query("ks_pvalue", f"{_KS} {_PVALUES}")
 def _(t):
     return D.drift_detail(*_pair(t), ["aqi", "temperature"], ["city"]).select("city", "feature", r6("p_value").alias("p_value"))
 
 
+# Small samples, one pair for each user: the exact p-value.
+@query("ks_pvalue_exact", f"{_KS} {_PVALUES}".replace("{readings}", "(SELECT * REPLACE (user_id AS city) FROM {readings})"))
+def _(t):
+    rows = t.readings.withColumn("city", F.col("user_id"))
+    s = D.split_tail(rows, READ, 0.2, False)
+    out = D.drift_detail(s.where(~F.col("in_tail")), s.where("in_tail"), ["aqi", "temperature"], ["city"])
+    return out.select("city", "feature", r6("p_value").alias("p_value"))
+
+
 @query("drift_detail", _KS + f""" SELECT city, feature, {sr6('ks', 'ks')}, ks > 0.05 AS is_drifted, round(mr, 4) + 0.0 AS ref_mean, round(mc, 4) + 0.0 AS cur_mean FROM k""")
 def _(t):
     out = D.drift_detail(*_pair(t), ["aqi", "temperature"], ["city"], limit=0.05)

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airloom.config import FEATURE_GROUPS
+from airloom.operators import drift as D
 from airloom.operators import quality
 from airloom.operators.drift import drift_detail, drift_log_append, drift_report, ks_stat
 from airloom.operators.features import lag_time, lags, long_features, rolling, short_features
@@ -394,6 +396,36 @@ def test_refresh_equals_the_whole_recompute(spark, tmp_path):
     pd.testing.assert_frame_equal(got, whole.where("ts >= '2026-04-03'").orderBy("city", "ts").toPandas(), check_dtype=False)
 
 
+def test_refresh_counts_rows_over_a_hole(spark, tmp_path):
+    """A hole of days, a series that begins late, one without new rows: frames still see the rows before."""
+    _, df = table(spark, {"a": 200, "b": 150, "c": 40}, nulls=0.1)
+    df = df.drop("id").where("ts < '2026-04-03 12:00' OR ts >= '2026-04-07' OR city = 'b'").where("city <> 'b' OR ts >= '2026-04-07 06:00'")
+    series, path = Series(("city",), "ts"), str(tmp_path / "features")
+    whole = short_features(df, series)
+    T.upsert_features(whole.where("ts < '2026-04-07'"), path, ["city", "ts"], "city")
+    made = I.refresh(df, F.lit("2026-04-07").cast("timestamp"), path, series, "city")
+    want = whole.where("ts >= '2026-04-07'").orderBy("city", "ts").toPandas()
+    assert len(want) > 50 and want[want.city == "a"].iloc[0].filter(like="lag_24").notna().any()
+    pd.testing.assert_frame_equal(made.select(*whole.columns).orderBy("city", "ts").toPandas(), want, check_dtype=False)
+    assert T.read_keyed(spark, path, whole.schema, "city").count() == whole.count()
+
+
+def test_exact_p_values_equal_enumeration(spark):
+    rows = [(n, m, k / (n * m)) for n in range(1, 9) for m in range(1, 9) for k in {1, n * m // 3, n * m // 2, n * m} - {0}]
+    df = spark.createDataFrame(rows, "n long, m long, ks double")
+    for r in df.select("*", D.ks_pvalue(F.col("ks"), F.col("n"), F.col("m")).alias("p")).collect():
+        far = total = 0
+        for first in combinations(range(r.n + r.m), r.n):
+            steps = np.isin(np.arange(r.n + r.m), first)
+            i, j = np.cumsum(steps), np.cumsum(~steps)
+            far += (np.abs(i * r.m - j * r.n) >= round(r.ks * r.n * r.m)).any()
+            total += 1
+        assert r.p == pytest.approx(far / total), r
+    large = spark.createDataFrame([(100, 100, 0.19), (101, 100, 0.19)], "n long, m long, ks double")
+    exact, near = (r.p for r in large.select("n", D.ks_pvalue(F.col("ks"), F.col("n"), F.col("m")).alias("p")).orderBy("n").collect())
+    assert exact == pytest.approx(near, abs=0.01) and exact != near
+
+
 def test_gaps_findings_and_drift_log(spark, tmp_path):
     times = ["2026-04-01 00:00", "2026-04-01 01:00", "2026-04-01 05:00"]
     df = spark.createDataFrame([("a", t, i, float(i)) for i, t in enumerate(times)], "city string, ts string, id long, v double")
