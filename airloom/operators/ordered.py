@@ -75,18 +75,21 @@ def same_key(left: DataFrame, right: DataFrame, names: Mapping[str, str]) -> Col
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in names.items()])
 
 
-def join_back(df: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFrame:
+def join_back(df: DataFrame, table: DataFrame, key: Sequence[str], rows: int | None = None) -> DataFrame:
     """Add the columns of ``table``, one row per key, to every row; null keys meet each other.
 
     The table is written and counted first: up to ``BROADCAST_VALUES`` it is broadcast and ``df``
     stays where it is; beyond that both sides are shuffled, and adaptive execution splits hot keys.
+    A caller that has counted the keys already gives their number as ``rows``, which saves the write.
     Without key the table is a single row. Streams are joined without a look at the table.
     """
     if not key:
         return df.join(F.broadcast(table), F.lit(True), "left")
     names = {k: f"_j{i}" for i, k in enumerate(key)}
     right = table.withColumnsRenamed(names)
-    if not df.isStreaming and not table.isStreaming:
+    if rows is not None and rows * len(right.columns) <= BROADCAST_VALUES:
+        right = F.broadcast(right)
+    elif rows is None and not df.isStreaming and not table.isStreaming:
         right = settled(right, "by_key")
         if right.count() * len(right.columns) <= BROADCAST_VALUES:
             right = F.broadcast(right)

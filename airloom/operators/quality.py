@@ -18,6 +18,7 @@ from airloom.config import (
 from airloom.functions.scalars import hours_between
 from airloom.operators.ordered import Layout, Series, join_back, with_rows
 from airloom.operators.quantiles import BUFFER_ROWS, quantiles
+from airloom.session import settled
 
 
 def _entries(key: Sequence[str], entries: Mapping[str, Sequence[Column]], source: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -42,17 +43,23 @@ def outlier_report(
     key: Sequence[str] = (),
     factor: float = OUTLIER_FACTOR,
     buffer_rows: int = BUFFER_ROWS,
+    groups: tuple[int, int] | None = None,
 ):
     """Count, share and bounds of values beyond ``factor`` interquartile ranges.
 
-    Columns without values or with an interquartile range of 0 are left out.
+    Columns without values or with an interquartile range of 0 are left out. ``groups`` gives the
+    number of keys and the rows of the largest, which are counted otherwise.
     """
-    q = quantiles(df, key, cols, buffer_rows=buffer_rows)
+    if groups is None:
+        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)), F.max("_n")).first()
+        groups = sizes[0], sizes[1] or 0
+    keys, largest = groups
+    q = quantiles(df, key, cols, buffer_rows=buffer_rows, largest=largest)
     q = q.select(*key, "feature", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     wide = q.groupBy(*key).agg(*[
         F.max(F.when(F.col("feature") == c, F.col(b))).alias(f"_{b}_{c}") for c in cols for b in ("q1", "q3")
     ])
-    rows = join_back(df.select(*key, *cols), wide, key)
+    rows = join_back(df.select(*key, *cols), wide, key, keys)
 
     def reach(c):
         return factor * (F.col(f"_q3_{c}") - F.col(f"_q1_{c}"))
@@ -95,9 +102,12 @@ def gap_report(
     return _spacing(df, series, step_hours, count_first, layout).drop("duplicates")
 
 
-def _spacing(df: DataFrame, series: Series, step_hours: float, count_first: bool, layout: Layout | None) -> DataFrame:
+def _spacing(
+    df: DataFrame, series: Series, step_hours: float, count_first: bool, layout: Layout | None, more: Sequence[Column] = (), cols: Sequence[str] = ()
+) -> DataFrame:
+    """Rows and gaps per series, and ``more`` aggregates of ``cols`` in the same pass."""
     placed = with_rows(
-        df.select(*series.key, *series.order), series, lambda w: {"_before": F.lag(series.ts).over(w)}, before=1, layout=layout
+        df.select(*dict.fromkeys([*series.key, *series.order, *cols])), series, lambda w: {"_before": F.lag(series.ts).over(w)}, before=1, layout=layout
     )
     hours = hours_between("_before", series.ts)
     gap = (hours != step_hours) if not count_first else (hours.isNull() | (hours != step_hours))
@@ -108,6 +118,7 @@ def _spacing(df: DataFrame, series: Series, step_hours: float, count_first: bool
         F.sum(F.when(gap, hours)).alias("gap_hours"),
         F.max(F.when(gap, hours)).alias("max_gap_hours"),
         F.sum(F.when(hours == 0, 1).otherwise(0)).alias("duplicates"),
+        *more,
     )
     share = 100.0 * F.col("gaps") / F.col("rows")
     severity = F.when(share > GAP_LIMIT, "error").when(F.col("gaps") > 0, "warning").otherwise("ok")
@@ -242,20 +253,24 @@ def quality_score(
             F.when(small, F.round(100.0 * F.col("rows") / min_rows, 2)).otherwise(50.0).alias("quality_score"),
         )
 
-    spacing = _spacing(df, series, 1.0, count_first, None)
-    spacing = spacing.select(*series.key, "rows", "duplicates", F.col("severity").alias("_gaps"))
-    missing = missing_report(df, cols, series.key).groupBy(*series.key).agg(
-        F.sum(F.when(F.col("severity") == "error", 1).otherwise(0)).alias("_mis_err"),
-        F.sum(F.when(F.col("severity") == "warning", 1).otherwise(0)).alias("_mis_warn"),
-    )
-    outliers = outlier_report(df, outlier_cols or cols, series.key, buffer_rows=buffer_rows)
+    # One pass for rows, gaps and missing values; it is written, as the outliers ask for its sizes.
+    spacing = _spacing(df, series, 1.0, count_first, None, [F.count(c).alias(f"_c{i}") for i, c in enumerate(cols)], cols)
+    lost = [100.0 * (F.col("rows") - F.col(f"_c{i}")) / F.col("rows") for i in range(len(cols))]
+
+    def columns(test) -> Column:
+        return sum((F.when(test(x), 1).otherwise(0) for x in lost), F.lit(0))
+
+    spacing = settled(spacing.select(
+        *series.key, "rows", "duplicates", F.col("severity").alias("_gaps"), columns(lambda x: x > MISSING_LIMIT).alias("_mis_err"),
+        columns(lambda x: (x > 0) & (x <= MISSING_LIMIT)).alias("_mis_warn"),
+    ), "spacing")
+    keys, largest = spacing.agg(F.count(F.lit(1)), F.max("rows")).first()
+    outliers = outlier_report(df, outlier_cols or cols, series.key, buffer_rows=buffer_rows, groups=(keys, largest or 0))
     outliers = outliers.groupBy(*series.key).agg(F.sum(F.when(F.col("severity") != "ok", 1).otherwise(0)).alias("_out_warn"))
-    out = spacing
-    for part in (missing, outliers):
-        out = join_back(out, part, series.key)
+    out = join_back(spacing, outliers, series.key, keys)
     if arrival:
         order = sorted_check(df, series, arrival).select(*series.key, (~F.col("is_sorted")).cast("int").alias("_unsorted"))
-        out = join_back(out, order, series.key)
+        out = join_back(out, order, series.key, keys)
     else:
         out = out.withColumn("_unsorted", F.lit(0))
 

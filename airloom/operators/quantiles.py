@@ -33,13 +33,16 @@ def quantiles(
     cols: Sequence[str],
     shares: Sequence[float] = (0.25, 0.75),
     buffer_rows: int = BUFFER_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """(group, feature, q): ``q`` holds the linearly interpolated quantiles of ``feature``.
 
-    Columns without any value are left out.
+    Columns without any value are left out. ``largest`` is the number of rows of the largest group,
+    if the caller has counted them.
     """
     shares = [float(s) for s in shares]
-    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= buffer_rows:
         wide = df.groupBy(*group).agg(*[F.percentile(F.col(c), shares).alias(c) for c in cols])
         return wide.unpivot(list(group), list(cols), "feature", "q").where(F.col("q").isNotNull())

@@ -115,3 +115,11 @@ def select_features(df: DataFrame, target: str = "aqi", excluded: Sequence[str]
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
+
+
+def column_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """One row per required column: whether the table has it, and in how many of its rows it is given."""
+    absent = set(missing_columns(df, required))
+    counts = df.agg(*[(F.lit(0).cast("long") if c in absent else F.count(c)).alias(c) for c in required])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(c in absent).alias("missing"), F.col(c).alias("given")) for c in required]
+    return counts.select(F.inline(F.array(*rows)))

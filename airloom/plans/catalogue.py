@@ -70,10 +70,15 @@ def catalogue(spark: SparkSession, settings: LongFeatureSettings = LongFeatureSe
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def catalogue_register(known: DataFrame, new: DataFrame, name: str = "name") -> DataFrame:
-    """Definitions by name, a new one replaces the old."""
+def catalogue_register(known: DataFrame, new: DataFrame, name: str = "name", order: Sequence[str] = ()) -> DataFrame:
+    """Definitions by name, a new one replaces the old.
+
+    Of several new ones the last by ``order`` stays, of equal ones the last by all columns.
+    """
     both = known.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return first_rows(both, [name], [F.col("_new").desc()]).drop("_new")
+    rest = [c for c in both.columns if c not in ("_new", name, *order)]
+    ranked = [F.col("_new").desc(), *[F.col(c).desc() for c in order], *[F.to_json(F.struct(c)).desc() for c in rest]]
+    return first_rows(both, [name], ranked).drop("_new")
 
 
 def get_feature(known: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from airloom.operators import outliers as O
 from airloom.operators import quality as Q
 from airloom.operators.quantiles import quantiles
 from airloom.operators.ordered import Series
+from airloom.operators.schema import column_report
 from airloom.queries.base import CUT_ROWS, READ, ntz, query, r6, rounded, sr6
 
 LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -279,6 +280,12 @@ def _(t):
     return Q.type_check(t.events, ["ts", "value", "event_type", "user_id", "absent"], "ts")
 
 
+@query("missing_columns", """SELECT 'aqi' AS "column", false AS missing, count(aqi) AS given FROM {readings} UNION ALL
+    SELECT 'pm25', false, count(pm25) FROM {readings} UNION ALL SELECT 'wind_speed', true, 0""")
+def _(t):
+    return column_report(t.readings, ["aqi", "pm25", "wind_speed"])
+
+
 @query("dtype_census", f"SELECT {_KIND} AS type, count(*) AS columns FROM (DESCRIBE events) GROUP BY 1")
 def _(t):
     return Q.dtype_census(t.events)

@@ -113,11 +113,19 @@ def _(t):
 # --- snapshots and keyed tables ----------------------------------------------------------------
 
 
-@query("snapshot_write", """SELECT '20240131T000000' AS version, count(*) AS rows, 4 AS columns, min(ts) AS min_ts, max(ts) AS max_ts FROM events""")
+@query("snapshot_write", """SELECT '20240131T000000' AS version, count(*) AS rows, 4 AS columns, min(ts) AS min_ts, max(ts) AS max_ts,
+    true AS same_when_repeated, true AS other_when_changed FROM events""")
 def _(t):
     path = scratch(t.spark, "snap")
-    meta = T.snapshot_write(t.events.select("event_id", "ts", "event_type", "value"), path, "20240131T000000", "ts")
-    return meta.drop("path", "fingerprint")
+    rows = t.events.select("event_id", "ts", "event_type", "value")
+    first = rows.agg(F.min("event_id")).first()[0]
+    changed = rows.withColumn("value", F.when(F.col("event_id") == first, F.lit(-1.0)).otherwise(F.col("value")))
+    versions = {"20240131T000000": rows, "20240201T000000": rows.repartition(7, "value"), "20240202T000000": changed}
+    meta, again, other = (T.snapshot_write(df, path, version, "ts") for version, df in versions.items())
+    for name, one in (("again", again), ("other", other)):
+        meta = meta.join(F.broadcast(one.select(F.col("fingerprint").alias(name))), F.lit(True))
+    same, differs = F.col("fingerprint") == F.col("again"), F.col("fingerprint") != F.col("other")
+    return meta.withColumns({"same_when_repeated": same, "other_when_changed": differs}).drop("path", "fingerprint", "again", "other")
 
 
 @query("snapshot_latest", """SELECT event_id, ts, value FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)""")
