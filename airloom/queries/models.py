@@ -89,6 +89,22 @@ def _(t):
     return rounded(M.reg_metrics(model.transform(rows.where("in_tail")), ["city"]), "rmse", "mae", "r2")
 
 
+# Two inputs: their normal equations, solved by Cramer's rule.
+TWO = ["pm25_lag_24h", "hour"]
+
+
+@query("fit_ridge_two", f"""WITH a AS (SELECT *, hour(ts) AS z FROM {_line(H)} WHERE label IS NOT NULL),
+    c AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(label) AS my, var_pop(x) * count(*) + 1 AS xx, var_pop(z) * count(*) + 1 AS zz, covar_pop(x, z) * count(*) AS xz,
+        covar_pop(x, label) * count(*) AS xy, covar_pop(z, label) * count(*) AS zy FROM a WHERE NOT tail),
+    p AS (SELECT city, label, my + (xy * zz - zy * xz) / (xx * zz - xz * xz) * (x - mx) + (zy * xx - xy * xz) / (xx * zz - xz * xz) * (z - mz) AS prediction FROM a, c WHERE tail)
+    SELECT city, {_FIT} FROM p GROUP BY city""")
+def _(t):
+    table = time_parts(_one_table(t), "ts")
+    rows = split_tail(lead_target(table, READ, "pm25", H, "label").na.fill(0.0, TWO), READ, 0.2, True)
+    model = M.fit(rows.where(~F.col("in_tail")), TWO, "label", M.ridge)
+    return rounded(M.reg_metrics(model.transform(rows.where("in_tail")), ["city"]), "rmse", "mae", "r2")
+
+
 def _each(pick):
     return " UNION ALL ".join(pick(h) for h in (24, 48, 72))
 

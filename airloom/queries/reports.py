@@ -10,6 +10,7 @@ from airloom.operators.quantiles import quantiles
 from airloom.operators.ordered import Series
 from airloom.operators.schema import column_report
 from airloom.queries.base import CUT_ROWS, READ, ntz, query, r6, rounded, sr6
+from airloom.session import scratch
 
 LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 NOW = "2024-01-31 06:30:00"
@@ -173,6 +174,22 @@ def _(t):
     return Q.quality_score(t.hourly, READ, ["pm25", "pm10"], min_rows=500)
 
 
+def _outlier_finding(c):
+    return f"""SELECT r.city, '{c}' AS "column", 100.0 * count(*) FILTER ({c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1)) / count(*) AS pct FROM {{hourly}} r
+        JOIN (SELECT city, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {{hourly}} GROUP BY city) q ON r.city = q.city WHERE q3 > q1 GROUP BY r.city"""
+
+
+def _missing_finding(c):
+    return f"""SELECT city, '{c}' AS "column", 100.0 * (count(*) - count({c})) / count(*) AS pct FROM {{hourly}} GROUP BY city"""
+
+
+@query("failed_checks", f"""SELECT city, 'gaps' AS "check", NULL::VARCHAR AS "column", severity, percentage FROM ({_gap_sql("")}) WHERE severity <> 'ok' UNION ALL
+    SELECT city, 'missing', "column", CASE WHEN pct > 10 THEN 'error' ELSE 'warning' END, round(pct, 2) + 0.0 FROM ({_stack(['pm25', 'pm10'], _missing_finding)}) WHERE pct > 0 UNION ALL
+    SELECT city, 'outliers', "column", CASE WHEN pct > 5 THEN 'high' ELSE 'warning' END, round(pct, 2) + 0.0 FROM ({_stack(['pm25', 'pm10'], _outlier_finding)}) WHERE pct > 0""")
+def _(t):
+    return Q.failed_checks(t.hourly, READ, ["pm25", "pm10"])
+
+
 # --- drift -------------------------------------------------------------------------------------
 
 _SPLIT = f"""(SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts, event_id) > floor(count(*) OVER (PARTITION BY city) * 8 / 10.0) AS cur FROM {{readings}})"""
@@ -232,6 +249,17 @@ def _(t):
     return rounded(out.select("city", "feature", "ks", "is_drifted", "ref_mean", "cur_mean"), "ks")
 
 
+@query("drift_log", """SELECT unnest([TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-02-02 00:00:00']) AS detected_at, cities FROM (
+    SELECT count(DISTINCT event_type) AS cities FROM events)""")
+def _(t):
+    report = D.drift_report(D.drift_detail(*_pair(t), ["aqi", "temperature"], ["city"], limit=0.05), ["city"])
+    path = scratch(t.spark, "drift_log")
+    for day in ("2024-02-01", "2024-02-02"):
+        D.drift_log_append(report, path, ntz(day))
+    log = D.drift_log_tail(t.spark.read.schema(report.withColumn("detected_at", ntz("2024-02-01")).schema).parquet(path), "detected_at", ["city"], 1_000_000)
+    return log.groupBy("detected_at").agg(F.count(F.lit(1)).alias("cities"))
+
+
 @query("drift_report", _KS + """, g AS (SELECT city, count(*) AS total_features, CAST(sum(CAST(ks > 0.05 AS INT)) AS BIGINT) AS drifted_features,
         coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (ks > 0.05), '') AS drifted_names FROM k GROUP BY city)
     SELECT *, round(drifted_features / total_features, 4) + 0.0 AS drift_ratio, CASE WHEN drifted_features / total_features > 0.3 THEN 'high_drift'

@@ -5,13 +5,18 @@ Queries that write go to a fresh path below the shared folder and read back what
 
 from pyspark.sql import functions as F
 
+from airloom.operators.features import short_features
+from airloom.operators.ordered import Series
 from airloom.plans import catalogue as C
+from airloom.plans.ingest import refresh
 from airloom.queries.base import ntz, query, rounded, sr6
 from airloom.queries.joins import METRICS_SQL, _metrics, catalogue_of
-from airloom.session import scratch
+from airloom.session import scratch, settled
 from airloom.sources import payloads as J
 from airloom.sources import tables as T
 
+_BY_TIME = "(PARTITION BY city ORDER BY ts)"
+
 # --- Parquet and CSV ---------------------------------------------------------------------------
 
 
@@ -189,6 +194,18 @@ def _(t):
     return rounded(out, "rmse")
 
 
+# A chain of runs: what is older is stored, what is new is recomputed with the rows before it.
+@query("ingest_refresh", f"""SELECT city, ts, aqi_lag_24h, aqi_roll_mean_6h FROM (SELECT city, ts, lag(aqi, 24) OVER {_BY_TIME} AS aqi_lag_24h,
+    {sr6(f"avg(aqi) OVER ({_BY_TIME[1:-1]} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)", 'aqi_roll_mean_6h')} FROM {{hourly}})""")
+def _(t):
+    series, path = Series(("city",), "ts"), scratch(t.spark, "refreshed")
+    rows = settled(t.hourly.drop("event_id"), "hourly")
+    for begin, end in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        refresh(rows.where(F.col("ts") < ntz(end)), ntz(begin), path, series, "city")
+    shape = short_features(rows.limit(0), series).schema
+    return rounded(T.read_keyed(t.spark, path, shape, "city").select("city", "ts", "aqi_lag_24h", "aqi_roll_mean_6h"), "aqi_roll_mean_6h")
+
+
 # --- catalogue ---------------------------------------------------------------------------------
 
 _CATALOGUE = """(SELECT c_name AS name, 'customer' AS source, c_mktsegment AS category FROM customer
