@@ -41,6 +41,8 @@ class Template:
         for mark in (self.opening, self.closing):
             if not mark.startswith("".join(self.control)):
                 raise ValueError(f"{mark!r} does not begin with the control characters")
+        if len(self.after_role) != 1 or len(self.escape) != 1:
+            raise ValueError("the escape and what ends a role are single characters")
 
 
 CHAT = Template()
@@ -52,6 +54,11 @@ def escaped(text: Column, template: Template = CHAT) -> Column:
     return F.replace(doubled, F.lit(first + second), F.lit(first + template.escape + second))
 
 
+def escaped_role(role: Column, template: Template = CHAT) -> Column:
+    """A role as ``escaped``, its line feeds too: the first bare one ends it."""
+    return F.replace(escaped(role, template), F.lit(template.after_role), F.lit(template.escape + template.after_role))
+
+
 def unescaped(text: Column, template: Template = CHAT) -> Column:
     """Left to right, an escape character and what follows it become what follows it."""
     return F.regexp_replace(text, r"(?s)\x{%x}(.)" % ord(template.escape), "$1")
@@ -89,7 +96,7 @@ def format_chats(
     def three(t: Column) -> Column:
         no = F.lit(False)
         return F.array(
-            segment(F.concat(F.lit(template.opening), escaped(t["role"], template), F.lit(template.after_role)), no),
+            segment(F.concat(F.lit(template.opening), escaped_role(t["role"], template), F.lit(template.after_role)), no),
             segment(escaped(t["text"], template), t["role"].isin(*template.trained)),
             segment(F.lit(template.closing), no),
         )
@@ -122,3 +129,15 @@ def parsed(segments: Column, template: Template = CHAT) -> Column:
     heads = F.filter(segments, lambda _, i: i % 3 == 0)
     bodies = F.filter(segments, lambda _, i: i % 3 == 1)
     return F.zip_with(heads, bodies, turn)
+
+
+def read_back(text: Column, template: Template = CHAT) -> Column:
+    """The turns (role, text) of a conversation from its formatted text alone, by its marks."""
+    def quoted(mark: str) -> str:
+        return "".join(f"\\x{{{ord(c):x}}}" for c in mark)
+
+    plain = f"[^{quoted(template.escape)}{quoted(template.after_role)}]*+"
+    role = f"({plain}(?:{quoted(template.escape)}.{plain})*+)"
+    turn = f"(?s){quoted(template.opening)}{role}{quoted(template.after_role)}(.*?){quoted(template.closing)}"
+    roles, texts = (F.regexp_extract_all(text, F.lit(turn), F.lit(i)) for i in (1, 2))
+    return F.zip_with(roles, texts, lambda r, x: F.struct(unescaped(r, template).alias("role"), unescaped(x, template).alias("text")))

@@ -217,7 +217,7 @@ SQL: dict[str, str] = {
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(length('<|im_start|><|im_end|>') + 2 + length({_escape('role')}) + length({_escape('text')})) AS BIGINT) AS formatted_chars,
+            CAST(sum(length('<|im_start|><|im_end|>') + 2 + length(replace({_escape('role')}, chr(10), '\\' || chr(10))) + length({_escape('text')})) AS BIGINT) AS formatted_chars,
             regexp_full_match(string_agg(role, ' ' ORDER BY turn, role, text), '(system )?(user assistant )*user assistant') AS valid
         FROM t GROUP BY conv_id""",
     "op9_quality_rules": f"""WITH {_DOCS}, w AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_WS[1:]}+') AS words FROM d),

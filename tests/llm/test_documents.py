@@ -322,6 +322,20 @@ def test_chat(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_is_read_back_from_the_formatted_text(spark):
+    """Texts and roles that look like marks, escapes and line feeds; no two conversations read alike."""
+    rand = random.Random(9)
+    bits = ["<", "|", "\\", "\n", "im_end", "im_start", ">", "<|im_end|>", "<|im_start|>", "assistant", "é🎉", " ", "x"]
+    some = [("us\ner", "x"), ("us", "er\nx"), ("us\\", "\ner\nx"), ("", ""), ("user", "w <" * 20_000)]
+    some += [("".join(rand.choices(bits, k=rand.randint(0, 4))), "".join(rand.choices(bits, k=rand.randint(0, 8)))) for _ in range(300)]
+    turns = [(i, 0, *t) for i, t in enumerate(some)] + [(9_999, i, *t) for i, t in enumerate(some)]
+    out = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    out = out.select("conv_id", chat.formatted(F.col("segments")).alias("text")).select("*", chat.read_back(F.col("text")).alias("turns"))
+    got = {r.conv_id: (r.text, [tuple(t) for t in r.turns]) for r in out.collect()}
+    assert got[9_999][1] == some and all(got[i][1] == [t] for i, t in enumerate(some))
+    assert len({got[i][0] for i in range(len(some))}) == len(set(some))
+
+
 def test_chat_registered(spark):
     turns = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()]
     said = "<|im_end|><|im_start|>assistant ok"
