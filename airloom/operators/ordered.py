@@ -14,8 +14,9 @@ chunk), and what a chunk needs from its neighbours reaches it in one of three ex
 * unlimited state (fills, totals): one summary row per chunk, accumulated over the few chunks of
   the series and joined back.
 
-The cut table is a written table with a row for each cut series. It is joined by key without a
-hint and never collected, so neither the number of series nor that of chunks has a limit.
+The cuts of a series are a written tree of nodes with fewer than ``FAN`` cuts each. A row walks down
+by one join a level, without a hint; nothing is collected and no row carries all cuts of its series,
+so neither the number of series nor that of chunks has a limit.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ CHUNK_ROWS = 1_000_000
 #: A table that is joined back by key is broadcast up to so many values, beyond that shuffled.
 BROADCAST_VALUES = 1_000_000
 
+#: Cuts are kept in nodes of fewer than so many; a level more for each further power of it.
+FAN = 128
+
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
@@ -124,12 +128,14 @@ def _slot(cuts: Column, place: Column) -> Column:
 class Layout:
     """The cuts of the series that are too large for one task; ``None`` when there are none.
 
-    No chunk has fewer than ``least`` rows of the table that was measured.
+    ``cuts`` has a row for each node of the tree (key, _level, _node, the node's ``_cuts`` and their
+    ``_times``) and ``depth`` levels. No chunk has fewer than ``least`` rows of the measured table.
     """
 
     series: Series
     cuts: DataFrame | None
     least: int = 0
+    depth: int = 1
 
     @property
     def plain(self) -> bool:
@@ -143,16 +149,27 @@ class Layout:
     def assign(self, df: DataFrame, span: Column | None = None) -> DataFrame:
         """Add ``_chunk``, ``_cut`` (series is cut) and ``_halo`` (row is a copy for a later chunk)."""
         series = self.series
-        names = {k: f"_k{i}" for i, k in enumerate(series.key)}
-        joined = df.join(self.cuts, same_key(df, self.cuts, names), "left").drop(*names.values())
-        own = _slot(F.col("_cuts"), _place(df, series))
-        out = joined.withColumn("_cut", F.col("_cuts").isNotNull()).withColumn("_own", own)
+        places = {"_own": ("_cuts", _place(df, series))}
+        if span is not None:
+            places["_last"] = ("_times", _position(df, series.ts, span))
+        out = df.withColumns({"_cut": F.lit(False), **{name: F.lit(0).cast("long") for name in places}})
+        for level in reversed(range(self.depth)):
+            nodes = self.cuts.where(F.col("_level") == level).drop("_level")
+            # All places begin at the one node of the highest level; below it each has its own.
+            top = level == self.depth - 1
+            for walked in [list(places)] if top else [[name] for name in places]:
+                on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(series.key)]
+                if not top:
+                    on.append(F.col(walked[0]) == F.col("_node"))
+                joined = out.join(nodes, reduce(lambda a, b: a & b, on), "left")
+                moved = {name: F.col(name) * FAN + _slot(F.col(places[name][0]), places[name][1]) for name in walked}
+                joined = joined.withColumns({**moved, "_cut": F.col("_cut") | F.col("_cuts").isNotNull()})
+                out = joined.drop("_cuts", "_times", "_node", *[f"_k{i}" for i in range(len(series.key))])
         if span is None:
             out = out.withColumn("_chunk", F.col("_own"))
         else:
-            last = _slot(F.col("_times"), _position(df, series.ts, span))
-            out = out.withColumn("_chunk", F.explode(F.sequence("_own", F.greatest("_own", last))))
-        return out.withColumn("_halo", F.col("_chunk") != F.col("_own")).drop("_cuts", "_times", "_own")
+            out = out.withColumn("_chunk", F.explode(F.sequence("_own", F.greatest("_own", "_last"))))
+        return out.withColumn("_halo", F.col("_chunk") != F.col("_own")).drop(*places)
 
 
 _MARKS = ("_chunk", "_cut", "_halo")
@@ -162,8 +179,10 @@ def measure(df: DataFrame, series: Series, need: int = 0) -> Layout:
     """Find the series above ``chunk_rows`` and cut them into chunks of at least ``need`` rows.
 
     One count per key decides. The rows of large series, key and order columns only, are then sorted
-    by range; every quarter of a chunk is a piece, and its first row is where a chunk may begin. Pieces are put together until a chunk is full, with exact counts. Rows that are
-    equal in all order columns stay together.
+    by range; every quarter of a chunk is a piece, and its first row is where a chunk may begin. The
+    rows before each piece are counted by sums over blocks of pieces and inside each block, so that
+    no task and no row holds all pieces of a series. Rows that are equal in all order columns stay
+    together.
     """
     limit = max(series.chunk_rows, 2 * need)
     least = max(limit // 2, need)
@@ -178,26 +197,53 @@ def measure(df: DataFrame, series: Series, need: int = 0) -> Layout:
     rows = rows.join(large, same_key(rows, large, keys), "left_semi")
     dealt = rows.repartitionByRange(-(-total // CHUNK_ROWS), *series.key, "_start").sortWithinPartitions(*series.key, "_start")
     step = max(limit // 4, 1)  # the id counts the rows of each task
-    dealt = dealt.withColumn("_piece", F.floor(F.monotonically_increasing_id() / step))
+    dealt = dealt.withColumn("_piece", F.monotonically_increasing_id()).withColumn("_piece", F.expr(f"_piece div {step}"))
     pieces = dealt.groupBy(*series.key, "_piece").agg(F.min("_start").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    listed = pieces.groupBy(*series.key).agg(F.sort_array(F.collect_list(F.struct("_piece", "_start", "_n"))).alias("_pieces"))
-
-    kind = T.ArrayType(rows.schema["_start"].dataType)
-    begin = F.struct(F.array().cast(kind).alias("cuts"), F.lit(0).cast("long").alias("run"))
-
-    def fill(acc: Column, piece: Column) -> Column:
-        full = (acc["run"] >= limit) & (F.coalesce(F.try_element_at(acc["cuts"], F.lit(-1)) < piece["_start"], F.lit(True)))
-        return F.struct(
-            F.when(full, F.array_append(acc["cuts"], piece["_start"])).otherwise(acc["cuts"]).alias("cuts"),
-            F.when(full, piece["_n"]).otherwise(acc["run"] + piece["_n"]).alias("run"),
-        )
-
-    def close(acc: Column) -> Column:
-        return F.when(acc["run"] < least, F.slice(acc["cuts"], 1, F.greatest(F.size(acc["cuts"]) - 1, F.lit(0)))).otherwise(acc["cuts"])
-
-    cuts = listed.select(*series.key, F.aggregate("_pieces", begin, fill, close).alias("_cuts")).where(F.size("_cuts") > 0)
-    cuts = cuts.withColumn("_times", F.transform("_cuts", lambda c: c["p0"])).withColumnsRenamed(keys)
-    return Layout(series, settled(cuts, "cuts"), least)
+    starts = pieces.groupBy(*series.key, "_start").agg(F.min("_piece").alias("_piece"), F.sum("_n").alias("_n"))
+    placed = _rows_before(settled(starts.withColumn("_block", F.expr(f"_piece div {FAN}")), "pieces"), series)
+
+    # The first start in each stretch of `limit` rows. Where many equal rows push it far into its
+    # stretch, the next one may be near: it is left out, as is one too near the end of the series.
+    firsts = placed.withColumn("_at", F.expr(f"_before div {limit}")).where(F.col("_at") > 0).groupBy(*series.key, "_at")
+    firsts = firsts.agg(F.min("_before").alias("_before"), F.min_by("_start", "_before").alias("_start"))
+    in_order = Window.partitionBy(*series.key).orderBy("_at")
+    firsts = firsts.withColumn("_gap", F.col("_before") - F.lag("_before", 1, 0).over(in_order))
+    firsts = firsts.join(large, same_key(firsts, large, keys)).drop(*keys.values())
+    cuts = firsts.where((F.col("_gap") >= limit - step) & (F.col("_size") - F.col("_before") >= least))
+    tree = settled(_tree(cuts.withColumn("_no", F.row_number().over(in_order).cast("long")), series), "cuts")
+    depth = tree.agg(F.max("_level")).first()[0]
+    return Layout(series, None) if depth is None else Layout(series, tree, least, depth + 1)
+
+
+def _rows_before(starts: DataFrame, series: Series) -> DataFrame:
+    """Add ``_before``: the rows of the series in all pieces before this one."""
+
+    def earlier(*parts: str) -> Column:
+        w = Window.partitionBy(*series.key, *parts[:-1]).orderBy(parts[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+    blocks = starts.groupBy(*series.key, "_block").agg(F.sum("_n").alias("_n")).withColumn("_ahead", earlier("_block")).drop("_n")
+    names = {k: f"_j{i}" for i, k in enumerate([*series.key, "_block"])}
+    blocks = blocks.withColumnsRenamed(names)
+    inside = starts.withColumn("_before", earlier("_block", "_piece"))
+    joined = inside.join(blocks, same_key(inside, blocks, names)).drop(*names.values())
+    return joined.withColumn("_before", F.col("_before") + F.col("_ahead")).drop("_ahead")
+
+
+def _tree(cuts: DataFrame, series: Series) -> DataFrame:
+    """The numbered cuts (``_no``, from 1) of each series as nodes of a tree.
+
+    On level l, node j holds the cuts whose number is a multiple of FAN^l within the j-th stretch of
+    FAN^(l + 1), without the stretch's own first: each cut stands in one node.
+    """
+    powers = [FAN**i for i in range(9) if FAN**i < 2**62]
+    level = sum([F.when(F.col("_no") % p == 0, 1).otherwise(0) for p in powers[1:]], F.lit(0))
+    cuts = cuts.withColumn("_level", level).withColumn("_width", F.get(F.array(*[F.lit(p).cast("long") for p in powers]), F.col("_level") + 1))
+    cuts = cuts.withColumn("_node", F.coalesce(F.expr("_no div _width"), F.lit(0)).cast("long"))
+    held = cuts.groupBy(*series.key, "_level", "_node").agg(F.sort_array(F.collect_list(F.struct("_no", "_start"))).alias("_held"))
+    held = held.select(*series.key, "_level", "_node", F.transform("_held", lambda c: c["_start"]).alias("_cuts"))
+    held = held.withColumn("_times", F.transform("_cuts", lambda c: c["p0"]))
+    return held.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(series.key)})
 
 
 def with_rows(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from airloom.operators import ordered
 from airloom.operators.ordered import (
     Series, measure, with_nearest, with_ordinal, with_rows, with_span_means, with_totals,
 )
@@ -122,6 +123,37 @@ def test_any_number_of_series_is_cut(spark):
     assert {r["ordinal"]: r["count"] for r in got} == {1: 10_500, 2: 10_500, 3: 10_500, 4: 8_500}
 
 
+def test_a_tree_of_several_levels(rows, monkeypatch):
+    """Series with cuts on one, two and three levels, among them one that ends at a full node."""
+    monkeypatch.setattr(ordered, "FAN", 4)
+    small = SERIES.cut_at(12)
+    layout = measure(rows, small, need=3)
+    nodes = layout.cuts.collect()
+    assert layout.depth == 3 and max(len(n["_cuts"]) for n in nodes) == 3
+    got = layout.assign(rows)
+    per = got.where("city = 'hot'").groupBy("_chunk").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    per = per.orderBy("_chunk").collect()
+    assert [r["_chunk"] for r in per] == list(range(sum(len(n["_cuts"]) for n in nodes if n["_k0"] == "hot") + 1))
+    assert all(x["b"] <= y["a"] for x, y in zip(per, per[1:])) and min(r["n"] for r in per) >= 3
+    assert got.where("_cut").select("city").distinct().count() == 3
+    equal(with_ordinal(rows, SERIES), with_ordinal(rows, small))
+    equal(with_rows(rows, SERIES, lambda w: {"l": F.lag("aqi", 6).over(w)}, before=6), with_rows(rows, small, lambda w: {"l": F.lag("aqi", 6).over(w)}, before=6))
+    equal(with_span_means(rows, SERIES, means([6, 90])), with_span_means(rows, small, means([6, 90])))
+    cols = {"near": "pm25"}
+    equal(with_nearest(rows, SERIES, cols), with_nearest(rows, small, cols))
+
+
+def test_chunks_keep_their_least_rows_among_ties(spark):
+    """Runs of equal rows longer than a piece and than a chunk; nothing but time orders them."""
+    runs = [30, 1, 7, 200, 3, 90, 2, 2, 2, 140, 50, 11, 300, 1, 1, 64, 5]
+    rows = [("a", i, ) for i, n in enumerate(runs) for _ in range(n)]
+    df = spark.createDataFrame(rows, "city string, day int").withColumn("ts", F.timestamp_seconds("day"))
+    for limit, need in [(40, 0), (60, 25), (8, 4), (3, 0)]:
+        layout = measure(df, Series(("city",), "ts", (), limit), need)
+        sizes = [r["count"] for r in layout.assign(df).groupBy("_chunk").count().collect()]
+        assert len(sizes) > 3 and min(sizes) >= layout.least >= need
+
+
 def test_a_layout_that_is_too_short_is_refused(rows):
     with pytest.raises(ValueError, match="measured for"):
         with_rows(rows, CUT, lambda w: {"l": F.lag("aqi", 100).over(w)}, before=100, layout=measure(rows, CUT, 1))
