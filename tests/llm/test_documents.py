@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,32 @@ def test_line_dedup_full_filter_gives_the_same(spark, make_docs, monkeypatch):
     assert got == sorted(brute.line_dedup(rows), key=repr)
 
 
+@pytest.mark.parametrize("frequent", [0, line_dedup.FREQUENT_LINES])
+def test_line_dedup_ranges_and_both_ways_to_the_texts(make_docs, monkeypatch, frequent):
+    """A filter in several ranges of hashes; repeated lines sent to all tasks, or lost lines joined."""
+    monkeypatch.setattr(line_dedup, "MAX_BITS", line_dedup.BLOCK_BITS)
+    monkeypatch.setattr(line_dedup, "FREQUENT_LINES", frequent)
+    rand = random.Random(3)
+    shared = [f"shared line number {n} " + "x" * 40 for n in range(300)]
+    rows = [(i, "\n".join([*rand.choices(shared, k=20), f"only in document {i} " + "y" * 1_500])) for i in range(800)]
+    rows += [*ODD, *repeats()]
+    assert len(line_dedup.filter_ranges(sum(len((t or "").encode()) for _, t in rows))) == 8
+    got = rows_of(line_dedup.drop_repeated_lines(make_docs(rows)), "doc_id", "n_lines", "n_dropped", "text")
+    assert got == sorted(brute.line_dedup(rows), key=repr)
+
+
+def test_line_dedup_shuffles_no_texts(make_docs):
+    plan = line_dedup.drop_repeated_lines(make_docs(repeats()))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_line_dedup_holders_tell_halves_apart():
+    digests = [bytes([1] * 8 + [n] * 8) for n in (3, 1, 2)] + [bytes([9] * 16)]
+    held = line_dedup.Holders(pa.table({"line": digests, "holder": [30, 10, 20, 90]}))
+    found = held.find([digests[2], bytes([1] * 8 + [7] * 8), digests[0], digests[3], bytes(16)])
+    assert [int(held.ids[p]) if p >= 0 else None for p in found] == [20, None, 30, 90, None]
+
+
 def test_line_dedup_registered(spark, small_docs):
     got = rows_of(queries.line_repeats(spark, SMALL), "doc_id", "n_lines", "n_dropped", "kept_sha256")
     assert got == sorted(((i, n, d, brute.sha(k)) for i, n, d, k in brute.line_dedup(small_docs)), key=repr)
