@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,12 @@ def clean(
     now: Column | None = None,
     chunk_rows: int | None = None,
     settle: bool = True,
+    apart: Sequence[str] = (),
 ) -> DataFrame:
     """The seven steps in their fixed order: map, time, numbers, duplicates, ranges, fill, cap.
 
+    Of rows with equal key and time the last by ``ties`` stays. Where a series may have several readings
+    at one time, ``apart`` names what else tells them apart: only rows equal in that too are duplicates.
     Caps look at filled data. The table is written once between filling and capping, so the
     statistics of the caps do not run the earlier steps again, unless ``settle`` is off.
     """
@@ -40,7 +44,7 @@ def clean(
     series = Series(tuple(key), "timestamp", tuple(ties))
     if chunk_rows:
         series = series.cut_at(chunk_rows)
-    df = dedup_last(df, series)
+    df = dedup_last(df, replace(series, key=(*series.key, *apart)))
     rules = {c: settings.rules.get(c, Rule()) for c in cols}
     df = range_null(df, rules)
     df = handle_missing(df, series, cols)

@@ -1,5 +1,6 @@
 """Registered queries run the operators whole."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from airloom.config import HORIZONS
 from airloom.operators.features import long_features
 from airloom.plans.readings import gold
 from airloom.plans.training import BOOST, FOREST, MODELS
-from airloom.queries import QUERIES, models
+from airloom.queries import QUERIES, SQL, models
 from airloom.queries.base import READ, Tables
 from data import DATA
 
@@ -18,6 +19,17 @@ def test_imputation_runs_all_stages(spark):
     assert QUERIES["impute_batch"](spark, DATA).where(F.col("aqi").isNull()).count() == 0
 
 
+@pytest.mark.parametrize("name", ["clean_readings", "clean_readings_cut"])
+def test_cleaning_keeps_readings_of_equal_time(spark, tmp_path, name):
+    events = spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 300")
+    events.unionByName(events.withColumn("event_id", F.col("event_id") + 300)).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    cols = "event_id, city, timestamp, aqi"
+    want = db.execute(f"SELECT {cols} FROM ({SQL[name]}) ORDER BY event_id").fetchall()
+    assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*cols.split(", ")).orderBy("event_id").collect()] == want
+
+
 class Seen(Exception):
     pass
 
