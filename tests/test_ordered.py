@@ -11,6 +11,7 @@ from airloom.operators import ordered
 from airloom.operators.ordered import (
     Series, measure, with_nearest, with_ordinal, with_rows, with_span_means, with_totals,
 )
+from airloom.session import settled
 from frames import collected, table
 
 SERIES = Series(("city",), "ts", ("id",))
@@ -73,6 +74,21 @@ def test_time_frames(rows):
     equal(with_span_means(lumpy, SERIES, means([48])), with_span_means(lumpy, SERIES.cut_at(10), means([48])))
 
 
+def test_time_frames_sum_each_row_once_a_span(spark):
+    """A frame that holds all rows costs no more than a short one, and shares no row with other series, nulls included."""
+    rows = spark.range(3000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 END AS city", "CASE WHEN id % 50 = 7 THEN NULL ELSE CAST(id % 1000 AS DOUBLE) END AS aqi",
+        "CASE WHEN id % 101 = 0 THEN NULL ELSE timestamp_ntz'1969-12-31 23:30:00' + make_dt_interval(0, 0, 0, id div 2 * 2 + 0.000001 * (id % 4 div 2)) END AS ts")
+    rows = settled(rows)
+    back = "RANGE BETWEEN INTERVAL '1799.999999' SECOND PRECEDING AND CURRENT ROW"
+    want = rows.withColumn("m", F.expr(f"avg(aqi) OVER (PARTITION BY city ORDER BY ts {back})"))
+    for series in (SERIES, CUT):
+        made = with_span_means(rows, series, {"m": ("aqi", timedelta(minutes=30))})
+        equal(made, want)
+        plan = made._jdf.queryExecution().toString()
+        assert "RangeFrame, -" not in plan and "sequence(_own" not in plan
+
+
 @pytest.mark.parametrize("later", [False, True])
 def test_nearest_non_null(rows, later):
     sparse = rows.withColumn("aqi", F.when(F.col("id") % 37 == 0, F.col("aqi")))
