@@ -34,6 +34,8 @@ from airloom.session import shared_dir
 
 #: Rounds after which the partitions' state is written to the checkpoint folder, which cuts its lineage.
 CHECKPOINT_ROUNDS = 50
+#: Rows that a partition of a model holds at least, if it has so many: a pass starts a task for each.
+PARTITION_ROWS = 50_000
 #: Histograms of a pass that the driver sums itself, in bytes over all partitions; larger ones are
 #: summed by (model, feature) in a shuffle, and only splits reach the driver.
 DIRECT_BYTES = 32 << 20
@@ -254,6 +256,7 @@ def fit_together(tasks: Sequence[tuple[DataFrame, HistBoost]]) -> list[BoostedTr
         # Predictions stay near the labels' range; a sum of n gradients must stay below 2^53.
         scale = 2.0 ** np.floor(np.log2(2.0**50 / (stats["n"] * max(4 * float(stats["spread"]), 1e-9))))
         growing.append(_Grown(cuts, float(stats["mean"]), scale))
+        rows = rows.coalesce(max(1, -(-stats["n"] // PARTITION_ROWS)))
         parts.append(_binned(rows, features, label, cuts, float(stats["mean"]), number))
 
     state = spark.sparkContext.union(parts).persist()

@@ -93,6 +93,18 @@ def test_models_that_grow_together_equal_those_that_grow_apart(rows, monkeypatch
         B.fit_together([(frame, makers[0]), (frame, B.HistBoost(labelCol="z", maxIter=6))])
 
 
+def test_a_pass_starts_no_task_for_a_few_rows(spark, monkeypatch):
+    """Rows in 40 files-worth of partitions become one partition a model while they are few, as many as they need beyond."""
+    frame = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(0, 400, 1, 40).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 9 AS DOUBLE) AS y"))
+    seen, one_pass = set(), B._pass
+    monkeypatch.setattr(B, "_pass", lambda state, asked, n_bins, width, partitions, *rest: (seen.add(state.getNumPartitions()), one_pass(state, asked, n_bins, width, partitions, *rest))[1])
+    maker = B.HistBoost(labelCol="y", maxIter=2, maxDepth=2)
+    one = maker.fit(frame)
+    assert seen == {1}
+    monkeypatch.setattr(B, "PARTITION_ROWS", 100)
+    assert maker.fit(frame).getOrDefault("trees") == one.getOrDefault("trees") and seen == {1, 4}
+
+
 def test_rows_of_a_round_are_drawn_alike_each_time(rows):
     frame = assembled(rows[0])
     maker = B.HistBoost(labelCol="y", maxIter=4, maxDepth=3, subsamplingRate=0.5)
