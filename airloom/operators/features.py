@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from airloom.config import LAG_HOURS, ROLLING_HOURS, FeatureSettings, LongFeatureSettings
 from airloom.functions import scalars as S
 from airloom.operators.impute import bfill, ffill, mean_fill
-from airloom.operators.ordered import Layout, Series, join_back, measure, with_nearest, with_rows, with_span_means
-from airloom.operators.seasonal import decompose
+from airloom.operators.ordered import Layout, Series, join_back, measure, with_nearest, with_ordinal, with_rows, with_span_means
+from airloom.operators.seasonal import seasoned, smoothing
 
 # --- window columns, for use inside one ``with_rows`` call -------------------------------------
 
@@ -198,7 +198,8 @@ def long_features(
         raise ValueError(f"missing columns: {sorted(missing)}")
     first = list(df.columns)
     far = max(max(settings.lags), max(settings.rolling), 7)
-    layout = layout or measure(df, series, far)
+    period = settings.season_rows if settings.seasonal else 0
+    layout = layout or measure(df, series, max(far, period))
     name = "{c}_rolling_{s}_{n}h"
 
     def stage(w):
@@ -211,7 +212,15 @@ def long_features(
     def second(w):
         return {"aqi_momentum": F.avg("aqi_change_1h").over(w.rowsBetween(-5, 0))}
 
-    out = with_rows(df, series, stage, second, before=far, layout=layout)
+    # One pass over the rows makes all frames, those of the season too; a cut series is written once after it.
+    out = standardize(df, series.key, {"temperature": "temp_normalized", "humidity": "humidity_normalized"})
+    stages = [stage, second]
+    if period:
+        out = layout.rest(with_ordinal(out, series, "_at", layout))
+        stages.append(smoothing("aqi", period))
+    out = with_rows(out, series, *stages, before=max(far, period), after=period, layout=layout)
+    if period:
+        out = seasoned(layout.rest(out), series, "aqi", period)
     out = out.withColumns({
         "hour": S.hour(series.ts),
         "day_of_week": S.day_of_week(series.ts),
@@ -224,9 +233,6 @@ def long_features(
         "dispersion_factor": S.dispersion("temperature", "humidity"),
         "temp_humidity_interaction": S.temp_humidity("temperature", "humidity"),
     })
-    out = standardize(out, series.key, {"temperature": "temp_normalized", "humidity": "humidity_normalized"})
-    if settings.seasonal:
-        out = decompose(layout.rest(out), series, "aqi", settings.season_rows, layout=layout)
     if settings.backfill:
         fill = [c for c in out.columns if c not in (*series.key, *series.order)]
         out = ffill(layout.rest(bfill(layout.rest(out), series, fill, layout)), series, fill, layout)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.config import SEASON_ROWS
-from airloom.operators.ordered import Layout, Series, join_back, measure, with_ordinal, with_rows
+from airloom.operators.ordered import Layout, Series, Stage, join_back, measure, with_ordinal, with_rows
 
 
 def trend_centered(
@@ -30,9 +30,15 @@ def decompose(
     period, shifted to mean 0. Series shorter than two periods get null for all three, and a
     series with nulls in ``column`` gets only the simple trend.
     """
-    half = period // 2
     layout = layout or measure(df, series, period)
-    trend, seasonal, simple = f"{column}_trend", f"{column}_seasonal", f"{column}_trend_simple"
+    out = layout.rest(with_ordinal(df, series, "_at", layout))
+    out = with_rows(out, series, smoothing(column, period), before=period, after=period, layout=layout)
+    return seasoned(layout.rest(out), series, column, period)
+
+
+def smoothing(column: str, period: int) -> Stage:
+    """The frames of ``decompose``, ``period`` rows to either side, as a stage of ``with_rows``."""
+    half = period // 2
 
     def smooth(w):
         full = w.rowsBetween(-half, half)
@@ -45,11 +51,13 @@ def decompose(
         around = w.rowsBetween(-period, period - 1)
         return {"_trend": F.when(whole, value), "_simple": F.avg(column).over(around)}
 
-    out = layout.rest(with_ordinal(df, series, "_at", layout))
-    out = with_rows(out, series, smooth, before=period, after=period, layout=layout)
-    out = out.withColumn("_phase", (F.col("_at") - 1) % period)
+    return smooth
 
-    out = layout.rest(out)
+
+def seasoned(df: DataFrame, series: Series, column: str, period: int) -> DataFrame:
+    """What ``decompose`` makes of the frames of ``smoothing`` and the row number ``_at``."""
+    trend, seasonal, simple = f"{column}_trend", f"{column}_seasonal", f"{column}_trend_simple"
+    out = df.withColumn("_phase", (F.col("_at") - 1) % period)
     phases = out.groupBy(*series.key, "_phase").agg(
         F.avg(F.col(column) - F.col("_trend")).alias("_mean"),
         F.count(F.lit(1)).alias("_rows"),
@@ -67,4 +75,4 @@ def decompose(
         seasonal: F.when(whole, F.col("_mean") - F.col("_centre")),
         simple: F.when(long, F.col("_simple")),
     })
-    return out.select(*df.columns, trend, seasonal, simple)
+    return out.select(*[c for c in df.columns if c not in ("_at", "_trend", "_simple")], trend, seasonal, simple)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airloom.config import LongFeatureSettings, Rule
-from airloom.operators import features, impute, joins, latest, outliers, quality, seasonal
+from airloom.operators import features, impute, joins, latest, ordered, outliers, quality, seasonal
 from airloom.operators.ordered import Series
 from airloom.operators.quantiles import quantiles
 from airloom.plans.readings import clean, gold
@@ -168,6 +168,18 @@ def test_long_features(spark):
     assert {"aqi_lag_168h", "pm10_lag_48h", "aqi_rolling_max_24h", "aqi_momentum", "aqi_seasonal", "is_rush_hour"} <= made
 
 
+def test_long_features_of_a_cut_series_are_written_twice(spark, monkeypatch):
+    """Row numbers, then all frames in one pass; the result is that of the plain window."""
+    _, df = table(spark, {"a": 900}, nulls=0)
+    df = settled(df.withColumns({"temperature": F.col("pm25") / 2, "humidity": F.col("pm10")}))
+    whole, written = features.long_features(df, SERIES), []
+    rest = ordered.Layout.rest
+    monkeypatch.setattr(ordered.Layout, "rest", lambda self, rows: (written.append(len(rows.columns)), rest(self, rows))[1])
+    parts = features.long_features(df, SERIES.cut_at(340))
+    assert len(written) == 2 and written[0] < 15
+    pd.testing.assert_frame_equal(collected(parts, "id"), collected(whole, "id")[parts.columns])
+
+
 def _knn(pdf, cols, k):
     hour = 2 * np.pi * pdf.ts.dt.hour / 24
     x = np.c_[pdf[cols].to_numpy(float), np.sin(hour), np.cos(hour)]
