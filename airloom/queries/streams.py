@@ -5,7 +5,6 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from airloom.operators.features import lags, rolling
-from airloom.operators.ordered import with_rows
 from airloom.queries.base import READ, _columns, RAW, query, rounded, sr6
 from airloom.queries.batch import _level_sql
 from airloom.queries.windows import W, frame
@@ -17,9 +16,12 @@ def _events(t):
     return S.read_stream(t.spark, t.folder, t.events.schema, "ts", "events.parquet")
 
 
-def _landed(t, rows, closed=False, shuffled=False):
-    """A stream of the rows as four files, which arrive one per micro-batch: in time order, or dealt
-    by a hash. ``closed``: a heartbeat comes last."""
+def _fed(t, rows, run, closed=False, shuffled=False):
+    """Call ``run`` on a stream of the rows, which arrive in four parts: in time order, or dealt by a hash.
+
+    Each run takes what has arrived, as one micro-batch of as many files as tasks have written. ``closed``:
+    a heartbeat comes last.
+    """
     landed = scratch(t.spark, "landed")
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     for week in range(4):
@@ -28,10 +30,11 @@ def _landed(t, rows, closed=False, shuffled=False):
             part = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == week)
         else:
             part = rows.where((F.dayofmonth("ts") > 7 * week) & (F.lit(last) | (F.dayofmonth("ts") <= 7 * week + 7)))
-        part.coalesce(1).write.mode("append").parquet(landed)
+        part.write.mode("append").parquet(landed)
+        run(t.spark.readStream.schema(rows.schema).parquet(landed)).awaitTermination()
     if closed:
         S.heartbeat(t.spark, landed, rows.schema, "ts", _CLOSE)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        run(t.spark.readStream.schema(rows.schema).parquet(landed)).awaitTermination()
 
 
 def _readings(t):
@@ -45,6 +48,19 @@ def _ran(t, stream, mode="append"):
     return _local(t.spark.read.schema(stream.schema).parquet(target))
 
 
+def _ran_closed(t, rows, job):
+    """``job`` on the rows in time order, closed by a heartbeat, and what it wrote, local times again."""
+    target, checkpoint = scratch(t.spark, "stream"), scratch(t.spark, "checkpoint")
+    made = []
+
+    def run(stream):
+        made.append(job(stream))
+        return S.start(made[-1], target, checkpoint)
+
+    _fed(t, rows, run, closed=True)
+    return _local(t.spark.read.schema(made[-1].schema).parquet(target))
+
+
 def _local(df):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
 
@@ -63,15 +79,13 @@ _CLOSE = "2100-01-01"
     (SELECT city, date_trunc('hour', ts) AS ts, event_id, aqi FROM {readings})) WHERE n = 1""")
 def _(t):
     hourly = t.readings.select("city", F.date_trunc("hour", "ts").alias("ts"), "event_id", "aqi")
-    stream = _landed(t, hourly, closed=True)
-    return _ran(t, S.st_dedup(stream, READ))
+    return _ran_closed(t, hourly, lambda stream: S.st_dedup(stream, READ))
 
 
 @query("st_rolling", f"""SELECT city, w AS start, w + INTERVAL 6 HOURS AS "end", {sr6('avg(pm10)', 'mean')}, count(pm10) AS n FROM
     (SELECT *, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 5 HOURS, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM {{readings}}) GROUP BY 1, 2""")
 def _(t):
-    stream = _landed(t, t.readings.select("city", "ts", "pm10"), closed=True)
-    return rounded(_ran(t, S.st_rolling(stream, READ, "pm10")), "mean")
+    return rounded(_ran_closed(t, t.readings.select("city", "ts", "pm10"), lambda stream: S.st_rolling(stream, READ, "pm10")), "mean")
 
 
 @query("st_alert", f"SELECT event_id, ts, aqi, {_level_sql('aqi')} AS level FROM {{readings}} WHERE aqi >= 200")
@@ -83,28 +97,25 @@ _FEATURES = f"""SELECT event_id, lag(aqi, 24) OVER {W} AS aqi_lag_24h, {sr6('avg
     FROM {{readings}}"""
 
 
-def _features(t, stream, late=None):
-    target, history = scratch(t.spark, "features"), scratch(t.spark, "history")
-
-    def features(df):
-        return with_rows(df, READ, lambda w: lags(w, "aqi", [24]) | rolling(w, "aqi", [6], ["mean"]), before=24)
-
-    S.st_features(stream, READ, features, history, target, scratch(t.spark, "checkpoint"), late=late).awaitTermination()
+def _features(t, late=None):
+    target, history, checkpoint = scratch(t.spark, "features"), scratch(t.spark, "history"), scratch(t.spark, "checkpoint")
+    stages = [lambda w: lags(w, "aqi", [24]) | rolling(w, "aqi", [6], ["mean"])]
+    _fed(t, t.readings, lambda stream: S.st_features(stream, READ, stages, history, target, checkpoint, late=late), shuffled=late is not None)
     out = S.features_table(t.spark, target, READ)
     return rounded(out.select("event_id", "aqi_lag_24h", "aqi_roll_mean_6h"), "aqi_roll_mean_6h")
 
 
-query("st_features", _FEATURES)(lambda t: _features(t, _landed(t, t.readings)))
-# Files in any order: rows that come late change the rows after them, which are emitted again.
-query("st_features_late", _FEATURES)(lambda t: _features(t, _landed(t, t.readings, shuffled=True), timedelta(days=40)))
+query("st_features", _FEATURES)(lambda t: _features(t))
+# Rows in any order: those that come late change the rows after them, which are emitted again.
+query("st_features_late", _FEATURES)(lambda t: _features(t, timedelta(days=40)))
 
 
 @query("st_online", """SELECT user_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def _(t):
     from airloom.operators.ordered import Series
 
-    target = scratch(t.spark, "online")
-    S.st_online(_landed(t, t.events), Series(("user_id",), "ts", ("event_id",)), target, scratch(t.spark, "checkpoint")).awaitTermination()
+    target, checkpoint = scratch(t.spark, "online"), scratch(t.spark, "checkpoint")
+    _fed(t, t.events, lambda stream: S.st_online(stream, Series(("user_id",), "ts", ("event_id",)), target, checkpoint))
     return _local(t.spark.read.parquet(target).select("user_id", "ts", "value"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from airloom.config import AlertSettings
 from airloom.functions.advice import alerts
 from airloom.operators.drift import detail_of, drift_report, ks_of_counts, value_counts
-from airloom.operators.ordered import Series, first_rows, join_back, same_key, with_rows
+from airloom.operators.ordered import Series, Stage, first_rows, join_back, same_key, with_rows
 from airloom.session import settled
 
 
@@ -94,7 +94,7 @@ def st_alert(stream: DataFrame, aqi: str, ts: str, settings: AlertSettings = Ale
 def st_features(
     stream: DataFrame,
     series: Series,
-    features: Callable[[DataFrame], DataFrame],
+    features: Callable[[DataFrame], DataFrame] | Sequence[Stage],
     history: str,
     target: str,
     checkpoint: str,
@@ -107,7 +107,8 @@ def st_features(
     runs on both, and what the batch changes is written under its batch number: the new rows and,
     with ``late``, those of the ``rows_back`` rows after each that were emitted before.
     ``features_table`` picks the newest version of each row. ``rows_back`` must cover the reach of
-    ``features``.
+    ``features``: a function of all rows, or stages as ``with_rows`` takes them. Stages share the one
+    shuffle and sort of a batch that also finds stored rows which come again and the rows that change.
 
     ``history`` holds, in hash buckets, the rows of each key that are less than ``late`` older than its
     newest, and ``rows_back`` rows before them; a batch reads and rewrites the buckets of its own keys
@@ -116,45 +117,60 @@ def st_features(
     not see its own rows as history.
     """
     reach = F.lit(late) if late is not None else None
+    stages = () if callable(features) else features
+    places = [*series.key, *series.order]
 
     def newest(df: DataFrame, names: DataFrame) -> DataFrame:
         return join_back(df, names.groupBy(*series.key).agg(F.max(series.ts).alias("_newest")), series.key)
 
+    def in_time(new: DataFrame, old: DataFrame) -> DataFrame:
+        """``new`` without the rows that are too late for ``old``, where a repeated batch does not count.
+
+        The stored rows of the batch itself are told apart only if some row is too late for all of them.
+        """
+        limit = F.col(series.ts) < F.col("_newest") - reach
+        if newest(new, old).where(limit).isEmpty():
+            return new
+        names = {k: f"_a{i}" for i, k in enumerate(places)}
+        mine = new.select(*[F.col(k).alias(n) for k, n in names.items()])
+        others = old.join(mine, same_key(old, mine, names), "left_anti")
+        return newest(new, others).where(F.col("_newest").isNull() | ~limit).drop("_newest")
+
+    def changes(w):
+        return {"_changed": F.max("_new").over(w.rowsBetween(-rows_back, 0)) if late is not None else F.col("_new")}
+
     def work(batch: DataFrame, number: int) -> None:
         new = settled(_bucketed(batch, series.key), "microbatch")
         old = _touched(new, history)
-        if old is not None:
-            again = [*series.key, *series.order]
-            names = {k: f"_a{i}" for i, k in enumerate(again)}
-            mine = new.select(*[F.col(k).alias(n) for k, n in names.items()])
-            old = old.join(mine, same_key(old, mine, names), "left_anti")
-            if late is not None:
-                new = newest(new, old).where(F.col("_newest").isNull() | (F.col(series.ts) >= F.col("_newest") - reach)).drop("_newest")
+        columns = new.columns
+        if old is not None and late is not None:
+            new = in_time(new, old)
         both = new.withColumn("_new", F.lit(True))
         if old is not None:
             both = both.unionByName(old.withColumn("_new", F.lit(False)))
-        changed = F.col("_new")
-        if late is not None:
-            both = with_rows(both, series, lambda w: {"_changed": F.max("_new").over(w.rowsBetween(-rows_back, 0))}, before=rows_back)
-            changed = F.col("_changed")
-        both = settled(both, "microbatch")
-        out = features(both.drop("_bucket")).where(changed).drop("_new", "_changed")
-        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        rows = both.drop("_new", "_changed")
+        replaced_by = "_new" if old is not None else None
+        both = settled(with_rows(both, series, changes, *stages, before=rows_back, replaced_by=replaced_by), "microbatch")
+        out = features(both.drop("_bucket")) if callable(features) else both.drop("_bucket")
+        out.where("_changed").drop("_new", "_changed").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = both.select(*columns)
         if late is None:
-            _replace(first_rows(rows, series.key, series.descending(), rows_back), history)
+            _store(first_rows(rows, series.key, series.descending(), rows_back), history)
             return
         rows = newest(rows, rows).withColumn("_recent", F.col(series.ts) >= F.col("_newest") - reach).drop("_newest")
         before = first_rows(rows.where(~F.col("_recent")), series.key, series.descending(), rows_back)
-        _replace(rows.where("_recent").unionByName(before).drop("_recent"), history)
+        _store(rows.where("_recent").unionByName(before).drop("_recent"), history)
 
     return start_batches(stream, work, checkpoint)
 
 
 def features_table(spark: SparkSession, target: str, series: Series) -> DataFrame:
-    """What ``st_features`` has written: of each row the version of the newest batch."""
+    """What ``st_features`` has written: of each row the version of the newest batch.
+
+    A row has few versions, so nothing is gained by a sort before the shuffle, as ``first_rows`` has it.
+    """
     out = spark.read.option("basePath", target).parquet(target)
-    return first_rows(out, [*series.key, *series.order], [F.col("batch").desc()]).drop("batch")
+    versions = Window.partitionBy(*series.key, *series.order).orderBy(F.col("batch").desc())
+    return out.withColumn("_newer", F.lag("batch").over(versions)).where(F.col("_newer").isNull()).drop("_newer", "batch")
 
 
 def st_online(stream: DataFrame, series: Series, target: str, checkpoint: str) -> StreamingQuery:
@@ -164,7 +180,7 @@ def st_online(stream: DataFrame, series: Series, target: str, checkpoint: str) -
         new = settled(_bucketed(batch, series.key), "microbatch")
         old = _touched(new, target)
         both = new if old is None else new.unionByName(old)
-        _replace(first_rows(both, series.key, series.descending()), target)
+        _store(settled(first_rows(both, series.key, series.descending()), "state"), target)
 
     return start_batches(stream, work, checkpoint)
 
@@ -189,9 +205,9 @@ def _touched(new: DataFrame, path: str) -> DataFrame | None:
     return stored.where(F.col("_bucket").isin(buckets))
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    """Overwrite the buckets of ``rows``, which may have been read from them."""
-    out = settled(rows, "state").hint("rebalance", "_bucket").write.mode("overwrite")
+def _store(rows: DataFrame, path: str) -> None:
+    """Overwrite the buckets of ``rows``, which must not be read from them."""
+    out = rows.hint("rebalance", "_bucket").write.mode("overwrite")
     out.option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
 

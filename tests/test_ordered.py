@@ -56,6 +56,29 @@ def test_row_frames(rows):
     equal(a, b)
 
 
+@pytest.mark.parametrize("series", [SERIES, SERIES.cut_at(40)])
+def test_row_frames_without_replaced_rows(rows, series):
+    """Rows that come again, some of them often, are left out before any frame, also beside a cut."""
+    often = F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 50 < 10, 9).otherwise(1)))
+    new = rows.where("id % 2 = 0 AND id % 7 < 5").withColumns({"aqi": F.lit(-1.0), "_new": F.lit(True)})
+    old = rows.where("id % 3 > 0").withColumn("_new", F.lit(False))
+    both = settled(new.unionByName(old.withColumn("_n", often).drop("_n")))
+    layout = measure(both, series, 12, places=True)
+    kept = new.unionByName(old.join(new.select("id"), "id", "left_anti").withColumn("_n", often).drop("_n"))
+
+    def stage(w):  # equal rows have equal values, so their order does not matter
+        return {"lag": F.lag("aqi", 12).over(w), "any": F.max("_new").over(w.rowsBetween(-12, 0))}
+
+    got, want = (
+        sorted(map(str, d.select("city", "ts", "id", "aqi", "_new", "lag", "any").collect()))
+        for d in (with_rows(both, series, stage, before=12, layout=layout, replaced_by="_new"), with_rows(kept, SERIES, stage, before=12))
+    )
+    assert got == want
+    if not layout.plain:
+        found = layout.assign(both).where("_cut").groupBy("city", "_chunk").agg(F.countDistinct("id").alias("places")).collect()
+        assert len(found) > 10 and min(r.places for r in found) >= 12
+
+
 def test_frames_longer_than_the_chunk_raise_its_size(rows):
     def stage(w):
         return {"lag": F.lag("aqi", 100).over(w)}

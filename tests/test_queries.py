@@ -1,14 +1,18 @@
 """Registered queries run the operators whole."""
 
+from collections import Counter
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from airloom import session
 from airloom.config import HORIZONS
 from airloom.operators.features import long_features
 from airloom.plans.readings import gold
 from airloom.plans.training import BOOST, FOREST, MODELS
-from airloom.queries import QUERIES, SQL, models
+from airloom.queries import QUERIES, SQL, models, streams
 from airloom.queries.base import READ, Tables
 from data import DATA
 
@@ -30,6 +34,32 @@ def test_cleaning_keeps_readings_of_equal_time(spark, tmp_path, name):
     assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*cols.split(", ")).orderBy("event_id").collect()] == want
 
 
+@pytest.mark.parametrize("name", ["st_features_late", "st_features"])
+def test_stream_parts_are_written_and_kept_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    """Each of the four parts is one micro-batch of several files, and the stored rows are written once a batch."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    for city, one in (("click", 1000), ("view", 2000)):  # series of other sizes, with equal times
+        events = events.unionByName(events.where(F.col("event_type") == city).withColumn("event_id", F.col("event_id") + one * 100))
+    events.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    made = []
+
+    def named(spark, kind):
+        made.append((kind, str(tmp_path / f"{kind}-{len(made)}")))
+        return made[-1][1]
+
+    monkeypatch.setattr(streams, "scratch", named)
+    monkeypatch.setattr(session, "scratch", named)
+    got = {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("event_id", "aqi_lag_24h", "aqi_roll_mean_6h").collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == set(db.execute(SQL[name]).fetchall())
+    kinds = {kind: path for kind, path in made}
+    written = Counter(p.name.split("-", 2)[2] for p in Path(kinds["landed"]).glob("part-*.parquet"))
+    assert len(written) == 4 and min(written.values()) > 1
+    assert sorted(p.name for p in Path(kinds["features"]).glob("batch=*")) == [f"batch={i}" for i in range(4)]
+    assert "state" not in kinds
+
+
 class Seen(Exception):
     pass
 

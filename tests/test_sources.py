@@ -247,6 +247,28 @@ def test_stream_features_drop_rows_behind_the_limit(spark, tmp_path):
     assert spark.read.parquet(f"{path}/history").count() == 25 + 3
 
 
+def test_stream_features_from_stages(spark, shuffled):
+    df, stream, path = shuffled
+    stages = [lambda w: lags(w, "aqi", [12]) | rolling(w, "pm25", [6], ["mean"])]
+    S.st_features(stream, SERIES, stages, f"{path}/history", f"{path}/out", f"{path}/check", 12, timedelta(days=30)).awaitTermination()
+    cols = ["id", "aqi_lag_12h", "pm25_roll_mean_6h"]
+    got = S.features_table(spark, f"{path}/out", SERIES).select(*cols).orderBy("id").toPandas()
+    pd.testing.assert_frame_equal(got, with_rows(df, SERIES, *stages, before=12).select(*cols).orderBy("id").toPandas())
+    assert spark.read.parquet(f"{path}/history").select(*df.columns).exceptAll(df).isEmpty()
+
+
+def test_stream_features_keep_a_stored_row_that_comes_again_too_late(spark, tmp_path):
+    path = str(tmp_path)
+    rows = [("a", t, float(i), None, None, i) for i, t in enumerate(hours(50))]
+    between = ("a", rows[25][1] + timedelta(minutes=30), 99.0, None, None, 50)
+    for part in (rows, rows[10:11], [between]):
+        spark.createDataFrame(part, READING).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stages = [lambda w: lags(w, "aqi", [20])]
+    S.st_features(stream, SERIES, lambda d: with_rows(d, SERIES, *stages, before=20), f"{path}/history", f"{path}/out", f"{path}/check", 26, timedelta(days=1)).awaitTermination()
+    assert S.features_table(spark, f"{path}/out", SERIES).where("id = 50").first().aqi_lag_20h == 6.0
+
+
 def test_stream_drift_reads_its_reference_once(spark, landed):
     df, stream, path = landed
     df.write.parquet(f"{path}/reference")
